@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.llm import conversations, leaks, residue, tokens
+from threadlake.llm.pii import operator as pii
 from threadlake.llm.sql import SQL as SQL
 from threadlake.tables import table
 
@@ -55,3 +56,18 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_evidence": p10_evidence,
 }
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    said = pii.find(table(spark, root, "messages"), [("content", pii.ALL), ("sender_name", pii.DISPLAY)])
+    met = pii.find(table(spark, root, "calendar_events"), [("attendees", pii.ALL)])
+    return said.unionByName(met)
+
+
+def p1_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """The messages with typed placeholders in the place of personal information."""
+    rows = table(spark, root, "messages").select("row_no", "content", "sender_name")
+    return pii.redact(rows, [("content", pii.ALL), ("sender_name", pii.DISPLAY)])
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted} | QUERIES
