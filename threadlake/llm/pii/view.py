@@ -96,6 +96,8 @@ class View:
                         out.append(c)
                         starts.append(m.start())
                         ends.append(m.end())
+            elif piece[1] != "!" and m.group(2).strip("/ ") and "=" not in m.group(2):  # no attributes: an address in angle brackets
+                add(m.start(), m.end())
             elif piece[1] != "!":
                 name = m.group(1).lower()
                 if name == "at":
