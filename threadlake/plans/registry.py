@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from threadlake.plans import core, core_sql
+from threadlake.plans import core, core_sql, reference, reference_sql
 
 
 def queries() -> dict:
-    return dict(core.QUERIES)
+    return core.QUERIES | reference.QUERIES
 
 
 def oracles() -> dict:
-    return dict(core_sql.SQL)
+    return core_sql.SQL | reference_sql.SQL
