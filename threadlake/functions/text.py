@@ -69,8 +69,12 @@ def topic_tokens(text: Column) -> Column:
     return F.transform(found, lambda t: F.regexp_replace(t, "['’]s$", ""))
 
 
-def ngrams(tokens: Column, breaks: Column | None = None, most: int = 3, is_break=None) -> Column:
-    """All 1- to ``most``-grams of each run of tokens that no break interrupts, with repeats."""
+def ngrams(tokens: Column, most: int = 3, is_break=None) -> Column:
+    """All 1- to ``most``-grams of each run of tokens that no break interrupts, with repeats.
+
+    ``tokens`` should be a column that is already made: it is read once per n-gram.
+    """
+
     def gram(n: int) -> Column:
         at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
         slices = F.transform(at, lambda i: F.slice(tokens, i, n))

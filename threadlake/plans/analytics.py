@@ -150,7 +150,8 @@ def hysteresis(frames: DataFrame, margin: float = 0.15) -> DataFrame:
             out += [(frame, i + 1, k) for i, k in enumerate(order)]
         return pd.DataFrame(out, columns=["frame", "rank", "key"])
 
-    return frames.groupBy(F.lit(1)).applyInPandas(run, f"frame {dict(frames.dtypes)['frame']}, rank long, key string")
+    one = frames.withColumn("_all", F.lit(1))
+    return one.groupBy("_all").applyInPandas(run, f"frame {dict(frames.dtypes)['frame']}, rank long, key string")
 
 
 def hysteresis_rank(spark: SparkSession, root: str) -> DataFrame:
@@ -224,7 +225,7 @@ def occupancy(spark: SparkSession, root: str, ticks: int = 200) -> DataFrame:
     q = 900_000
     first = F.col("start_ts") - F.pmod("start_ts", F.lit(q))
     last = F.greatest(first, F.least(F.coalesce("end_ts", "start_ts") - 1, first + (ticks - 1) * q))
-    rows = events.unionByName(calls).select(at(F.explode(F.sequence(first, last, F.lit(q).cast("long")))).alias("at"))
+    rows = events.unionByName(calls).select(F.explode(F.sequence(first, last, F.lit(q).cast("long"))).alias("ms")).select(at("ms").alias("at"))
     return rows.groupBy((F.dayofweek("at") - 1).cast("long").alias("weekday"), slot(F.col("at")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
 
 

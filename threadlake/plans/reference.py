@@ -107,7 +107,8 @@ def fts_postings(spark, root):
 
 
 def phrases_ngrams(spark, root):
-    docs = table(spark, root, "documents").filter("text is not null").select(F.explode(ngrams(topic_tokens(F.col("text")))).alias("phrase"))
+    tokens = table(spark, root, "documents").filter("text is not null").select(F.explode(F.array(topic_tokens(F.col("text")))).alias("tokens"))
+    docs = tokens.select(F.explode(ngrams(F.col("tokens"))).alias("phrase"))
     return docs.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
 
 

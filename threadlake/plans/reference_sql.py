@@ -8,7 +8,7 @@ KIND = "case when {0} like '%@unq.gbl.spaces%' then '1:1' when {0} like '%meetin
 M = f"""m as (select conv_id, id, row_no, coalesce(version, 0) as version, coalesce(ts, 0) as ts, coalesce({MRI.format('sender_mri')}, '?') as sender, coalesce(sender_name, '') as sender_name,
   {KIND.format('conv_id')} as kind, coalesce(is_mine, false) as is_mine, coalesce(is_system, false) as is_system, coalesce(mentions_me, false) as mentions_me, coalesce(content, '') as content, reactions, coalesce(root_id, id) as root_id
   from (select *, row_number() over (partition by conv_id, id order by coalesce(version, 0) desc, row_no desc) as rn from messages where conv_id is not null) where rn = 1)"""
-T = "t as (select *, make_timestamp(ts * 1000) as at, cast(make_timestamp(ts * 1000) as date) as day from m where not is_system and ts > 0)"
+T = "t as (select *, make_timestamp(ts * 1000) as tm, cast(make_timestamp(ts * 1000) as date) as day from m where not is_system and ts > 0)"
 PROF = f"""prof as (select * exclude (mri, rn, cm), cm as mri from (select *, row_number() over (partition by cm order by row_no desc) as rn from
   (select *, {MRI.format('mri')} as cm from profiles) where cm is not null and coalesce(name, '') <> '') where rn = 1)"""
 EV = "ev as (select * exclude (rn) from (select *, row_number() over (partition by id order by row_no desc) as rn from calendar_events where id is not null) where rn = 1)"
@@ -29,7 +29,7 @@ FLAT = r"trim(regexp_replace({0}, '\s+', ' ', 'g'), ' ')"
 SNIP = CLIP.format(FLAT.format(STRIP.format("content")), 120)
 SEARCH = f"with {M} select conv_id, id, ts, sender, {SNIP} as snippet from m where not is_system and "
 IX = f"ix as (select conv_id, id, ts, sender, kind, {STRIP.format('content')} as text from m where not is_system and content <> '')"
-SLOT = "case when hour(at) < 6 then 0 when hour(at) >= 22 then 69 else (hour(at) - 6) * 4 + minute(at) // 15 + 1 end::bigint"
+SLOT = "case when hour(tm) < 6 then 0 when hour(tm) >= 22 then 69 else (hour(tm) - 6) * 4 + minute(tm) // 15 + 1 end::bigint"
 PER_DAY = "per_day as (select day, count(*) as n from t group by day)"
 RHYTHM = f"rhythm as (select day - dayofweek(day)::int as week, dayofweek(day) as weekday, {SLOT} as slot, count(*) as n from t where sender not like '28:%' group by all)"
 WEEKS = "weeks as (select day - dayofweek(day)::int as week, sum(n)::bigint as n from per_day group by all), week_axis as (select a.week, coalesce(w.n, 0) as n from (select unnest(generate_series(min(week)::timestamp, max(week)::timestamp, interval 7 days))::date as week from weeks) a left join weeks w on w.week = a.week)"
@@ -119,12 +119,12 @@ select day, rank, sender, round(case when best > 0 then sqrt(sum_35d / best) els
 select week, i as step, round(n + coalesce(nx - n, 0) * i / 4.0::double, 6)::double as value from r, unnest(generate_series(0, case when nx is null then 0 else 3 end)) u(i)""",
     "messages_per_day": f"with {M}, {T}, {PER_DAY} select * from per_day",
     "busiest_day": f"with {M}, {T}, {PER_DAY} select day, n from per_day order by n desc, day limit 1",
-    "hour_histogram": f"with {M}, {T} select h as hour, count(t.id) as n from generate_series(0, 23) g(h) left join t on hour(at) = h group by h",
-    "night_owls": f"with {M}, {T} select sender, round(avg(case when hour(at) >= 22 or hour(at) < 6 then 1 else 0 end), 6) as share, count(*) as n from t group by sender",
+    "hour_histogram": f"with {M}, {T} select h as hour, count(t.id) as n from generate_series(0, 23) g(h) left join t on hour(tm) = h group by h",
+    "night_owls": f"with {M}, {T} select sender, round(avg(case when hour(tm) >= 22 or hour(tm) < 6 then 1 else 0 end), 6) as share, count(*) as n from t group by sender",
     "rhythm_slots": f"with {M}, {T}, {RHYTHM} select * from rhythm",
     "interval_occupancy": f"""with {EV}, {CALLS}, i as (select start_ts, end_ts from ev where not coalesce(is_cancelled, false) and not coalesce(is_all_day, false) and start_ts > 0 union all select start_ts, start_ts + coalesce(duration_ms, 0) from ca where not coalesce(is_deleted, false) and start_ts > 0),
-b as (select start_ts // 900000 * 900000 as a, coalesce(end_ts, start_ts) as e from i), x as (select unnest(generate_series(a, greatest(a, least(e - 1, a + 199 * 900000)), 900000)) as ms from b), y as (select make_timestamp(ms * 1000) as at from x)
-select dayofweek(at) as weekday, {SLOT} as slot, count(*) as n from y group by all""",
+b as (select start_ts // 900000 * 900000 as a, coalesce(end_ts, start_ts) as e from i), x as (select unnest(generate_series(a, greatest(a, least(e - 1, a + 199 * 900000)), 900000)) as ms from b), y as (select make_timestamp(ms * 1000) as tm from x)
+select dayofweek(tm) as weekday, {SLOT} as slot, count(*) as n from y group by all""",
     "week_axis": f"with {M}, {T}, {PER_DAY}, {WEEKS} select * from week_axis",
     "gaussian_smoothing": f"""with {M}, {T}, {RHYTHM}, c as (select weekday, slot, sum(n)::double as n from rhythm where slot between 1 and 64 group by all), k as (select a.s as slot, b.s as dst, exp(-power(b.s - a.s, 2) / 8) as w from generate_series(1, 64) a(s), generate_series(1, 64) b(s) where abs(a.s - b.s) <= 6),
 norm as (select dst, sum(w) as w from k group by dst) select c.weekday, k.dst as slot, round(sum(k.w * c.n) / any_value(norm.w), 6) as value from c join k on k.slot = c.slot join norm on norm.dst = k.dst group by c.weekday, k.dst""",
@@ -138,7 +138,7 @@ o as (select *, row_number() over (partition by conv_id order by n desc, sender)
 h as (select conv_id, id, len(tokens) as dl, unnest(list_filter(tokens, lambda x: x in ('channel', 'export'))) as term from d), tf as (select term, conv_id, id, dl, count(*) as tf from h group by all), df as (select term, count(*) as df from tf group by term)
 select conv_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score from tf join df using (term), st group by conv_id, id having count(*) = 2""",
     "phrases_ngrams": f"with d as (select {TOKENS.format('text')} as tokens from documents where text is not null), g as ({GRAMS.format('', 'd')}) select phrase, count(*) as n from g group by phrase",
-    "topics_rank": f"""with {M}, {IX}, r as (select *, row_number() over () as doc from ix where sender not like '28:%' and ts > 0), b as (select max(ts) - 30 * 86400000 as since from r), z as (select count(*) filter (ts >= since) as win, count(*) filter (ts < since) as base from r, b),
+    "topics_rank": f"""with {M}, {IX}, r as (select *, row_number() over () as doc from ix where sender not like '28:%' and ts > 0), b as (select max(ts) - 30::bigint * 86400000 as since from r), z as (select count(*) filter (ts >= since) as win, count(*) filter (ts < since) as base from r, b),
 d as (select doc, sender, ts >= since as new, {TOKENS.format('text')} as tokens from r, b), br as (select *, list_transform(tokens, lambda x: list_contains({STOP}, x) or length(x) < 3 or regexp_full_match(x, '[0-9a-f]{{5,}}')) as bad from d),
 g as (select doc, sender, new, list_aggregate(list_slice(tokens, i, i + g - 1), 'string_agg', ' ') as phrase from br, (values (1), (2), (3)) n(g), unnest(generate_series(1, len(tokens) - g + 1)) u(i) where not list_contains(list_slice(bad, i, i + g - 1), true)),
 s as (select phrase, count(*) filter (new) as count, count(distinct doc) filter (new) as df, count(distinct doc) filter (not new) as base_df, count(distinct sender) filter (new) as senders from g group by phrase)

@@ -99,10 +99,10 @@ STOPWORDS = (
 ).split()
 
 
-def phrases(text, stopwords: Sequence[str] = ()):
-    """The 1- to 3-grams of a text that stop words don't interrupt, with repeats."""
+def phrases(tokens, stopwords: Sequence[str] = ()):
+    """The 1- to 3-grams of a column of topic tokens that stop words don't interrupt, with repeats."""
     breaks = F.array(*[F.lit(w) for w in [*STOPWORDS, *stopwords]])
-    return ngrams(topic_tokens(text), is_break=lambda t: F.array_contains(breaks, t) | (F.length(t) < 3) | t.rlike("^[0-9a-f]{5,}$"))
+    return ngrams(tokens, is_break=lambda t: F.array_contains(breaks, t) | (F.length(t) < 3) | t.rlike("^[0-9a-f]{5,}$"))
 
 
 def topics(spark: SparkSession, root: str, days: int = 7, least: int = 3, senders: int = 2, stopwords: Sequence[str] = (), limit: int | None = None) -> DataFrame:
@@ -114,7 +114,9 @@ def topics(spark: SparkSession, root: str, days: int = 7, least: int = 3, sender
     newest = rows.agg(F.max("ts").alias("t")).first()["t"] or 0
     since = newest - days * 86_400_000
     sizes = rows.agg(F.count_if(F.col("ts") >= since).alias("win"), F.count_if(F.col("ts") < since).alias("base")).first()
-    found = rows.select("conv_id", "id", "sender", (F.col("ts") >= since).alias("new"), F.explode(phrases(F.col("text"), stopwords)).alias("phrase"))
+    # Tokens are made once per row: the generator keeps them from being folded into each n-gram.
+    tokens = rows.select("conv_id", "id", "sender", (F.col("ts") >= since).alias("new"), F.explode(F.array(topic_tokens(F.col("text")))).alias("tokens"))
+    found = tokens.select("conv_id", "id", "sender", "new", F.explode(phrases(F.col("tokens"), stopwords)).alias("phrase"))
     per_message = found.groupBy("phrase", "conv_id", "id", "sender", "new").agg(F.count(F.lit(1)).alias("n"))
     per_sender = per_message.groupBy("phrase", "sender").agg(F.sum(F.when(F.col("new"), F.col("n")).otherwise(0)).alias("count"), F.count_if("new").alias("df"), F.count_if(~F.col("new")).alias("base_df"))
     stats = per_sender.groupBy("phrase").agg(F.sum("count").alias("count"), F.sum("df").alias("df"), F.sum("base_df").alias("base_df"), F.count_if(F.col("df") > 0).alias("senders"))
