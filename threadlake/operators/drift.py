@@ -218,8 +218,16 @@ def to_type(v: object, kind: str) -> object:
 
 
 def ingest(raw: DataFrame, target: Mapping[str, str], keys: tuple[str, ...] = ("raw_id", "cache_id", "file_no", "store", "rec_key")) -> DataFrame:
-    """The records as one table: ``keys``, a column per field of ``target`` (path to type), and the rescue column."""
-    goal = {p: k for p, k in target.items()}
+    """The records as one table: ``keys``, a column per field of ``target`` (path to type), and the rescue column.
+
+    A field named like one of ``keys``, or like an earlier field but for case, gets no column and stays rescued.
+    """
+    goal: dict[str, str] = {}
+    taken = {c.lower() for c in (*keys, RESCUED)}
+    for path, kind in target.items():
+        if path.lower() not in taken:
+            goal[path] = kind
+            taken.add(path.lower())
     rows = raw.select(*keys, "payload")
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"`{p}` {SQL_TYPES[k]}" for p, k in goal.items()), f"`{RESCUED}` string"])
@@ -229,7 +237,7 @@ def ingest(raw: DataFrame, target: Mapping[str, str], keys: tuple[str, ...] = ("
 def promote(table: DataFrame, approved: Mapping[str, str]) -> DataFrame:
     """Give approved fields typed columns and replay their rescued values into them; what can't be cast stays rescued."""
     goal, names = dict(approved), [c for c in table.columns if c != RESCUED]
-    new = {p: k for p, k in goal.items() if p not in names}
+    new = {p: k for p, k in goal.items() if p.lower() not in {n.lower() for n in names}}
     types = dict(table.dtypes)
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it (case apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Keep, per ``keys``, the row that is highest by ``order`` (descending, nulls last).
 
@@ -16,7 +24,8 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     holds a third of all rows sends one row per map task. Rows tie only if ``order`` isn't total.
     """
     w = W.partitionBy(*keys).orderBy(*[o.desc_nulls_last() for o in order])
-    return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+    rank = unused(df, "_rank")
+    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).drop(rank)
 
 
 def kept_messages(messages: DataFrame) -> DataFrame:

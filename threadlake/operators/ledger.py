@@ -51,20 +51,20 @@ def subtract(rows: DataFrame, processed: DataFrame, keys: Sequence[str], seq: st
 
     Null keys match each other; rows with a null number are left out; streams without intervals keep all rows.
     """
-    same = [rows[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    named = processed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "lo", "hi")
-    ks = [f"_k{i}" for i in range(len(keys))]
-    ranked = named.withColumn("_n", F.row_number().over(W.partitionBy(*ks).orderBy("lo")))
-    lowest = ranked.filter("_n = 1").select(*ks, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    same = [rows[k].eqNullSafe(F.col(f"__tl_k{i}")) for i, k in enumerate(keys)]
+    named = processed.select(*[F.col(k).alias(f"__tl_k{i}") for i, k in enumerate(keys)], F.col("lo").alias("__tl_from"), F.col("hi").alias("__tl_to"))
+    ks = [f"__tl_k{i}" for i in range(len(keys))]
+    ranked = named.withColumn("__tl_n", F.row_number().over(W.partitionBy(*ks).orderBy("__tl_from")))
+    lowest = ranked.filter("__tl_n = 1").select(*ks, F.col("__tl_from").alias("__tl_lo"), F.col("__tl_to").alias("__tl_hi"))
     on = same[0]
     for s in same[1:]:
         on = on & s
-    open_rows = rows.filter(F.col(seq).isNotNull()).join(lowest, on, "left").filter(F.col("_lo").isNull() | (F.col(seq) < F.col("_lo")) | (F.col(seq) > F.col("_hi")))
-    open_rows = open_rows.drop(*ks, "_lo", "_hi")
-    higher = ranked.filter("_n > 1").select(*ks, "lo", "hi", F.explode(F.sequence(F.shiftright("lo", BLOCK_BITS), F.shiftright("hi", BLOCK_BITS))).alias("_block"))
-    on = (F.shiftright(open_rows[seq], BLOCK_BITS) == F.col("_block")) & open_rows[seq].between(F.col("lo"), F.col("hi"))
+    open_rows = rows.filter(F.col(seq).isNotNull()).join(lowest, on, "left").filter(F.col("__tl_lo").isNull() | (F.col(seq) < F.col("__tl_lo")) | (F.col(seq) > F.col("__tl_hi")))
+    open_rows = open_rows.drop(*ks, "__tl_lo", "__tl_hi")
+    higher = ranked.filter("__tl_n > 1").select(*ks, "__tl_from", "__tl_to", F.explode(F.sequence(F.shiftright("__tl_from", BLOCK_BITS), F.shiftright("__tl_to", BLOCK_BITS))).alias("__tl_block"))
+    on = (F.shiftright(open_rows[seq], BLOCK_BITS) == F.col("__tl_block")) & open_rows[seq].between(F.col("__tl_from"), F.col("__tl_to"))
     for i, k in enumerate(keys):
-        on = on & open_rows[k].eqNullSafe(F.col(f"_k{i}"))
+        on = on & open_rows[k].eqNullSafe(F.col(f"__tl_k{i}"))
     return open_rows.join(higher, on, "left_anti")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadlake.operators.fold import unused
+
 
 def ordinals(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], cell: int = 86_400_000, name: str = "position") -> DataFrame:
     """Adds the 0-based position of each row in its group, by ``ts`` (never null), then ``ties``.
@@ -15,9 +17,10 @@ def ordinals(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], c
     Rows are numbered within a cell of time of their group; the number of rows before a cell comes from a running sum
     over the group's cells, one row each.
     """
-    rows = df.withColumn("_cell", F.floor(F.col(ts) / F.lit(cell)).cast("long"))
-    counts = rows.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(*keys, "_cell", before.alias("_before"))
-    within = F.row_number().over(W.partitionBy(*keys, "_cell").orderBy(ts, *ties)) - 1
-    return rows.withColumn("_in", within).join(offsets, [*keys, "_cell"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_cell", "_in", "_before")
+    cell_, n_, before_, in_ = (unused(df, c) for c in ("_cell", "_n", "_before", "_in"))
+    rows = df.withColumn(cell_, F.floor(F.col(ts) / F.lit(cell)).cast("long"))
+    counts = rows.groupBy(*keys, cell_).agg(F.count(F.lit(1)).alias(n_))
+    before = F.coalesce(F.sum(n_).over(W.partitionBy(*keys).orderBy(cell_).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*keys, cell_, before.alias(before_))
+    within = F.row_number().over(W.partitionBy(*keys, cell_).orderBy(ts, *ties)) - 1
+    return rows.withColumn(in_, within).join(offsets, [*keys, cell_]).withColumn(name, F.col(before_) + F.col(in_)).drop(cell_, in_, before_)

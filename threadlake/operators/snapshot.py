@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadlake.operators.fold import latest
+from threadlake.operators.fold import latest, unused
 
 
 def winners(entries: DataFrame, cap: int | None = None) -> DataFrame:
@@ -20,7 +20,8 @@ def winners(entries: DataFrame, cap: int | None = None) -> DataFrame:
         rows = rows.filter(F.col("seq") <= cap)
     log = F.coalesce(F.col("file"), F.lit("")).endswith(".log").cast("int")
     w = W.partitionBy("cache_id", "entry_key").orderBy(F.desc("seq"), log, "file", "entry_ord", "entry_id")
-    return rows.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+    rank = unused(rows, "_rank")
+    return rows.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).drop(rank)
 
 
 def live(entries: DataFrame, cap: int | None = None) -> DataFrame:
