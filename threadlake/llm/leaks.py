@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 #: Successive words that make a leak.
 SIZE = 12
 #: Window hashes of the passages that may travel with the tasks (8 bytes each), and names that may be typed.
-BOUND = 2_000_000
+BOUND, NAMES = 1_000_000, 200_000
 
 #: Units that count as slots.
 UNITS = frozenset("kg g mg lb lbs oz t m cm mm km mi ft in l ml gal s sec min h hr hrs day days hour hours minute minutes second seconds week weeks month months year years percent euro euros dollar dollars pound pounds eur usd gbp".split())
@@ -135,12 +135,13 @@ def windows(df: DataFrame, key: str, text: str, names: frozenset[str], size: int
 def _met(docs: DataFrame, items: DataFrame, size: int, bound: int) -> tuple[DataFrame, DataFrame]:
     """The windows of documents that may meet an item's, and the items' windows."""
     given = items.filter("item_id is not null and passage is not null").select("item_id", "passage")
-    named = given.select("passage").mapInArrow(_name_batches, "name string").distinct().limit(bound + 1).collect()
+    most = min(bound, NAMES)
+    named = given.select("passage").mapInArrow(_name_batches, "name string").distinct().limit(most + 1).toArrow().column(0)
     # Beyond the bound no names are typed: templates are then told apart by their names, re-parameterised copies by numbers only.
-    names = frozenset(r.name for r in named) if len(named) <= bound else frozenset()
+    names = frozenset(named.to_pylist()) if len(named) <= most else frozenset()
     theirs = windows(given, "item_id", "passage", names, size).distinct()
-    hashes = theirs.select("window").distinct().limit(bound + 1).collect()
-    wanted = np.sort(np.array([r.window for r in hashes], np.int64).astype(np.uint64)) if len(hashes) <= bound else None
+    hashes = theirs.select("window").distinct().limit(bound + 1).toArrow().column(0)
+    wanted = np.sort(hashes.to_numpy().astype(np.int64).astype(np.uint64)) if len(hashes) <= bound else None
     ours = windows(docs.filter("doc_id is not null and text is not null"), "doc_id", "text", names, size, wanted)
     return ours, theirs
 
