@@ -26,3 +26,19 @@ def test_mri(spark):
 
 def test_snippet():
     assert snippet("one two three four five six seven eight nine ten eleven Twelve!", ["twelve"], 3) == "…ten eleven [Twelve!]"
+
+
+def test_times_and_glyphs(spark):
+    import pytest
+
+    from threadlake.plans import render
+
+    now = 1_760_000_000_000
+    assert render.parse_time("-2h", now) == now - 7_200_000 and render.parse_time("+1d", now) == now + 86_400_000
+    assert render.parse_time("2025-01-01", now) == 1735689600000 and render.parse_time("1735689600000", now) == 1735689600000
+    assert render.parse_time("2025-01-01T10:00", now, "Europe/Berlin") == 1735722000000 == render.parse_time("2025-01-01T09:00Z", now)
+    with pytest.raises(ValueError):
+        render.parse_time("soon", now)
+    df = spark.createDataFrame([(0,), (None,), (1735689600000,), (1704067200000,)], "t long")
+    assert [r[0] for r in df.select(render.shown_time(F.col("t"), 1736000000000, "Europe/Berlin")).collect()] == ["--", "--", "01-01 01:00", "2024-01-01 01:00"]
+    assert [render.glyph(k) for k in ("like", "1f44d_thumbsup-tone2", "1f468-200d-1f4bb_dev;x", "party", None)] == ["👍", "👍", "👨‍💻", "party", None]

@@ -23,7 +23,8 @@ def contains(column: Column | str, part: str) -> Column:
 
 def conv_list(spark: SparkSession, root: str, kind: str | None = None, query: str | None = None, since: int | None = None, include_empty: bool = False, limit: int | None = None) -> DataFrame:
     """Conversations, newest first: id, handle, kind, msg_count, participant_count, last_ts, participant_names."""
-    found = silver.conversations(spark, root).join(silver.participant_names(spark, root).withColumnRenamed("conv_id", "id"), "id", "left").withColumn("participant_names", F.coalesce("participant_names", F.lit("")))
+    rows = silver.folded(spark, root)
+    found = silver.conversations(spark, root, rows).join(silver.participant_names(spark, root, rows=rows).withColumnRenamed("conv_id", "id"), "id", "left").withColumn("participant_names", F.coalesce("participant_names", F.lit("")))
     if not include_empty:
         found = found.filter("msg_count > 0")
     if kind:

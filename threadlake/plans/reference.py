@@ -10,7 +10,7 @@ from threadlake.operators import changefeed, drift, ledger, snapshot
 from threadlake.plans import analytics as a
 from threadlake.plans import chat as c
 from threadlake.plans import search as s
-from threadlake.plans import silver
+from threadlake.plans import render, silver
 from threadlake.tables import table
 
 
@@ -253,6 +253,11 @@ QUERIES = {
     "fingerprints": lambda spark, root: snapshot.fingerprints(table(spark, root, "schema_files")),
     "layout_changes": lambda spark, root: snapshot.layout_changes(table(spark, root, "schema_files")),
     "describe_schema": describe_schema,
+    # rendering
+    "reaction_rows": lambda spark, root: render.reaction_rows(silver.messages(spark, root, "conv_id", "id", "reactions")),
+    "thread_blocks": lambda spark, root: render.thread_blocks(silver.messages(spark, root, "conv_id", "id", "root_id", "ts", "is_system")).select("conv_id", "root_id", "id", "n", "earlier"),
+    "call_durations": lambda spark, root: silver.calls(spark, root).select("id", render.shown_duration(F.col("duration_ms")).alias("shown")),
+    "body_chunks": lambda spark, root: table(spark, root, "documents").select("doc_id", render.body_chunk(F.col("text"), 200, 300).alias("chunk")),
     # pipeline
     "incremental_equals_full": incremental_equals_full,
     "p6_pending_ranges": pending_ranges,

@@ -160,6 +160,13 @@ select id, array_to_string(list_slice(names, 1, 3), '; ') as names, greatest(len
     "fingerprints": f"with {FILES} select cache_id, file_no, version, hash from fp",
     "layout_changes": f"""with {FILES}, r as (select *, lag(version) over w as old_version, lag(hash) over w as old_hash from fp window w as (partition by cache_id order by file_no))
 select cache_id, file_no, old_version, version as new_version, old_hash <> hash as layout_changed from r where old_hash is not null and (old_hash <> hash or old_version is distinct from version)""",
+    "reaction_rows": f"""with {M}, r as (select conv_id, id, unnest(reactions) as g from m), k as (select conv_id, id, g.k as key, len(g.u)::int as n, list_min(list_transform(g.u, lambda x: x.ts)) as first_ts,
+  array_to_string(list_transform(list_reverse(list_sort(list_transform(g.u, lambda x: {{'ts': coalesce(x.ts, 0), 'mri': x.mri}}))), lambda x: x.mri), ', ') as users from r where g.k is not null and len(g.u) > 0),
+q as (select *, row_number() over (partition by conv_id, id order by n desc, first_ts, key) as rank from k) select conv_id, id, rank, key, n, case when rank <= 3 then users when rank <= 5 then n::varchar else 'folded' end as shown from q""",
+    "thread_blocks": f"""with {M}, r as (select *, count(*) over (partition by conv_id, root_id) as n, row_number() over (partition by conv_id, root_id order by ts desc, id desc) as e from m where not is_system)
+select conv_id, root_id, id, n, n - count(*) over (partition by conv_id, root_id) as earlier from r where n <= 5 or id = root_id or e <= 3""",
+    "call_durations": f"with {CALLS}, s as (select id, duration_ms as d, duration_ms // 1000 as s from ca) select id, case when d is null or d <= 0 then '' when s < 60 then s || 's' when s < 3600 then s // 60 || 'm' else s // 3600 || 'h' || lpad((s % 3600 // 60)::varchar, 2, '0') || 'm' end as shown from s",
+    "body_chunks": "select doc_id, substr(text, 201, 300) as chunk from documents",
     "p6_pending_ranges": f"with p as ({P6}), i as (select cache_id, seq, seq - row_number() over (partition by cache_id order by seq) as g from p) select cache_id, min(seq) as lo, max(seq) as hi from i group by cache_id, g",
     "incremental_equals_full": "select cache_id, entry_key from store_entries where false",
 }

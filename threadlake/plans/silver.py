@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from threadlake.functions.mri import clean_mri
 from threadlake.functions.text import conversation_kind, handle
 from threadlake.operators.fold import kept_messages, latest
+from threadlake.session import cut
 from threadlake.tables import table
 
 
@@ -42,22 +43,30 @@ def calls(spark: SparkSession, root: str) -> DataFrame:
     return latest(table(spark, root, "calls").filter("id is not null"), ["id"], [F.col("row_no")])
 
 
-def people(spark: SparkSession, root: str) -> DataFrame:
-    """Senders of messages that aren't system rows: mri, handle, name (of the latest message), msg_count, last_ts."""
-    said = messages(spark, root, "id", "ts", "sender", "sender_name", "is_system", "conv_id").filter("not is_system")
+def folded(spark: SparkSession, root: str) -> DataFrame:
+    """The columns the derived tables need, folded once and kept in the shared folder, for queries that read them several times."""
+    return cut(messages(spark, root, "conv_id", "id", "ts", "sender", "sender_name", "is_system", "is_mine"))
+
+
+def people(spark: SparkSession, root: str, rows: DataFrame | None = None) -> DataFrame:
+    """Senders of messages that aren't system rows: mri, handle, name (of the latest message), msg_count, last_ts.
+
+    Here and below, ``rows`` may be the result of ``folded``.
+    """
+    said = (rows or messages(spark, root, "id", "ts", "sender", "sender_name", "is_system", "conv_id")).filter("not is_system")
     found = said.groupBy("sender").agg(F.max_by("sender_name", F.struct("ts", "id", "conv_id")).alias("name"), F.count(F.lit(1)).alias("msg_count"), F.max("ts").alias("last_ts"))
     return found.select(F.col("sender").alias("mri"), handle("p:", F.col("sender")).alias("handle"), "name", "msg_count", "last_ts")
 
 
-def self_mri(spark: SparkSession, root: str) -> str | None:
+def self_mri(spark: SparkSession, root: str, rows: DataFrame | None = None) -> str | None:
     """The owner: most frequent sender among the rows sent by the owner (equal: the first by MRI). One row comes to the driver."""
-    row = messages(spark, root, "sender", "is_mine").filter("is_mine and sender <> '?'").groupBy("sender").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "sender").first()
+    row = (rows or messages(spark, root, "sender", "is_mine")).filter("is_mine and sender <> '?'").groupBy("sender").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "sender").first()
     return row["sender"] if row else None
 
 
-def conversations(spark: SparkSession, root: str) -> DataFrame:
+def conversations(spark: SparkSession, root: str, rows: DataFrame | None = None) -> DataFrame:
     """id, handle, kind, msg_count, participant_count, last_ts of each conversation with rows."""
-    rows = messages(spark, root, "conv_id", "ts", "sender", "is_system")
+    rows = rows or messages(spark, root, "conv_id", "ts", "sender", "is_system")
     counted = rows.groupBy("conv_id").agg(
         F.count_if(~F.col("is_system")).alias("msg_count"),
         F.coalesce(F.max(F.when(~F.col("is_system"), F.col("ts"))), F.lit(0)).alias("last_ts"),
@@ -66,11 +75,12 @@ def conversations(spark: SparkSession, root: str) -> DataFrame:
     return counted.select(F.col("conv_id").alias("id"), handle("c:", F.col("conv_id")).alias("handle"), conversation_kind(F.col("conv_id")).alias("kind"), "msg_count", "participant_count", "last_ts")
 
 
-def participant_names(spark: SparkSession, root: str, most: int = 5) -> DataFrame:
+def participant_names(spark: SparkSession, root: str, most: int = 5, rows: DataFrame | None = None) -> DataFrame:
     """conv_id, participant_names: the latest ``most`` named speakers besides the owner, joined with a comma."""
-    me = self_mri(spark, root)
-    said = messages(spark, root, "conv_id", "ts", "sender", "is_system").filter("not is_system")
+    rows = rows or folded(spark, root)
+    me = self_mri(spark, root, rows)
+    said = rows.filter("not is_system")
     spoke = said.filter(F.col("sender") != F.lit(me or "")).groupBy("conv_id", "sender").agg(F.max("ts").alias("last_ts"))
-    named = spoke.join(people(spark, root).select(F.col("mri").alias("sender"), "name").filter("name <> ''"), "sender")
+    named = spoke.join(people(spark, root, rows).select(F.col("mri").alias("sender"), "name").filter("name <> ''"), "sender")
     ranked = named.withColumn("rn", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("last_ts"), "sender"))).filter(F.col("rn") <= most)
     return ranked.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "name"))), lambda x: x["name"]), ", ").alias("participant_names"))
