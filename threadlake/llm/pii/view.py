@@ -18,7 +18,8 @@ OPEN, CLOSE = "\x02", "\x03"
 
 _PIECE = re.compile(r"<!--.*?-->|</?([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*)?)/?>|&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", re.S)
 _HREF = re.compile(r"(?:href|data-[\w-]+|title)\s*=\s*(?:\"(?:mailto:|tel:)([^\"?]+)|'(?:mailto:|tel:)([^'?]+))", re.I)
-_BLOCK = frozenset("p div br li ul ol td th tr table h1 h2 h3 h4 h5 h6 hr blockquote pre section article header footer".split())
+#: Tags that may stand within a word; all others set a break.
+_INLINE = frozenset("a abbr acronym b big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup tt u var wbr".split())
 _GONE = {c for a, b in INVISIBLE[:-1] for c in map(chr, range(a, b + 1))}
 _DASHES = dict.fromkeys(map(chr, [*range(0x2010, 0x2016), 0x2212, 0xFE58, 0xFE63, 0xFF0D]), "-")
 
@@ -102,7 +103,7 @@ class View:
                 name = m.group(1).lower()
                 if name == "at":
                     mark(CLOSE if piece[1] == "/" else OPEN)
-                elif name in _BLOCK:
+                elif name not in _INLINE:
                     mark("\n")
                 elif h := _HREF.search(piece):
                     g = 1 if h.group(1) is not None else 2
