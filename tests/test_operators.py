@@ -216,3 +216,10 @@ def test_snapshot_order_does_not_matter(spark):
     b = spark.createDataFrame(random.Random(1).sample(e, len(e)), s)
     assert rows(snapshot.winners(a)) == rows(snapshot.winners(b))
     assert max(r.seq for r in snapshot.winners(a, cap=7).collect()) <= 7
+
+
+def test_store_table(spark):
+    raw = spark.createDataFrame([(1, 1, 1, "s", "k", '{"a":"x","b":{"c":1}}'), (2, 1, 1, "s", "k", '{"a":"y","b":{"c":2}}'), (3, 1, 2, "s", "k", '{"a":5,"rare":1}'), (4, 1, 3, "s", "k", '{"a":"z"}'), (5, 1, 1, "t", "k", '{"q":1}')], RAW)
+    assert drift.majority_schema(raw, "s") == {"a": "string"}
+    assert rows(drift.store_table(raw, "s").select("raw_id", "a", "_rescued")) == [(2, "y", '{"b.c": 2}'), (3, None, '{"a": 5, "rare": 1}'), (4, "z", None)]
+    assert drift.store_table(raw.limit(0), "s").count() == 0

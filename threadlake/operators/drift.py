@@ -257,3 +257,23 @@ def promote(table: DataFrame, approved: Mapping[str, str]) -> DataFrame:
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), *(f"`{p}` {SQL_TYPES[k]}" for p, k in new.items()), f"`{RESCUED}` string"])
     return table.mapInArrow(replay, schema)
+
+
+def majority_schema(raw: DataFrame, store: str, share: float = 0.5) -> dict[str, str]:
+    """Fields of a store that at least ``share`` of its files hold, each with the type most files give it.
+
+    A row per field comes to the driver: as many as the layout of one store has.
+    """
+    seen = cut(schemas(raw.filter(F.col("store") == store)))
+    files = seen.filter("path = ''").count()
+    typed = seen.filter("path <> ''").select("path", F.explode("types").alias("type")).groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
+    best = typed.groupBy("path").agg(F.max(F.struct("n", "type")).alias("b"), F.sum("n").alias("all")).filter(F.col("all") >= files * share)
+    return {r.path: r.b.type for r in best.orderBy("path").collect()}
+
+
+def store_table(raw: DataFrame, store: str, target: Mapping[str, str] | None = None) -> DataFrame:
+    """One table of a store over all its files: repeated rows once (the highest raw_id), typed fields, the rest rescued."""
+    rows = raw.filter(F.col("store") == store)
+    w = W.partitionBy("cache_id", "file_no", "store", "rec_key").orderBy(F.desc("raw_id"))
+    once = rows.select("raw_id", "cache_id", "file_no", "store", "rec_key", "payload").withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return ingest(once, majority_schema(raw, store) if target is None else target)

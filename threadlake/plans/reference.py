@@ -262,5 +262,10 @@ QUERIES = {
     "incremental_equals_full": incremental_equals_full,
     "p6_pending_ranges": pending_ranges,
     "p2_rescued": rescued,
+    "p2_table_profiles": lambda spark, root: drift.store_table(table(spark, root, "raw_records"), "profiles"),
+    "p2_table_conversations": lambda spark, root: drift.store_table(table(spark, root, "raw_records"), "conversations"),
+    "p2_table_replychains": lambda spark, root: drift.store_table(table(spark, root, "raw_records"), "replychains"),
+    "p2_table_calendar": lambda spark, root: drift.store_table(table(spark, root, "raw_records"), "calendar"),
+    "p2_table_calls": lambda spark, root: drift.store_table(table(spark, root, "raw_records"), "call-history"),
 }
 
