@@ -89,3 +89,26 @@ def test_furniture_is_subtracted(spark):
     docs = [(i, f"{notice}\nText number {i} tells its own story.", "all") for i in range(40)] + [(100 + i, notice if i == 0 else f"Real text {i}.", "one") for i in range(40)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     assert [r.doc_id for r in residue.excluded(df).collect()] == [100]
+
+
+def furnished(line, n, host="all", first=0):
+    return [(first + i, line(i), host) for i in range(n)]
+
+
+def test_evidence_of_its_own_is_never_furniture(spark):
+    notice, story = "Please enable JavaScript to view this conversation.", "Text number {} tells its own story."
+    cases = [lambda i: "404 Not Found", lambda i: f"404 Not Found\nError {500 + i}", lambda i: f"{story.format(i)}\n\n{notice}", lambda i: f"{story.format(i)}\n- {notice}", lambda i: f"<p>{notice}</p><p>{story.format(i)}</p>", lambda i: f"Dear {{{{first_name}}}},\n{story.format(i)}", lambda i: f"The same head of every page\n{notice}"]
+    for n in (1, 2, 19, 20, 40):
+        docs = [row for k, case in enumerate(cases) for row in furnished(case, n, f"h{k}", 100 * k)]
+        df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+        assert sorted(r.doc_id for r in residue.excluded(df).collect()) == sorted(d for d, _, _ in docs)
+
+
+def test_furniture_is_judged_by_share_alone(spark):
+    notice = "Please enable JavaScript to view this conversation."
+    for n in (4, 19, 20, 40):
+        docs = furnished(lambda i: f"{notice}\nText number {i} tells its own story.", n)
+        rare = furnished(lambda i: f"{notice if i == 0 else 'Hello'}\nText number {i} tells its own story.", n, "rare", 100)
+        copies = [(200 + i, f"{notice}\nOne text, sent again.", "copies") for i in range(n)]
+        df = spark.createDataFrame(docs + rare + copies, "doc_id long, text string, source string")
+        assert sorted(r.doc_id for r in residue.excluded(df).collect()) == [100, *range(200, 200 + n)]

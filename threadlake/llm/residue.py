@@ -1,12 +1,16 @@
 """Template residue, filler, error pages and script notices.
 
-1. Lines are normalised (digits as 0, markup and list marks off, lower case) and counted per host over all documents.
-2. Lines in at least ``furniture`` of a host's documents, and in ``least`` of them, are its recurrent boilerplate and
-   are subtracted, notices among them too: what each page of a host carries says nothing about the page.
+1. Lines are normalised (markup and list marks off, lower case; digits as 0 where the line holds evidence) and counted
+   per host over all different texts.
+2. Lines in at least ``furniture`` of a host's different texts are its recurrent boilerplate (a line of a single text
+   recurs nowhere) and are subtracted, filler, errors and notices among them too where they stand in a passage with other
+   lines. Never subtracted are placeholders, evidence that makes up a passage (lines between blank ones, a list item, a
+   chat message, a block of HTML), and evidence beside which the document has nothing but boilerplate.
 3. A document is excluded when its residual lines hold evidence: an unfilled placeholder, filler, an error page or a
    script notice. Code (fenced, inline, or by its form), quotations and sentences that speak of such things are none.
 
-Scale: lines are reduced to 64-bit hashes in Arrow batches; only lines with evidence are compared with the boilerplate.
+Scale: lines are reduced to 64-bit hashes in Arrow batches; only the lines of documents whose evidence may be
+subtracted are compared with the boilerplate.
 Counts are keyed on (host, line), so a host with a third of all documents is spread over its lines.
 
 Defined results: null, empty and blank texts hold no evidence and stay; a null host is a host of its own; repeated rows
@@ -29,8 +33,8 @@ from pyspark.sql import functions as F
 
 from threadlake.session import cut
 
-#: A line is boilerplate in at least this share of a host's documents, and in at least this number of them.
-FURNITURE, LEAST = 0.5, 20
+#: A line is boilerplate in at least this share of a host's different texts.
+FURNITURE = 0.5
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _INLINE = re.compile(r"`[^`\n]*`")
@@ -164,47 +168,78 @@ def _keep_tags(lead: re.Match) -> str:
     return "".join(re.findall(r"</?(?:html|head|body|noscript|h\d)\b[^>]*>", lead.group(), re.I))
 
 
-def lines(text: str) -> Iterator[tuple[str, str]]:
-    """(line, raw line) of the text, code left out, entities decoded, marks at the front and tags off."""
-    text = _INLINE.sub(" ", _FENCE.sub("\n", text))
+def lines(text: str) -> Iterator[tuple[str, str, int]]:
+    """(line, raw line, number of its passage), code left out, entities decoded, marks at the front and tags off."""
+    text, passage = _INLINE.sub(" ", _FENCE.sub("\n\n", text)), 0
     for raw in text.splitlines():
         if not raw or raw.isspace():
+            passage += 1
             continue
         flat = unicodedata.normalize("NFKC", raw) if not raw.isascii() else raw
+        lead = _LEAD.match(flat)
+        # Marks and blocks make a passage of their own.
+        apart = bool(lead and lead.group().strip()) or "<" in flat and bool(_BLOCKS.search(flat))
         flat = _LEAD.sub("", flat) if "<" not in flat else _BLOCKS.sub("\n", _LEAD.sub(_keep_tags, flat))
         for part in flat.split("\n"):
-            line = html.unescape(_TAGS.sub(" ", part) if "<" in part else part)
-            yield " ".join(line.split()), raw
+            line = " ".join(html.unescape(_TAGS.sub(" ", part) if "<" in part else part).split())
+            passage += apart or not line
+            if line:
+                yield line, raw, passage
+        passage += apart
 
 
 _DIGITS = re.compile(r"\d+")
 
 
+def _key(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.casefold()) - 2**63
+
+
+def _judged(text: str) -> dict[int, tuple[list[str], list[str]]]:
+    """For each line's key its kinds of evidence: those that always count, and those that count unless the line recurs."""
+    rows = [(line, evidence(line, raw), passage) for line, raw, passage in lines(text)]
+    mixed = {passage for _, kind, passage in rows if kind is None}
+    seen: dict[int, tuple[list[str], list[str]]] = {}
+    for line, kind, passage in rows:
+        key = _key(line if kind is None else _DIGITS.sub("0", line))
+        if key in seen:
+            continue
+        sure, loose = seen.setdefault(key, ([], []))
+        if kind is not None:
+            (loose if passage in mixed and kind != "placeholder" else sure).append(kind)
+    return seen
+
+
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at, keys, kinds = [], [], []
+        at, keys, sures, looses, doubts = [], [], [], [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
-            seen: dict[int, str | None] = {}
-            for line, raw in lines(text or ""):
-                key = xxhash.xxh64_intdigest(_DIGITS.sub("0", line).casefold()) - 2**63
-                if key not in seen:
-                    seen[key] = evidence(line, raw)
+            seen = _judged(text)
+            doubt = any(loose for _, loose in seen.values())
             at += [i] * len(seen)
             keys += seen
-            kinds += seen.values()
-        rows = batch.select(["doc_id", "host"]).take(pa.array(at, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(keys, pa.int64()), pa.array(kinds, pa.string())], names=["doc_id", "host", "line", "kind"])
+            sures += [sure or None for sure, _ in seen.values()]
+            looses += [loose or None for _, loose in seen.values()]
+            doubts += [doubt] * len(seen)
+        rows = batch.select(["doc_id", "host", "body"]).take(pa.array(at, pa.int64()))
+        kinds = [pa.array(v, pa.list_(pa.string())) for v in (sures, looses)]
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(keys, pa.int64()), *kinds, pa.array(doubts, pa.bool_())], names=["doc_id", "host", "body", "line", "sure", "loose", "doubt"])
 
 
-def residual_evidence(docs: DataFrame, furniture: float = FURNITURE, least: int = LEAST) -> DataFrame:
+def residual_evidence(docs: DataFrame, furniture: float = FURNITURE) -> DataFrame:
     """doc_id, kind: the kinds of evidence in each document's residual lines."""
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), "text")
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("body"), "text")
     # Kept in the shared folder: the texts are read and judged once, for the counts and for the evidence.
-    found = cut(rows.filter("text is not null").mapInArrow(_line_batches, "doc_id long, host string, line long, kind string"))
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    counts = found.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    boilerplate = counts.join(sizes, "host").filter(F.col("n") >= F.col("docs") * furniture).select("host", "line")
-    hits = found.filter("kind is not null").join(boilerplate, ["host", "line"], "left_anti").groupBy("doc_id").agg(F.count_if(F.col("kind") == "slide").alias("slides"), F.collect_set("kind").alias("kinds"))
+    found = cut(rows.filter("text is not null").mapInArrow(_line_batches, "doc_id long, host string, body long, line long, sure array<string>, loose array<string>, doubt boolean"))
+    sizes = rows.groupBy("host").agg(F.count_distinct("body").alias("texts"))
+    counts = found.groupBy("host", "line").agg(F.count_distinct("body").alias("n")).filter("n > 1")
+    boilerplate = counts.join(sizes, "host").filter(F.col("n") >= F.col("texts") * furniture).select("host", "line", F.lit(True).alias("recurs"))
+    doubtful = found.filter("doubt").join(boilerplate, ["host", "line"], "left")
+    # A text's evidence beside nothing but boilerplate is its whole residual text.
+    whole = doubtful.groupBy("doc_id", "body").agg((F.count_if(F.expr("recurs is null and sure is null and loose is null")) == 0).alias("whole"))
+    kept = doubtful.filter("loose is not null").join(whole, ["doc_id", "body"]).filter("whole or recurs is null")
+    hits = found.filter("sure is not null").select("doc_id", F.explode("sure").alias("kind")).unionByName(kept.select("doc_id", F.explode("loose").alias("kind")))
+    hits = hits.groupBy("doc_id").agg(F.count_if(F.col("kind") == "slide").alias("slides"), F.collect_set("kind").alias("kinds"))
     # A repeated doc_id counts its rows together; a lone slide label is no evidence.
     kinds = F.explode(F.when(F.col("slides") >= 2, F.col("kinds")).otherwise(F.array_remove("kinds", "slide")))
     return hits.select("doc_id", kinds.alias("kind")).withColumn("kind", F.when(F.col("kind") == "slide", "filler").otherwise(F.col("kind"))).distinct()
