@@ -112,3 +112,9 @@ def test_furniture_is_judged_by_share_alone(spark):
         copies = [(200 + i, f"{notice}\nOne text, sent again.", "copies") for i in range(n)]
         df = spark.createDataFrame(docs + rare + copies, "doc_id long, text string, source string")
         assert sorted(r.doc_id for r in residue.excluded(df).collect()) == [100, *range(200, 200 + n)]
+
+
+def test_every_occurrence_of_a_line_counts(spark):
+    docs = ["Bullet 1\nBullet 2\nBullet 3", "Heading 1\n\nHeading 2", "Plan\n\nHeading 1\nWe start on Monday.\n\nHeading 2\nWe end on Friday.", "the #name# of it\nthe #NAME# of it", "Heading 1\nWe start on Monday."]
+    df = spark.createDataFrame([(i, t, f"h{i}") for i, t in enumerate(docs)], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in residue.excluded(df).collect()) == [0, 1, 2, 3]

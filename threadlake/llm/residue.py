@@ -196,14 +196,12 @@ def _key(line: str) -> int:
 
 
 def _judged(text: str) -> dict[int, tuple[list[str], list[str]]]:
-    """For each line's key its kinds of evidence: those that always count, and those that count unless the line recurs."""
+    """For each line's key the kinds of evidence of all its occurrences: those that always count, and those that count unless the line recurs."""
     rows = [(line, evidence(line, raw), passage) for line, raw, passage in lines(text)]
     mixed = {passage for _, kind, passage in rows if kind is None}
     seen: dict[int, tuple[list[str], list[str]]] = {}
     for line, kind, passage in rows:
         key = _key(line if kind is None else _DIGITS.sub("0", line))
-        if key in seen:
-            continue
         sure, loose = seen.setdefault(key, ([], []))
         if kind is not None:
             (loose if passage in mixed and kind != "placeholder" else sure).append(kind)
