@@ -20,3 +20,11 @@ def test_runs(spark, name):
 
 def test_round_trip_is_empty(spark):
     assert QUERIES["p8_round_trip"](spark, SMALL).count() == 0
+
+
+def test_attendees_are_redacted_where_found(spark):
+    before = {r.row_no: r.attendees for r in spark.read.parquet(f"{SMALL}/calendar_events.parquet").select("row_no", "attendees").collect()}
+    after = {r.row_no: r.attendees for r in QUERIES["p1_attendees_redacted"](spark, SMALL).collect()}
+    found = {r.row_no for r in QUERIES["p1_found"](spark, SMALL).filter("field_name = 'attendees'").collect()}
+    assert found and before.keys() == after.keys() and {k for k in before if before[k] != after[k]} == found
+    assert all([a and a.e for a in before[k] or []] == [a and a.e for a in after[k] or []] for k in before)

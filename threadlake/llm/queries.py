@@ -70,4 +70,9 @@ def p1_redacted(spark: SparkSession, root: str) -> DataFrame:
     return pii.redact(rows, [("content", pii.ALL), ("sender_name", pii.DISPLAY)])
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted} | QUERIES
+def p1_attendees_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """The attendees of all calendar events with typed placeholders in the place of personal information (members n and r)."""
+    return pii.redact(table(spark, root, "calendar_events").select("row_no", "attendees"), [("attendees", pii.ALL)])
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p1_attendees_redacted": p1_attendees_redacted} | QUERIES
