@@ -58,3 +58,26 @@ def test_assemble(spark):
     assert out["a"] == ("a", 0, 0) and out["b"] == ("a", 1, 5) and out["c"] == ("a", 2, 2)
     assert out["alone"][1:] == (0, 0) and {out[k][1] for k in ("fork", "left", "right")} == {0}
     assert "copy" not in out and "none" not in out
+
+
+def test_assemble_long_overlaps_and_contained_fragments(spark):
+    line = list(range(-1000, 2000))
+    parts = [("a", line[:200]), ("b", line[100:300]), ("c", line[290:2000]), ("d", line[500:3000]), ("first", line[:50]), ("mid", line[120:180]), ("end", line[2990:]), ("one", line[150:151]), ("broken", line[400:440] + line[441:450])]
+    out = {r.frag_id: (r.path_id, r.place, r.overlap) for r in c.assemble(spark.createDataFrame(parts, "frag_id string, hashes array<long>")).collect()}
+    assert out == {"a": ("a", 0, 0), "b": ("a", 1, 100), "c": ("a", 2, 10), "d": ("a", 3, 1500), "broken": ("broken", 0, 0)}
+
+
+def test_assemble_against_brute_force(spark):
+    r = random.Random(7)
+    for _ in range(3):
+        parts = {f"f{i:02}": [r.choice([1, 2, 3, 4]) for _ in range(r.randint(1, 7))] for i in range(12)}
+        once = {}
+        for f, h in parts.items():
+            once.setdefault(tuple(h), f)
+        once = {f: h for h, f in once.items() if not any(len(o) > len(h) and h in {o[k : k + len(h)] for k in range(len(o))} for o in once)}
+        ends = [(f, k, h[-k:], h[:k]) for f, h in once.items() for k in range(1, len(h))]
+        met = [(k, s, d) for s, k, t, _ in ends for d, j, _, h in ends if t == h and s != d and sum(e[2] == t for e in ends) == 1 and sum(e[3] == h for e in ends) == 1]
+        longest = [max(e for e in met if e[1] == s) for s in {e[1] for e in met}]
+        want = {d: max(e for e in longest if e[2] == d)[0] for d in {e[2] for e in longest}}
+        got = c.assemble(spark.createDataFrame(list(parts.items()), "frag_id string, hashes array<long>")).collect()
+        assert {x.frag_id: x.overlap for x in got} == {f: want.get(f, 0) for f in once}

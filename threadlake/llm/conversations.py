@@ -19,6 +19,9 @@ row; an empty table gives no rows; other columns are kept by name only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,21 +104,67 @@ def conversations(messages: DataFrame) -> DataFrame:
     return placed.select("conv_id", "position", "id", "ts", role.alias("role"), "content")
 
 
-def assemble(frags: DataFrame, least: int = 1, longest: int = 64, rounds: int = 40) -> DataFrame:
+#: Polynomial hash of a list: fixed base, modulus 2^127 - 1. An end of a list is hashed from its prefixes in one step.
+_BASE, _MODULUS = 0x5BD1E9955BD1E995C2B2AE3D27D4EB4F, 2**127 - 1
+#: Rows given out at once.
+_ROWS = 50_000
+
+
+def _end_batches(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """frag_id, k, tail, head: the hashes of a fragment's last and first k messages, for every k below its length."""
+    names, out = ["frag_id", "k", "tail", "head"], ([], [], [], [])
+
+    def batch() -> pa.RecordBatch:
+        done = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=names)
+        for v in out:
+            v.clear()
+        return done
+
+    for rows in batches:
+        for frag, hashes in zip(rows.column("frag_id").to_pylist(), rows.column("hashes"), strict=True):
+            prefix = [0]
+            for x in hashes.as_py():
+                prefix.append((prefix[-1] * _BASE + (2**64 if x is None else x % 2**64) + 1) % _MODULUS)
+            n, power = len(prefix) - 1, 1
+            for k in range(1, n):
+                power = power * _BASE % _MODULUS
+                if k < least:
+                    continue
+                for v, item in zip(out, (frag, k, ((prefix[n] - prefix[n - k] * power) % _MODULUS).to_bytes(16), prefix[k].to_bytes(16)), strict=True):
+                    v.append(item)
+                if len(out[0]) >= _ROWS:
+                    yield batch()
+    yield batch()
+
+
+def _within(once: DataFrame) -> DataFrame:
+    """frag_id of the fragments that lie, as a whole and in a row, inside a longer one."""
+    places = once.select(F.col("frag_id").alias("outer"), F.size("hashes").alias("m"), F.posexplode("hashes").alias("at", "x"))
+    inner = once.select("frag_id", F.size("hashes").alias("n"), F.element_at("hashes", 1).alias("x"), F.element_at("hashes", -1).alias("last"))
+    met = inner.join(places, "x").filter("m > n and at + n <= m").select("frag_id", "outer", "at", "n", "last")
+    # The last message is compared too before any list is.
+    ends = places.select("outer", (F.col("at") + 1).alias("end"), F.col("x").alias("last"))
+    met = met.withColumn("end", F.col("at") + F.col("n")).join(ends, ["outer", "end", "last"])
+    met = met.join(once.select("frag_id", F.col("hashes").alias("own")), "frag_id").join(once.select(F.col("frag_id").alias("outer"), "hashes"), "outer")
+    return met.filter("slice(hashes, at + 1, n) = own").select("frag_id").distinct()
+
+
+def assemble(frags: DataFrame, least: int = 1, rounds: int = 40) -> DataFrame:
     """Merge fragments (frag_id string, hashes array<long>) along unambiguous overlaps.
 
-    An overlap is a suffix of one fragment, of ``least`` to ``longest`` messages, equal to a prefix of another; of a
-    fragment's overlaps only the longest count. Fragments within others (equal lists) are one. An edge is unambiguous
+    An overlap is a suffix of one fragment, of ``least`` messages or more, equal to a prefix of another; of a fragment's
+    overlaps only the longest count. Equal fragments are one, and one within a longer fragment is absorbed by it: it gives
+    no row. An edge is unambiguous
     where its source has one successor and its target one predecessor; chains of such edges become one path, found by
     doubling pointers (a number of rounds logarithmic in the length of the path, each checkpointed). Cycles are cut at
     their smallest fragment. Returns path_id, place, frag_id, overlap (messages shared with the fragment before).
     """
     once = frags.filter("size(hashes) > 0").groupBy("hashes").agg(F.min("frag_id").alias("frag_id"))
-    n = F.expr(f"least(size(hashes) - 1, {longest})")
-    lengths = F.explode(F.when(n >= least, F.sequence(F.lit(least), n)).otherwise(F.array().cast("array<int>")))
-    cutting = once.select("frag_id", "hashes", lengths.alias("k"))
-    tails = cutting.select(F.col("frag_id").alias("src"), "k", F.expr("xxhash64(slice(hashes, -k, k))").alias("h"))
-    heads = cutting.select(F.col("frag_id").alias("dst"), "k", F.expr("xxhash64(slice(hashes, 1, k))").alias("h"))
+    once = cut(once.select("frag_id", "hashes"))
+    once = cut(once.join(_within(once), "frag_id", "left_anti"))
+    cutting = once.mapInArrow(lambda b: _end_batches(least, b), "frag_id string, k int, tail binary, head binary")
+    tails = cutting.select(F.col("frag_id").alias("src"), "k", F.col("tail").alias("h"))
+    heads = cutting.select(F.col("frag_id").alias("dst"), "k", F.col("head").alias("h"))
     # A hash that ends or begins more than one fragment is ambiguous at that length: counted first, never expanded to pairs.
     tails = tails.groupBy("k", "h").agg(F.count(F.lit(1)).alias("nt"), F.min("src").alias("src"))
     heads = heads.groupBy("k", "h").agg(F.count(F.lit(1)).alias("nh"), F.min("dst").alias("dst"))
