@@ -223,3 +223,9 @@ def test_store_table(spark):
     assert drift.majority_schema(raw, "s") == {"a": "string"}
     assert rows(drift.store_table(raw, "s").select("raw_id", "a", "_rescued")) == [(2, "y", '{"b.c": 2}'), (3, None, '{"a": 5, "rare": 1}'), (4, "z", None)]
     assert drift.store_table(raw.limit(0), "s").count() == 0
+
+
+def test_renames_of_equal_values(spark):
+    old, new = '{"a": true, "b": true, "z": 1}', '{"c": true, "d": true, "z": 1}'
+    raw = spark.createDataFrame([(i, 1, f, "s", f"k{i % 2}", p) for i, (f, p) in enumerate([(1, old), (1, old), (2, new), (2, new)])], "raw_id long, cache_id long, file_no int, store string, rec_key string, payload string")
+    assert rows(drift.changes(raw)) == [(1, 2, "s", "renamed", "a", "c"), (1, 2, "s", "renamed", "b", "d")]

@@ -150,10 +150,11 @@ def _renames(raw: DataFrame, plain: DataFrame, steps: DataFrame) -> DataFrame:
         .agg(F.bool_and(was.eqNullSafe(now)).alias("same"), F.count_if(was.isNotNull() & now.isNotNull()).alias("n"))
         .filter("same and n >= 2")
     )
-    part = ["cache_id", "store", "later_no"]
-    first = same.withColumn("r", F.row_number().over(W.partitionBy(*part, "field_name").orderBy(F.desc("n"), "new_name"))).filter("r = 1")
-    once = first.withColumn("r", F.row_number().over(W.partitionBy(*part, "new_name").orderBy(F.desc("n"), "field_name"))).filter("r = 1")
-    return once.select("cache_id", "store", F.col("later_no").alias("file_no"), "field_name", "new_name")
+    # The pairs of one file in their order, each taken unless one of its fields is taken already.
+    ranked = same.groupBy("cache_id", "store", F.col("later_no").alias("file_no")).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "field_name", "new_name"))).alias("pairs"))
+    none = F.array().cast("array<struct<m:bigint,field_name:string,new_name:string>>")
+    taken = F.aggregate("pairs", none, lambda done, x: F.when(F.exists(done, lambda p: (p["field_name"] == x["field_name"]) | (p["new_name"] == x["new_name"])), done).otherwise(F.concat(done, F.array(x))))
+    return ranked.select("cache_id", "store", "file_no", F.explode(taken).alias("p")).select("cache_id", "store", "file_no", "p.field_name", "p.new_name")
 
 
 def _picked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
