@@ -118,3 +118,13 @@ def test_every_occurrence_of_a_line_counts(spark):
     docs = ["Bullet 1\nBullet 2\nBullet 3", "Heading 1\n\nHeading 2", "Plan\n\nHeading 1\nWe start on Monday.\n\nHeading 2\nWe end on Friday.", "the #name# of it\nthe #NAME# of it", "Heading 1\nWe start on Monday."]
     df = spark.createDataFrame([(i, t, f"h{i}") for i, t in enumerate(docs)], "doc_id long, text string, source string")
     assert sorted(r.doc_id for r in residue.excluded(df).collect()) == [0, 1, 2, 3]
+
+
+def test_exchanged_names_beyond_the_bound(spark):
+    other = {"Ashkovane": "Berzanova", "Berzanova": "Ashkovane", "Ostfield": "Stonestedt", "Stonestedt": "Ostfield"}
+    copy = " ".join(other.get(w, w) for w in PASSAGE.split())
+    docs = spark.createDataFrame([(1, copy), (1, copy), (2, PASSAGE), (3, None), (4, "word " * 20)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, PASSAGE), (2, "too short"), (3, None)], "item_id long, passage string")
+    for bound in (leaks.BOUND, 3, 0):
+        assert sorted(map(tuple, leaks.reparameterised(docs, items, bound=bound).collect())) == [(1, 1)]
+        assert sorted(map(tuple, leaks.leaks(docs, items, bound=bound).collect())) == [(2, 1)]

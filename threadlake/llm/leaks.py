@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 #: Successive words that make a leak.
 SIZE = 12
-#: Window hashes of the passages that may travel with the tasks (8 bytes each), and names that may be typed.
+#: Window hashes of the passages that may travel with the tasks (8 bytes each), and names that may.
 BOUND, NAMES = 1_000_000, 200_000
 
 #: Units that count as slots.
@@ -106,12 +106,15 @@ class Templates:
         return "\u001f".join(w for w in window if self.known[w][1])
 
 
-def _window_batches(key: str, text: str, names: frozenset[str], size: int, wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    templates = Templates(names, size)
+def _window_batches(key: str, text: str, names: frozenset[str] | None, size: int, wanted: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    templates = Templates(names or frozenset(), size)
     for batch in batches:
         at, keys, slots = [], [], []
+        own = batch.column("names").to_pylist() if names is None else None
         for i, t in enumerate(batch.column(text).to_pylist()):
             found = words(t) if t else []
+            if own is not None:
+                templates.names = frozenset(own[i] or ())
             hashes = templates.hashes(found)
             if not len(hashes):
                 continue
@@ -127,18 +130,34 @@ def _window_batches(key: str, text: str, names: frozenset[str], size: int, wante
         yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(keys, pa.int64()), pa.array(slots, pa.string())], names=[key, "window", "slots"])
 
 
-def windows(df: DataFrame, key: str, text: str, names: frozenset[str], size: int = SIZE, wanted: np.ndarray | None = None) -> DataFrame:
-    """key, window (hash), slots (one string); with ``wanted`` (sorted hashes) only windows among them."""
-    return df.select(key, text).mapInArrow(lambda b: _window_batches(key, text, names, size, wanted, b), f"`{key}` {dict(df.dtypes)[key]}, window long, slots string")
+def _word_batches(key: str, text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, found = [], []
+        for i, t in enumerate(batch.column(text).to_pylist()):
+            own = set(words(t)) if t else ()
+            at += [i] * len(own)
+            found += own
+        rows = batch.select([key]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.string())], names=[key, "name"])
+
+
+def windows(df: DataFrame, key: str, text: str, names: frozenset[str] | DataFrame, size: int = SIZE, wanted: np.ndarray | None = None) -> DataFrame:
+    """key, window (hash), slots (one string); with ``wanted`` (sorted hashes) only windows among them. A table of names is joined."""
+    rows, kind, known = df.select(key, text), dict(df.dtypes)[key], names
+    if isinstance(names, DataFrame):
+        spelt = rows.mapInArrow(lambda b: _word_batches(key, text, b), f"`{key}` {kind}, name string")
+        rows, known = rows.join(spelt.join(names, "name").groupBy(key).agg(F.collect_set("name").alias("names")), key, "left"), None
+    return rows.mapInArrow(lambda b: _window_batches(key, text, known, size, wanted, b), f"`{key}` {kind}, window long, slots string")
 
 
 def _met(docs: DataFrame, items: DataFrame, size: int, bound: int) -> tuple[DataFrame, DataFrame]:
     """The windows of documents that may meet an item's, and the items' windows."""
     given = items.filter("item_id is not null and passage is not null").select("item_id", "passage")
     most = min(bound, NAMES)
-    named = given.select("passage").mapInArrow(_name_batches, "name string").distinct().limit(most + 1).toArrow().column(0)
-    # Beyond the bound no names are typed: templates are then told apart by their names, re-parameterised copies by numbers only.
-    names = frozenset(named.to_pylist()) if len(named) <= most else frozenset()
+    table = given.select("passage").mapInArrow(_name_batches, "name string").distinct()
+    named = table.limit(most + 1).toArrow().column(0)
+    # Beyond the bound the names stay a table, and the words of each text are joined with it.
+    names = frozenset(named.to_pylist()) if len(named) <= most else table
     theirs = windows(given, "item_id", "passage", names, size).distinct()
     hashes = theirs.select("window").distinct().limit(bound + 1).toArrow().column(0)
     wanted = np.sort(hashes.to_numpy().astype(np.int64).astype(np.uint64)) if len(hashes) <= bound else None
