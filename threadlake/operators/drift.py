@@ -5,25 +5,29 @@ enforced: fields it names are cast to its types; unknown fields, and values that
 rescue column, so no value is lost. Approved fields are promoted later, and their rescued values replayed into typed
 columns without reading the files again.
 
-The list of changes is the rescue view of each file against the schema of the store's latest earlier file: fields only
-the rescue column holds are new, fields of the target without any member are gone, values of other types drifted.
+The list of changes comes from ingesting each file under the schema of the store's latest earlier file: fields only the
+rescue column holds are new, fields of the target without any member are gone, values of other types drifted, and
+rescued values that replay into a gone field unchanged make a rename.
 
 Defined results: payloads that are null or no JSON object have no fields (they count as records, and are rescued
 whole under the path ''); repeated rows change nothing (of copies that differ, the highest raw_id counts); an object
 without members is no field; null members make a field there, without a type; an empty table gives no changes.
 
-Scale: flattening runs in Arrow batches, its aggregate per (cache, file, store, path) combines map-side; values are
-compared only for fields that are gone or new (a join on the changed fields), record by record through joins on
-(cache, store, file, record), so no file or cache is gathered in one task.
+Scale: flattening runs in Arrow batches, its aggregate per (cache, file, store, path) combines map-side; payloads meet
+their target in one equi-join on (cache, store, file), which AQE splits where a file is hot; only drifted records go on,
+and values are compared as sums of hashes per field, so no file, cache or pair of fields is gathered or multiplied. A
+window over the files of a store in a cache holds one row per file.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Mapping
+from functools import lru_cache, reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,6 +35,8 @@ from threadlake.session import cut
 
 #: Types of leaf values, as reported.
 TYPES = ("string", "number", "boolean", "array")
+#: The rescue column.
+RESCUED = "_rescued"
 
 
 def leaves(value: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
@@ -104,68 +110,139 @@ def schemas(raw: DataFrame) -> DataFrame:
     return seen.groupBy("cache_id", "store", "file_no", "path").agg(F.array_sort(F.collect_set("type")).alias("types"))
 
 
+FILE = ["cache_id", "store", "file_no"]
+
+
+def layouts(raw: DataFrame) -> DataFrame:
+    """A row per file and store: cache_id, store, file_no, own (path to types), target (``own`` of the store's latest earlier file, null for its first), following (``own`` of its next one)."""
+    seen = schemas(raw)
+    fields = seen.groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.when(F.col("path") != "", F.struct("path", "types")))).alias("own"))  # as wide as a store's layout
+    order = W.partitionBy("cache_id", "store").orderBy("file_no")
+    return fields.select("*", F.lag("own").over(order).alias("target"), F.lead(F.struct("file_no", "own")).over(order).alias("after")).select(*FILE, "own", "target", F.col("after.file_no").alias("after"), F.col("after.own").alias("following"))
+
+
+def _less(a: str, b: str) -> Column:
+    """The paths of one layout that another lacks."""
+    return F.array_except(F.map_keys(a), F.map_keys(b))
+
+
+def _enforced_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record under the schema of the store's earlier file: what has to be rescued, and why; and the values it has of fields that end with its file."""
+    dumps = json.JSONEncoder(sort_keys=True, ensure_ascii=False).encode
+    loads = lru_cache(maxsize=4096)(json.loads)
+    schema = pa.schema([("cache_id", pa.int64()), ("store", pa.string()), ("step", pa.int32()), ("side", pa.int32()), ("rec_key", pa.string()), ("raw_id", pa.int64()), (RESCUED, pa.string()), ("why", pa.map_(pa.string(), pa.string()))])
+    for batch in batches:
+        out: list[tuple] = []
+        for cache, store, file_no, key, raw_id, text, target, after, ending, matched in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            record = dict(leaves(parse(text) or {}))
+            if target is not None:
+                goal, rescued, why = loads(target), {}, []
+                for path, v in record.items():
+                    kinds = goal.get(path)
+                    if not path:
+                        continue
+                    if kinds is None:
+                        rescued[path] = v
+                        why.append((path, "added"))
+                    elif v is not None and kinds and json_type(v) not in kinds:
+                        rescued[path] = v
+                        why.append((path, "type_changed"))
+                if rescued or matched:
+                    out.append((cache, store, file_no, 1, key, raw_id, dumps(rescued) if rescued else None, why))
+            if ending is not None:
+                out.append((cache, store, after, 0, key, raw_id, dumps({p: record[p] for p in ending if record.get(p) is not None}), []))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
+def enforce(raw: DataFrame, layout: DataFrame) -> DataFrame:
+    """Ingestion of each file under the schema of the store's earlier file.
+
+    cache_id, store, step (the later file), side, rec_key, raw_id, _rescued, why. Side 1: records of the later file that
+    have rescued values, with the reason by path (``added``: unknown to the target; ``type_changed``: not of its types).
+    Side 0: records of the earlier file with their values of the fields that end there. Where a step ends fields and has
+    new ones, all its records are given on both sides, as such fields may be the same under another name.
+    """
+    swapped = (F.size(_less("own", "following")) > 0) & (F.size(_less("following", "own")) > 0)
+    plan = layout.select(
+        *FILE,
+        F.when(F.size("target") >= 0, F.to_json("target")).alias("target"),
+        F.when(F.col("following").isNotNull() & swapped, F.col("after")).alias("after"),
+        F.when(F.col("following").isNotNull() & swapped, _less("own", "following")).alias("ending"),
+        F.coalesce((F.size(_less("target", "own")) > 0) & (F.size(_less("own", "target")) > 0), F.lit(False)).alias("matched"),
+    ).filter("target is not null or ending is not null")
+    rows = raw.select("cache_id", "store", "file_no", "rec_key", "raw_id", "payload").join(plan, FILE)
+    rows = rows.select("cache_id", "store", "file_no", "rec_key", "raw_id", "payload", "target", "after", "ending", "matched")
+    return rows.mapInArrow(_enforced_batches, f"cache_id long, store string, step int, side int, rec_key string, raw_id long, {RESCUED} string, why map<string,string>")
+
+
 def changes(raw: DataFrame) -> DataFrame:
     """cache_id, file_no, store, change_type, field_name, new_name: each file's fields against those of the store's latest earlier file.
 
-    A value set of two types differs from one with either alone; a field without a typed value on one side has no type
-    change. Where several pairs of gone and new fields hold the same values, the pairs with most values, then the
-    alphabetically first, are the renames, each field used once.
+    Every file is ingested under the earlier file's schema (``enforce``). Unknown fields in the rescue column are added,
+    values there that the target's types can't hold make a type change (so does a type of the target that no value has
+    any more), fields of the target that no record has are removed. Of a step that removes and adds fields the rescued
+    values are replayed record by record into the removed fields: fields that hold the same are renamed.
+
+    A field without a typed value on one side has no type change. Where several removed and added fields hold the same
+    values, they are paired in alphabetical order, each once.
     """
-    seen = cut(schemas(raw))  # small: one row per file and field; read several times below
-    files = seen.filter("path = ''").select("cache_id", "store", "file_no")
-    order = W.partitionBy("cache_id", "store").orderBy("file_no")
-    steps = files.withColumn("before", F.lag("file_no").over(order)).withColumn("after", F.lead("file_no").over(order))
-    fields = seen.filter("path <> ''").join(steps, ["cache_id", "store", "file_no"])
-    later = fields.filter("before is not null").select("cache_id", "store", "file_no", "path", F.col("types").alias("new_types"))
-    target = fields.filter("after is not null").select("cache_id", "store", F.col("after").alias("file_no"), "path", F.col("types").alias("old_types"))
-    both = target.join(later, ["cache_id", "store", "file_no", "path"], "full")
-    kind = F.when(F.col("new_types").isNull(), "removed").when(F.col("old_types").isNull(), "added").when((F.size("old_types") > 0) & (F.size("new_types") > 0) & (F.col("old_types") != F.col("new_types")), "type_changed")
-    plain = both.select("cache_id", "store", "file_no", F.col("path").alias("field_name"), kind.alias("change_type")).filter("change_type is not null")
-    renames = cut(_renames(raw, plain, steps))
-
-    gone = renames.select("cache_id", "store", "file_no", "field_name", F.lit("removed").alias("change_type"))
-    come = renames.select("cache_id", "store", "file_no", F.col("new_name").alias("field_name"), F.lit("added").alias("change_type"))
-    rest = plain.join(gone.unionByName(come), ["cache_id", "store", "file_no", "field_name", "change_type"], "left_anti")
+    layout = cut(layouts(raw))  # a row per file and store, read below for targets and for what is absent
+    records = cut(enforce(raw, layout))  # only what drifted
+    key = ["cache_id", "store", "file_no"]
+    rescued = records.filter("side = 1").select("cache_id", "store", F.col("step").alias("file_no"), F.explode("why").alias("field_name", "change_type")).distinct()
+    gone = layout.filter("target is not null").select(*key, F.explode(_less("target", "own")).alias("field_name"), F.lit("removed").alias("change_type"))
+    kept = layout.filter("target is not null").select(*key, "own", F.explode("target").alias("field_name", "old"))
+    now = F.try_element_at("own", "field_name")
+    narrowed = kept.filter((F.size("old") > 0) & (F.size(now) > 0) & (F.size(F.array_except(now, "old")) == 0) & (F.size(F.array_except("old", now)) > 0)).select(*key, "field_name", F.lit("type_changed").alias("change_type"))
+    plain = rescued.unionByName(gone).unionByName(narrowed)
+    renames = cut(_renames(records))
+
+    was = renames.select(*key, "field_name", F.lit("removed").alias("change_type"))
+    became = renames.select(*key, F.col("new_name").alias("field_name"), F.lit("added").alias("change_type"))
+    rest = plain.join(was.unionByName(became), [*key, "field_name", "change_type"], "left_anti")
     columns = ["cache_id", "file_no", "store", "change_type", "field_name", "new_name"]
     return rest.withColumn("new_name", F.lit("")).select(*columns).unionByName(renames.withColumn("change_type", F.lit("renamed")).select(*columns))
 
 
-def _renames(raw: DataFrame, plain: DataFrame, steps: DataFrame) -> DataFrame:
-    """cache_id, store, file_no, field_name, new_name of the fields that went on under another name."""
-    # Only files that lost and gained fields can hold renames; each is read with its earlier file.
-    key = ["cache_id", "store", "file_no"]
-    per_file = plain.groupBy(*key).agg(F.collect_set(F.when(F.col("change_type") == "removed", F.col("field_name"))).alias("gone"), F.collect_set(F.when(F.col("change_type") == "added", F.col("field_name"))).alias("come")).filter("size(gone) > 0 and size(come) > 0")
-    per_file = per_file.join(steps.select(*key, "before"), key)
-    wanted = per_file.select(*key, F.col("file_no").alias("later_no"), F.col("come").alias("paths"), F.lit(1).alias("side")).unionByName(per_file.select("cache_id", "store", F.col("before").alias("file_no"), F.col("file_no").alias("later_no"), F.col("gone").alias("paths"), F.lit(0).alias("side")))
-    rows = raw.select("cache_id", "store", "file_no", "rec_key", "raw_id", "payload").filter("rec_key is not null").join(wanted, key)
-    values = rows.mapInArrow(_picked_batches, "cache_id long, store string, later_no int, side int, rec_key string, raw_id long, values map<string,string>")
-    # One row per record and side (the highest raw_id of copies), then the two sides of a record that both files have.
-    record = ["cache_id", "store", "later_no", "rec_key"]
-    sides = values.groupBy(*record).agg(F.max_by(F.when(F.col("side") == 0, F.col("values")), F.when(F.col("side") == 0, F.col("raw_id"))).alias("old"), F.max_by(F.when(F.col("side") == 1, F.col("values")), F.when(F.col("side") == 1, F.col("raw_id"))).alias("new")).filter("old is not null and new is not null")
-    sides = sides.join(per_file.select("cache_id", "store", F.col("file_no").alias("later_no"), "gone", "come"), ["cache_id", "store", "later_no"])
-    pairs = sides.select("cache_id", "store", "later_no", "old", "new", "come", F.explode("gone").alias("field_name")).select("*", F.explode("come").alias("new_name"))
-    was, now = F.try_element_at("old", "field_name"), F.try_element_at("new", "new_name")
-    same = (
-        pairs.groupBy("cache_id", "store", "later_no", "field_name", "new_name")
-        .agg(F.bool_and(was.eqNullSafe(now)).alias("same"), F.count_if(was.isNotNull() & now.isNotNull()).alias("n"))
-        .filter("same and n >= 2")
-    )
-    # The pairs of one file in their order, each taken unless one of its fields is taken already.
-    ranked = same.groupBy("cache_id", "store", F.col("later_no").alias("file_no")).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "field_name", "new_name"))).alias("pairs"))
-    none = F.array().cast("array<struct<m:bigint,field_name:string,new_name:string>>")
-    taken = F.aggregate("pairs", none, lambda done, x: F.when(F.exists(done, lambda p: (p["field_name"] == x["field_name"]) | (p["new_name"] == x["new_name"])), done).otherwise(F.concat(done, F.array(x))))
-    return ranked.select("cache_id", "store", "file_no", F.explode(taken).alias("p")).select("cache_id", "store", "file_no", "p.field_name", "p.new_name")
-
-
-def _picked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash of record and value for each value of either side."""
     dumps = json.JSONEncoder(sort_keys=True, ensure_ascii=False).encode
     for batch in batches:
-        picked = []
-        for text, paths in zip(batch.column("payload").to_pylist(), batch.column("paths").to_pylist(), strict=True):
-            found = dict(leaves(parse(text) or {}))
-            picked.append([(p, dumps(found[p])) for p in paths if found.get(p) is not None])
-        rest = batch.select(["cache_id", "store", "later_no", "side", "rec_key", "raw_id"])
-        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(picked, pa.map_(pa.string(), pa.string()))], names=[*rest.schema.names, "values"])
+        at, sides, fields, first, second = [], [], [], [], []
+        for i, (key, old, new, added) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("rec_key", "old", "new", "added")], strict=True)):
+            for side, text in ((0, old), (1, new)):
+                for path, v in json.loads(text).items() if text else ():
+                    if v is not None and (not side or path in added):
+                        bare = f"{key}\x00{dumps(v)}".encode("utf-8", "surrogatepass")
+                        at.append(i), sides.append(side), fields.append(path)
+                        first.append(xxhash.xxh64_intdigest(bare) - 2**63), second.append(xxhash.xxh64_intdigest(bare, 1) - 2**63)
+        rows = batch.select(["cache_id", "store", "step"]).take(pa.array(at, pa.int64()))
+        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(v, k) for v, k in zip((sides, fields, first, second), kinds, strict=True)]], names=[*rows.schema.names, "side", "field", "h1", "h2"])
+
+
+def _renames(records: DataFrame) -> DataFrame:
+    """cache_id, store, file_no, field_name, new_name of the fields that went on under another name.
+
+    The values that a field has in the records of both files are summed to a print of 128 bits; a removed and an added
+    field of a step match where prints and counts are equal. Equal prints make a class, paired by rank, so that neither
+    records nor fields are multiplied.
+    """
+    step = ["cache_id", "store", "step"]
+    # One row per record that both files have (of copies the highest raw_id counts); of the rescued values only those of unknown fields.
+    some = records.filter("rec_key is not null")
+    order = {side: F.when(F.col("side") == side, F.col("raw_id")) for side in (0, 1)}
+    held = some.groupBy(*step, "rec_key").agg(
+        F.max_by(F.struct(RESCUED), order[0]).alias("old"),
+        F.max_by(F.struct(RESCUED, F.map_keys(F.map_filter("why", lambda _, v: v == "added")).alias("added")), order[1]).alias("new"),
+    )
+    both = held.filter("old is not null and new is not null").select(*step, "rec_key", F.col(f"old.{RESCUED}").alias("old"), F.col(f"new.{RESCUED}").alias("new"), F.col("new.added").alias("added"))
+    prints = both.mapInArrow(_print_batches, "cache_id long, store string, step int, side int, field string, h1 long, h2 long")
+    sums = prints.groupBy(*step, "side", "field").agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    known = ["h1", "h2", "n"]
+    ranked = sums.withColumn("r", F.row_number().over(W.partitionBy(*step, "side", *known).orderBy("field")))
+    old, new = (ranked.filter(F.col("side") == side).select(*step, *known, "r", F.col("field").alias(name)) for side, name in ((0, "field_name"), (1, "new_name")))
+    return old.join(new, [*step, *known, "r"]).select("cache_id", "store", F.col("step").alias("file_no"), "field_name", "new_name")
 
 
 # Rescue-column tables
@@ -191,7 +268,6 @@ def _ingest(target: dict[str, str], batches: Iterator[pa.RecordBatch]) -> Iterat
         yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *target, RESCUED])
 
 
-RESCUED = "_rescued"
 ARROW = {"string": pa.string(), "number": pa.float64(), "long": pa.int64(), "boolean": pa.bool_(), "array": pa.string()}
 SQL_TYPES = {"string": "string", "number": "double", "long": "bigint", "boolean": "boolean", "array": "string"}
 
@@ -240,12 +316,13 @@ def promote(table: DataFrame, approved: Mapping[str, str]) -> DataFrame:
     goal, names = dict(approved), [c for c in table.columns if c != RESCUED]
     new = {p: k for p, k in goal.items() if p.lower() not in {n.lower() for n in names}}
     types = dict(table.dtypes)
+    at = {c: f"c{i}" for i, c in enumerate(table.columns)}  # names with dots don't reach Python as columns
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: dict[str, list] = {p: [] for p in new}
             left = []
-            for text in batch.column(RESCUED).to_pylist():
+            for text in batch.column(at[RESCUED]).to_pylist():
                 rest = json.loads(text) if text else {}
                 for p, k in new.items():
                     cast = to_type(rest.get(p), k)
@@ -253,28 +330,62 @@ def promote(table: DataFrame, approved: Mapping[str, str]) -> DataFrame:
                     if cast is not None or rest.get(p, 0) is None:
                         rest.pop(p, None)
                 left.append(json.dumps(rest, ensure_ascii=False, sort_keys=True) if rest else None)
-            arrays = [*batch.select(names).columns, *[pa.array(columns[p], ARROW[k]) for p, k in new.items()], pa.array(left, pa.string())]
+            arrays = [*batch.select([at[c] for c in names]).columns, *[pa.array(columns[p], ARROW[k]) for p, k in new.items()], pa.array(left, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, *new, RESCUED])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), *(f"`{p}` {SQL_TYPES[k]}" for p, k in new.items()), f"`{RESCUED}` string"])
-    return table.mapInArrow(replay, schema)
+    return table.toDF(*at.values()).mapInArrow(replay, schema)
 
 
-def majority_schema(raw: DataFrame, store: str, share: float = 0.5) -> dict[str, str]:
-    """Fields of a store that at least ``share`` of its files hold, each with the type most files give it.
+def held_fields(raw: DataFrame) -> dict[str, list[tuple[str, str, float]]]:
+    """By store: each field with the type that most files give it and the share of the store's files that hold it.
 
-    A row per field comes to the driver: as many as the layout of one store has.
+    A row per store and field comes to the driver: as many as the layouts of the stores have.
     """
-    seen = cut(schemas(raw.filter(F.col("store") == store)))
-    files = seen.filter("path = ''").count()
-    typed = seen.filter("path <> ''").select("path", F.explode("types").alias("type")).groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
-    best = typed.groupBy("path").agg(F.max(F.struct("n", "type")).alias("b"), F.sum("n").alias("all")).filter(F.col("all") >= files * share)
-    return {r.path: r.b.type for r in best.orderBy("path").collect()}
+    seen = schemas(raw)
+    counted = seen.select("store", "path", F.explode_outer("types").alias("type")).groupBy("store", "path", "type").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("store", "path").agg(F.max(F.struct(F.when(F.col("type").isNotNull(), F.col("n")).alias("n"), "type")).alias("b"), F.sum("n").alias("all"))
+    found: dict[str, list[tuple[str, str, float]]] = {}
+    rows = best.orderBy("store", "path").collect()
+    files = {r.store: r["all"] for r in rows if r.path == ""}
+    for r in rows:
+        if r.path and r.b.type is not None:
+            found.setdefault(r.store, []).append((r.path, r.b.type, r["all"] / files[r.store]))
+    return found
 
 
-def store_table(raw: DataFrame, store: str, target: Mapping[str, str] | None = None) -> DataFrame:
-    """One table of a store over all its files: repeated rows once (the highest raw_id), typed fields, the rest rescued."""
-    rows = raw.filter(F.col("store") == store)
+def majority_schema(raw: DataFrame, store: str, share: float = 0.5) -> dict[str, str]:
+    """Fields of a store that at least ``share`` of its files hold, each with the type most files give it."""
+    return {p: k for p, k, held in held_fields(raw.filter(F.col("store") == store)).get(store, []) if held >= share}
+
+
+def one_each(raw: DataFrame) -> DataFrame:
+    """Repeated rows of a record in a file once (the highest raw_id)."""
     w = W.partitionBy("cache_id", "file_no", "store", "rec_key").orderBy(F.desc("raw_id"))
-    once = rows.select("raw_id", "cache_id", "file_no", "store", "rec_key", "payload").withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return raw.select("raw_id", "cache_id", "file_no", "store", "rec_key", "payload").withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def store_table(raw: DataFrame, store: str, target: Mapping[str, str] | None = None) -> DataFrame:
+    """One table of a store over all its files: repeated rows once, typed fields, the rest rescued."""
+    once = one_each(raw.filter(F.col("store") == store))
     return ingest(once, majority_schema(raw, store) if target is None else target)
+
+
+def promoted_counts(raw: DataFrame, first: float = 0.9, approved: float = 0.5) -> DataFrame:
+    """Ingest, then promote: store, cache_id, file_no, records, replayed, rescued.
+
+    Each store is ingested under the fields that ``first`` of its files hold; those that ``approved`` of them hold are
+    promoted then, and their rescued values replayed. ``replayed`` counts the values that went from the rescue column
+    into typed columns, ``rescued`` the records that still have some left.
+    """
+    parts = []
+    for store, fields in sorted(held_fields(raw).items()):
+        base = {p: k for p, k, held in fields if held >= first}
+        new = {p: k for p, k, held in fields if approved <= held < first}
+        table = promote(store_table(raw, store, base), new)
+        names = [c for c in table.columns if c in new]
+        filled = sum((F.col(f"`{c}`").isNotNull().cast("long") for c in names), F.lit(0).cast("long"))
+        parts.append(table.groupBy("store", "cache_id", "file_no").agg(F.count(F.lit(1)).alias("records"), F.sum(filled).alias("replayed"), F.count(RESCUED).alias("rescued")))
+    if not parts:
+        return raw.sparkSession.createDataFrame([], "store string, cache_id long, file_no int, records long, replayed long, rescued long")
+    return reduce(DataFrame.unionByName, parts)

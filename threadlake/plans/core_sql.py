@@ -45,6 +45,26 @@ where not exists (select 1 from ren where ren.cache_id = c.cache_id and ren.stor
 union all select cache_id, file_no, store, 'renamed', field_name, new_name from ren
 """
 
+
+
+def _promoted(first: float, approved: float, columns: str) -> str:
+    """Counts of records, of values replayed and of records with rescued values, under the fields' majority types."""
+    head = P2[: P2.index("files as (select distinct")]
+    return head + f"""
+per_type as (select store, path, type, count(*) as n from (select store, path, unnest(case when len(types) = 0 then [null] else types end) as type from seen) group by all),
+best as (select store, path, arg_max(type, (n, type)) filter (type is not null) as kind, sum(n) as held from per_type group by all),
+size as (select store, count(*) as files from (select distinct cache_id, store, file_no from raw) group by all),
+fields as (select store, path, kind, held / files >= {first} as base from best join size using (store) where kind is not null and held / files >= {approved}),
+once as (select * from (select *, row_number() over (partition by cache_id, file_no, store, rec_key order by raw_id desc) as rn from raw) where rn = 1),
+cell as (select l.raw_id, f.base, l.type is null as none, f.kind is not null and (l.type is null or l.type = f.kind or (f.kind = 'number' and l.type = 'string' and try_cast(l.v->>'$' as double) is not null)
+    or (f.kind = 'boolean' and l.type = 'string' and l.v->>'$' in ('true', 'false'))) as fits
+  from leaf l left join fields f on f.store = l.store and f.path = l.path),
+per_record as (select raw_id, count(*) filter (fits and not base and not none) as replayed, bool_or(not fits) as rescued from cell group by all),
+counts as (select o.store, o.cache_id, o.file_no, count(*)::bigint as records, coalesce(sum(replayed), 0)::bigint as replayed, count(*) filter (p.rescued)::bigint as rescued from once o left join per_record p using (raw_id) group by all)
+select {columns} from counts
+"""
+
+
 P4 = f"""
 with {KEPT},
 said as (select {MRI.format('sender_mri')} as sender_mri, ts, conv_id from kept where not coalesce(is_system, false) and ts > 0),
@@ -89,4 +109,4 @@ alive as (select o.* from once o left join gone g using (cache_id, entry_key) wh
 select cache_id, entry_key, seq from (select *, row_number() over (partition by cache_id, entry_key order by v desc, seq desc) as rn from alive) where rn = 1
 """
 
-SQL = {"p2_found": P2, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7}
+SQL = {"p2_found": P2, "p2_promoted": _promoted(0.9, 0.5, "*"), "p2_rescued": _promoted(0.5, 0.5, "store, cache_id, file_no, records, rescued"), "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7}

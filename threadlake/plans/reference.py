@@ -159,10 +159,8 @@ def pending_ranges(spark, root):
 
 
 def rescued(spark, root):
-    """Records of the profiles store under an approved schema: how many have rescued fields, by file."""
-    raw = table(spark, root, "raw_records").filter("store = 'profiles'")
-    typed = drift.ingest(raw, {"mri": "string", "displayName": "string", "email": "string", "department": "string"})
-    return typed.groupBy("cache_id", "file_no").agg(F.count(F.lit(1)).alias("records"), F.count("mri").alias("with_mri"), F.count(drift.RESCUED).alias("with_rescued"))
+    """Records of all stores under the fields that most of their files hold: how many have rescued values, by file."""
+    return drift.promoted_counts(table(spark, root, "raw_records"), first=0.5).drop("replayed")
 
 
 QUERIES = {
@@ -262,6 +260,7 @@ QUERIES = {
     "incremental_equals_full": incremental_equals_full,
     "p6_pending_ranges": pending_ranges,
     "p2_rescued": rescued,
+    "p2_promoted": lambda spark, root: drift.promoted_counts(table(spark, root, "raw_records")),
     "p2_table_profiles": lambda spark, root: drift.store_table(table(spark, root, "raw_records"), "profiles"),
     "p2_table_conversations": lambda spark, root: drift.store_table(table(spark, root, "raw_records"), "conversations"),
     "p2_table_replychains": lambda spark, root: drift.store_table(table(spark, root, "raw_records"), "replychains"),
