@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadlake.session import cut
+
 
 def sessions(events: DataFrame, entity: str, ts: str, gap: int, distinct: str | None = None) -> DataFrame:
     """Columns: entity, start_ts, end_ts, n_events and, with ``distinct``, n_distinct of that column (nulls not counted)."""
@@ -29,7 +31,9 @@ def sessions(events: DataFrame, entity: str, ts: str, gap: int, distinct: str |
     rows = events.select(F.col(entity).alias("entity"), F.col(ts).cast("long").alias("ts"), *([F.col(distinct).alias("item")] if distinct else []))
     rows = rows.filter("entity is not null and ts is not null")
     keys = ["entity", "cell"] + (["item"] if distinct else [])
+    # Written once, as the steps below read it three times: small beside the events where they are dense.
     fine = rows.select("*", cell).groupBy(*keys).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
+    fine = cut(fine)
     cells = fine.groupBy("entity", "cell").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")) if distinct else fine
 
     # Both ends of each cell as points; the later one carries no count.
