@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from threadlake.session import cut
 from threadlake.operators import changefeed, drift, fold, intervals, ledger, ordering, sessions, snapshot
 
 BIG = 2**62
@@ -103,14 +104,27 @@ def test_live_records(spark, seed):
     r.shuffle(feed)
     df = spark.createDataFrame(feed, FEED).withColumn("_rank", F.lit(0))
     assert rows(changefeed.live_records(df).select("cache_id", "entry_key", "seq")) == fold_by_hand(feed)
-    # In two parts, the second twice: the same table.
-    cut = sorted(f[1] for f in feed if f[1] is not None)[80]
-    first = changefeed.live_records(df.filter(F.col("seq") <= cut)).select("cache_id", "entry_key", "seq", "version")
-    late = df.filter(F.col("seq") > cut)
-    again = changefeed.merge(changefeed.merge(first, late), late)
-    if not any(f[2] == 0 and f[1] is not None and f[1] > cut for f in feed):
-        assert rows(again.select("cache_id", "entry_key", "seq")) == fold_by_hand(feed)
-    assert rows(changefeed.merge(first, late).select("cache_id", "entry_key", "seq")) == fold_by_hand(feed)
+    # In parts of any order, the last one twice: the same table.
+    columns = [c for c in df.columns if c != "_rank"]
+    parts = [spark.createDataFrame(feed[i::3], FEED) for i in range(3)]
+    state = changefeed.state(parts[2])
+    for part in (parts[0], parts[1], parts[1]):
+        state = cut(changefeed.merge(state, part))
+        assert set(state.columns) == set(columns)
+    assert rows(changefeed.live_records(state).select("cache_id", "entry_key", "seq")) == fold_by_hand(feed)
+
+
+def test_late_changes(spark):
+    def table(*parts):
+        state = changefeed.state(spark.createDataFrame(parts[0], FEED))
+        for part in parts[1:]:
+            state = cut(changefeed.merge(state, spark.createDataFrame(part, FEED)))
+        return [x[2] for x in rows(changefeed.live_records(state).select("cache_id", "entry_key", "seq"))]
+
+    assert table([(1, 5, 1, "k", "1"), (1, 9, 0, "k", None)], [(1, 7, 1, "k", "5")]) == []
+    assert table([(1, 5, 1, "k", "10"), (1, 9, 1, "k", "3")], [(1, 7, 0, "k", None)]) == [9]
+    assert table([(1, 5, 1, "k", "10"), (1, 9, 1, "k", "3")]) == [5]
+    assert table([(1, 5, 1, "k", "1"), (1, 5, 1, "k", "2"), (1, 5, 0, "k", None)]) == []
 
 
 def test_feed_of_nothing(spark):
@@ -136,6 +150,16 @@ def test_runs_and_subtract(spark):
     assert ledger.subtract(df.limit(0), done, ["k"]).count() == 0
 
 
+def test_intervals_far_and_wide(spark):
+    wide = [("a", 0, 2**40), ("a", 2**40 + 1, 2**41), ("a", 2**41 + 2, 2**41 + 5), ("a", 5, 7), (None, 1, 2), (None, 3, 3), ("b", -5, -5)] + [("s", 2 * i, 2 * i) for i in range(300)] + [("t", 70_000 * i, 70_000 * i + 5) for i in range(200)] + [("t", 3, 69_999)]
+    merged = ledger.merge_intervals(spark.createDataFrame(wide, "k string, lo long, hi long").withColumn("reached", F.lit(1)), ["k"])
+    want = [("a", 0, 2**41), ("a", 2**41 + 2, 2**41 + 5), (None, 1, 3), ("b", -5, -5)] + [("s", 2 * i, 2 * i) for i in range(300)] + [("t", 0, 70_005)] + [("t", 70_000 * i, 70_000 * i + 5) for i in range(2, 200)]
+    assert rows(merged) == sorted(want, key=repr)
+    seen = [("a", 2**40 + 9), ("a", 2**41 + 1), ("a", 2**41 + 5), ("a", -1), ("a", 2**41 + 6), (None, 3), (None, 4), ("t", 140_005), ("t", 140_006), ("z", 1), ("a", None)]
+    left = ledger.subtract(spark.createDataFrame(seen, "k string, seq long"), merged, ["k"])
+    assert rows(left) == sorted([("a", 2**41 + 1), ("a", -1), ("a", 2**41 + 6), (None, 4), ("t", 140_006), ("z", 1)], key=repr)
+
+
 def test_ledger_survives_failure_and_late_commits(spark, tmp_path):
     book = ledger.Ledger(spark, str(tmp_path), ["k"])
     table = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 5, "z")], "k string, seq long, v string")
@@ -150,6 +174,8 @@ def test_ledger_survives_failure_and_late_commits(spark, tmp_path):
     book.run(more, lambda df: df)
     book.run(more, lambda df: df)
     assert rows(book.output().select("k", "seq")) == [("a", 1), ("a", 2), ("a", 3), ("a", 5), ("b", 1)]
+    with pytest.raises(FileExistsError):
+        book.commits.commit(0, {})
     assert rows(book.intervals()) == [("a", 1, 3), ("a", 5, 5), ("b", 1, 1)]
 
 

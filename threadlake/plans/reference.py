@@ -11,6 +11,7 @@ from threadlake.plans import analytics as a
 from threadlake.plans import chat as c
 from threadlake.plans import search as s
 from threadlake.plans import render, silver
+from threadlake.session import cut
 from threadlake.tables import table
 
 
@@ -142,14 +143,18 @@ def describe_schema(spark, root):
 
 
 def incremental_equals_full(spark, root):
-    """Rows by which applying the feed in two parts differs from applying it at once: none."""
+    """Rows by which applying the feed in three parts, as they arrived and the last one twice, differs from applying it at once: none."""
     feed = table(spark, root, "store_entries")
-    full = changefeed.live_records(feed, keep=["entry_value"]).select("cache_id", "entry_key", "seq", "version", "entry_value")
-    cut = feed.groupBy("cache_id").agg(F.expr("percentile_disc(0.5) within group (order by seq)").alias("cut"))
-    halves = feed.join(cut, "cache_id")
-    first = changefeed.live_records(halves.filter("seq <= cut"), keep=["entry_value"]).select("cache_id", "entry_key", "seq", "version", "entry_value")
-    second = changefeed.merge(first, halves.filter("seq > cut"), keep=["entry_value"])
-    return full.exceptAll(second).unionByName(second.exceptAll(full)).select("cache_id", "entry_key")
+    columns = ["cache_id", "entry_key", "seq", "version", "entry_value"]
+    full = changefeed.live_records(feed, keep=["entry_value"]).select(*columns)
+    span = feed.agg(F.unix_micros(F.min("landed_at").cast("timestamp")).alias("a"), F.unix_micros(F.max("landed_at").cast("timestamp")).alias("b")).first()
+    first, last = span["a"] or 0, span["b"] or 0
+    part = F.coalesce(F.floor(3 * (F.unix_micros(F.col("landed_at").cast("timestamp")) - first) / F.lit(last - first + 1)), F.lit(0))
+    state = feed.limit(0).select("cache_id", "entry_key", "seq", "op_type", "version", "entry_value")
+    for n in (0, 1, 2, 2):
+        state = cut(changefeed.merge(state, feed.filter(part == n), keep=["entry_value"]))
+    parts = changefeed.live_records(state, keep=["entry_value"]).select(*columns)
+    return full.exceptAll(parts).unionByName(parts.exceptAll(full)).select("cache_id", "entry_key")
 
 
 def pending_ranges(spark, root):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlake import storage
 from threadlake.functions.mri import clean_mri
 from threadlake.operators import changefeed
 
@@ -22,20 +23,20 @@ def daily_counts(messages: DataFrame, late: str = "2 days") -> DataFrame:
 
 
 def apply_feed(stream: DataFrame, folder: str, checkpoint: str, keep: tuple[str, ...] = ()):
-    """Keep a table of live records up to a stream of store entries: each batch is merged into the next version.
+    """Keep the state of a change feed up to a stream of store entries: each batch is merged into the next version.
 
-    A version's folder is named by its batch, so a batch that is run again after a failure writes the same version.
-    Deletes are kept as rows of the version's ``deleted`` table, so that entries which come late lose against them.
+    ``changefeed.live_records`` of the latest version is the table. A version's folder is named by its batch, so a batch
+    that is run again after a failure writes the same version; the version before the last is deleted. A batch reads
+    and writes the state, whose size is that of the keys, not of the feed.
     """
     columns = ["cache_id", "entry_key", "seq", "op_type", "version", *keep]
 
     def step(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         new = batch.select(*columns)
-        if n:
-            new = new.unionByName(spark.read.parquet(f"{folder}/v{n - 1}"))
-        alive = changefeed.live_records(new, keep=list(keep)).select("cache_id", "entry_key", "seq", F.lit(changefeed.PUT).alias("op_type"), "version", *keep)
-        gone = new.filter(F.col("op_type") == changefeed.DELETE).groupBy("cache_id", "entry_key").agg(F.max("seq").alias("seq")).select("cache_id", "entry_key", "seq", F.lit(changefeed.DELETE).alias("op_type"), F.lit(None).cast("string").alias("version"), *[F.lit(None).cast(dict(new.dtypes)[k]).alias(k) for k in keep])
-        alive.unionByName(gone).write.mode("overwrite").parquet(f"{folder}/v{n}")
+        base = spark.read.parquet(f"{folder}/v{n - 1}") if n else new.limit(0)
+        changefeed.merge(base, new, keep=list(keep)).write.mode("overwrite").parquet(f"{folder}/v{n}")
+        if n > 1:
+            storage.delete(spark, f"{folder}/v{n - 2}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
