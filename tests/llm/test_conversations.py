@@ -48,7 +48,30 @@ def test_reasons_and_order(spark):
     for conv in {x.conv_id for x in got}:
         own = sorted((x for x in got if x.conv_id == conv), key=lambda x: x.position)
         assert [x.position for x in own] == list(range(len(own)))
-        assert own == sorted(own, key=lambda x: (x.ts, x.id))
+    told = {r[0]: r for r in data}
+    contents = {(r[1], r[2]): r[7] for r in sorted(told.values(), key=lambda r: ((r[3] or 0), r[0]))}
+    assert all(x.content == contents[x.conv_id, x.id] for x in got)
+
+
+def test_order_by_paths(spark):
+    """Threads stay together; a reply that opens a thread of its own forks; roots that answer each other are no gap."""
+    day = 86_400_000
+    rows = [("1", "1", 10), ("2", "1", 20), ("3", "3", 15), ("4", "1", 3 * day), ("5", "1", 3 * day + 5), ("6", "3", 40), ("7", "2", 30), ("8", "9", 50), ("9", "8", 60), ("0", "0", 70)]
+    data = [(n, "c", i, 1, ts, "8:a" if n % 2 else "8:b", False, i, root) for n, (i, root, ts) in enumerate(rows)]
+    df = spark.createDataFrame(data, S)
+    got = [x.id for x in sorted(c.conversations(df).collect(), key=lambda x: x.position)]
+    assert got[:4] == ["1", "2", "3", "6"] and got.index("4") + 1 == got.index("5") and sorted(got) == sorted(i for i, _, _ in rows)
+    assert c.reasons(df).count() == 0
+    assert [tuple(x) for x in c.reasons(df.filter("id <> '3'")).collect()] == [("c", "broken")]
+
+
+def test_circles_and_long_paths(spark):
+    edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(150)] + [("x", "y"), ("y", "z"), ("z", "x"), ("p", "q"), ("q", "p"), ("s", "s")]
+    got = {r.frag_id: (r.head, r.place) for r in c.merge_paths(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {f"n{i:03}": ("n000", i) for i in range(1, 151)} | {"y": ("x", 1), "z": ("x", 2), "q": ("p", 1)}
+    parts = [("a", [1, 2]), ("b", [2, 3]), ("c", [3, 1])]
+    out = {r.frag_id: (r.path_id, r.place) for r in c.assemble(spark.createDataFrame(parts, "frag_id string, hashes array<long>")).collect()}
+    assert out == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2)}
 
 
 def test_assemble(spark):

@@ -1,20 +1,24 @@
 """Rebuilding conversations from message rows.
 
-A row comes out of the archive as an export fragment: the hashes of the messages it shows, in order. A reply shows its
-root and itself, any other row only itself. Fragments are assembled where the suffix of one equals the prefix of
-another: the equal hash makes an edge of the conversation's overlap graph. A prefix no fragment ends in is a gap: the
-message it names was never delivered. Paths without a gap are merged; where a message has several successors the order
-is that of time, then id. Conversations with a gap, without words, or without an answer are dropped.
+A row comes out of the archive as an export fragment: the hashes of the messages it shows, in order. The reply of a
+thread shows the message before it in the thread (for the first reply the thread's root) and itself, any other row only
+itself. Where the suffix of one fragment equals the prefix of another they overlap: the overlaps are the edges of the
+conversation's graph. Edges from a message with one successor are unambiguous, and the fragments along them are merged to
+paths; where a message has several successors each of them opens a path of its own. A path whose first prefix no
+fragment ends in has a gap there: the message was never delivered. Conversations with a gap, without words, or without
+an answer are dropped. The others are ordered by path (the time and id of its first message), then by place in the path.
 
 ``assemble`` does the same for fragments of any length (lists of hashes) and overlaps of one message or more.
 
-Scale: suffix and prefix meet in an equi-join on 64-bit hashes that are made distinct first, so a thread with a third
-of all replies is one row; counts per conversation combine map-side; positions within a conversation come from counts
-per day of it (``ordinals``), so no conversation is gathered in one task.
+Scale: rows are folded once, without their contents, and written; suffix and prefix meet in an equi-join on 128-bit
+hashes. Threads are linked within their days, so a thread with a third of all replies is spread; paths are merged by
+doubling pointers, of the rows that have a predecessor only. Counts per conversation combine map-side; positions come
+from counts per day, so no conversation and no path is gathered in one task.
 
 Defined results: rows without conv_id are left out; one row per (conv_id, id) is kept (highest version, null is 0,
 then highest row_no); a null root_id is a row of its own; a null content or is_system is an empty text and no system
-row; an empty table gives no rows; other columns are kept by name only.
+row; roots that answer each other in a circle are cut at the smallest hash; an empty table gives no rows; other columns
+are kept by name only.
 """
 
 from __future__ import annotations
@@ -59,25 +63,82 @@ def speaking(rows: DataFrame) -> DataFrame:
     return rows.withColumn("speaks", speaks).withColumn("person", F.when(is_person(F.col("sender_mri")), clean_mri(F.col("sender_mri"))))
 
 
-def fragments(kept: DataFrame) -> DataFrame:
-    """conv_id, prefix, suffix: the hash of the first and of the last message each row shows."""
-    own = F.xxhash64("conv_id", "id")
-    return kept.select("conv_id", F.when(F.col("root_id").isNull(), own).otherwise(F.xxhash64("conv_id", "root_id")).alias("prefix"), own.alias("suffix"))
+DAY = 86_400_000
 
 
-def gaps(frags: DataFrame) -> DataFrame:
-    """conv_id, prefix, n: prefixes in which no fragment of their conversation ends, with the number of fragments that start there."""
-    starts = frags.groupBy("conv_id", "prefix").agg(F.count(F.lit(1)).alias("n"))
-    ends = frags.select("conv_id", F.col("suffix").alias("prefix")).distinct()
-    return starts.join(ends, ["conv_id", "prefix"], "left_anti")
+def kept_rows(messages: DataFrame) -> DataFrame:
+    """The kept rows without their contents: row_no, conv_id, id, root_id, ts (null is 0), is_system, sender_mri, speaks, person. Written once."""
+    rows = speaking(messages.select("row_no", "conv_id", "id", "version", "ts", "sender_mri", "is_system", "content", "root_id"))
+    kept = kept_messages(rows.drop("content")).withColumn("ts", F.coalesce("ts", F.lit(0))).withColumn("is_system", F.coalesce("is_system", F.lit(False)))
+    return cut(kept.drop("version"))
 
 
-def reasons(messages: DataFrame) -> DataFrame:
-    """conv_id, reason: why a conversation is dropped ('broken', 'empty', 'no_reply'), a row for each."""
-    kept = kept_messages(messages.select("row_no", "conv_id", "id", "version", "sender_mri", "is_system", "content", "root_id"))
-    spoken = speaking(kept).select("conv_id", "id", "root_id", "speaks", F.when(F.col("speaks"), F.col("person")).alias("person"))
-    broken = gaps(fragments(spoken)).select("conv_id").distinct().withColumn("broken", F.lit(True))
-    talk = spoken.groupBy("conv_id", "person").agg(F.bool_or("speaks").alias("speaks")).groupBy("conv_id").agg(F.bool_or("speaks").alias("speaks"), F.count("person").alias("people"))
+def _hash(id_: str) -> Column:
+    return F.unhex(F.md5(F.concat(F.col("conv_id"), F.lit("\x1f"), F.coalesce(F.col(id_), F.lit("\x1f")))))
+
+
+def fragments(kept: DataFrame) -> DataFrame:
+    """conv_id, suffix, prefix: the hash of the last message that each row shows, and of the one before it (null for a row that shows itself only)."""
+    rows = kept.select("conv_id", "id", "root_id", "ts", F.floor(F.col("ts") / DAY).alias("day"))
+    is_reply = F.col("root_id").isNotNull() & ~F.col("root_id").eqNullSafe(F.col("id"))
+    alone = rows.filter(~is_reply).select("conv_id", _hash("id").alias("suffix"), F.lit(None).cast("binary").alias("prefix"))
+    thread = ["conv_id", "root_id"]
+    within = W.partitionBy(*thread, "day").orderBy("ts", "id")
+    linked = rows.filter(is_reply).withColumn("before", F.lag(F.struct("id")).over(within)).withColumn("last", F.lead("ts").over(within).isNull())
+    # The first reply of a day follows the last one of the thread's day before, or the root.
+    days = linked.filter("last").select(*thread, "day", F.lag("id").over(W.partitionBy(*thread).orderBy("day")).alias("carried"))
+    first = linked.filter("before is null").join(days, [*thread, "day"]).select("conv_id", "id", F.coalesce("carried", "root_id").alias("shown"))
+    later = linked.filter("before is not null").select("conv_id", "id", F.col("before.id").alias("shown"))
+    return alone.unionByName(first.unionByName(later).select("conv_id", _hash("id").alias("suffix"), _hash("shown").alias("prefix")))
+
+
+def paths(frags: DataFrame) -> DataFrame:
+    """The paths of the overlap graph: conv_id, node, path (the node it starts with), place, gap (whether the message shown before the path was never delivered)."""
+    nodes = frags.groupBy("suffix").agg(F.first("conv_id").alias("conv_id"), F.first("prefix", True).alias("prefix"))
+    nodes = cut(nodes.withColumnRenamed("suffix", "node"))
+    shown = nodes.filter("prefix is not null").groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("next"))
+    met = cut(shown.join(nodes.select(F.col("node").alias("prefix"), F.lit(True).alias("delivered")), "prefix", "left"))
+    merged = merge_paths(met.filter("delivered and n = 1").select(F.col("prefix").alias("src"), F.col("next").alias("dst")))
+    missing = met.filter("delivered is null").select("prefix", F.lit(True).alias("gap"))
+    opened = nodes.filter("prefix is not null").join(missing, "prefix").select(F.col("node").alias("path"), "gap")
+    placed = nodes.select("conv_id", "node").join(merged.select(F.col("frag_id").alias("node"), "head", "place"), "node", "left")
+    placed = placed.select("conv_id", "node", F.coalesce("head", "node").alias("path"), F.coalesce("place", F.lit(0)).cast("long").alias("place"))
+    return placed.join(opened, "path", "left").select("conv_id", "node", "path", "place", F.coalesce("gap", F.lit(False)).alias("gap"))
+
+
+def merge_paths(edges: DataFrame) -> DataFrame:
+    """frag_id, head, place: for each target of ``edges`` (src, dst; each a source and a target once at most) the start of its path, and how far from it it is.
+
+    Pointers are doubled until all rest at a start: a number of rounds logarithmic in the longest path, each written. A
+    circle has no start: when the smallest of a node's predecessors is the node itself, all were passed, and the edge into
+    this smallest node is dropped.
+    """
+
+    def doubled(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        state = cut(edges.select(F.col("dst").alias("frag_id"), F.col("src").alias("head"), F.lit(1).cast("long").alias("place"), F.col("src").alias("least_id")))
+        smallest = None
+        while True:
+            up = state.select(F.col("frag_id").alias("at"), F.col("head").alias("head2"), F.col("place").alias("place2"), F.col("least_id").alias("least2"))
+            moved = state.join(up, F.col("head") == F.col("at"), "left")
+            state = cut(moved.select("frag_id", F.coalesce("head2", "head").alias("head"), (F.col("place") + F.coalesce("place2", F.lit(0))).alias("place"), F.least("least_id", "least2").alias("least_id"), F.col("at").isNotNull().alias("moves")))
+            seen = state.filter("moves").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("least_id") == F.col("frag_id")).alias("circles")).first()
+            if not seen["n"]:
+                return state.select("frag_id", "head", "place"), smallest
+            if seen["circles"]:
+                smallest = state.filter("moves and least_id = frag_id").select("frag_id")
+                if not state.filter("moves").join(smallest.withColumnRenamed("frag_id", "least_id"), "least_id", "left_anti").take(1):
+                    return state.select("frag_id", "head", "place"), smallest
+
+    state, smallest = doubled(edges)
+    if smallest is not None:
+        state, _ = doubled(edges.join(smallest.withColumnRenamed("frag_id", "dst"), "dst", "left_anti"))
+    return state
+
+
+def _reasons(kept: DataFrame, graph: DataFrame) -> DataFrame:
+    broken = graph.filter("gap").select("conv_id").distinct().withColumn("broken", F.lit(True))
+    person = F.when(F.col("speaks"), F.col("person")).alias("person")
+    talk = kept.groupBy("conv_id", person).agg(F.bool_or("speaks").alias("speaks")).groupBy("conv_id").agg(F.bool_or("speaks").alias("speaks"), F.count("person").alias("people"))
     why = F.array_compact(
         F.array(
             F.when(F.col("broken"), F.lit("broken")),
@@ -88,20 +149,34 @@ def reasons(messages: DataFrame) -> DataFrame:
     return talk.join(broken, "conv_id", "left").select("conv_id", F.explode(why).alias("reason"))
 
 
+def reasons(messages: DataFrame) -> DataFrame:
+    """conv_id, reason: why a conversation is dropped ('broken', 'empty', 'no_reply'), a row for each."""
+    kept = kept_rows(messages)
+    return _reasons(kept, paths(fragments(kept)))
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """The ordered conversations that hold: conv_id, position, id, ts, role, content.
 
-    Rows that speak and system rows, ordered by ts (null is 0), then id. role: ``system``, ``bot``, ``unknown`` (no
-    MRI of a person) or ``speaker_k``, k counting a conversation's people by first appearance.
+    Rows that speak and system rows, in the order of their paths (time, null is 0, and id of a path's first message),
+    then of their places. role: ``system``, ``bot``, ``unknown`` (no MRI of a person) or ``speaker_k``, k counting a
+    conversation's people by first time, then id.
     """
-    kept = kept_messages(messages.select("row_no", "conv_id", "id", "version", "ts", "sender_mri", "is_system", "content", "root_id"))
-    rows = speaking(kept).withColumn("ts", F.coalesce("ts", F.lit(0))).withColumn("is_system", F.coalesce("is_system", F.lit(False)))
-    rows = rows.filter("speaks or is_system").join(reasons(messages).select("conv_id").distinct(), "conv_id", "left_anti")
+    kept = kept_rows(messages)
+    graph = cut(paths(fragments(kept)))
+    dropped = _reasons(kept, graph).select("conv_id").distinct()
+    hashed = kept.join(dropped, "conv_id", "left_anti").withColumn("node", _hash("id"))
+    placed = hashed.join(graph.select("node", "path", "place"), "node")
+    starts = placed.filter("place = 0").select("path", F.col("ts").alias("path_ts"), F.col("id").alias("path_id"))
+    rows = placed.filter("speaks or is_system").drop("node")
+    lengths = rows.groupBy("conv_id", "path").agg(F.count(F.lit(1)).alias("n")).join(starts, "path")
+    before = ordinals(lengths, ["conv_id"], "path_ts", ["path_id"], name="before", weight="n").select("path", "before")
+    rows = ordinals(rows, ["path"], "place", [], cell=1 << 16, name="in_path").join(before, "path").withColumn("position", F.col("before") + F.col("in_path"))
     people = rows.filter("speaks and person is not null").groupBy("conv_id", "person").agg(F.min(F.struct("ts", "id")).alias("first"))
     numbered = people.withColumn("k", F.row_number().over(W.partitionBy("conv_id").orderBy("first"))).select("conv_id", "person", "k")
-    placed = ordinals(rows, ["conv_id"], "ts", ["id"]).join(numbered, ["conv_id", "person"], "left")
     role = F.when(F.col("is_system"), "system").when(F.col("k").isNotNull(), F.concat(F.lit("speaker_"), F.col("k"))).when(is_bot(F.col("sender_mri")), "bot").otherwise("unknown")
-    return placed.select("conv_id", "position", "id", "ts", role.alias("role"), "content")
+    told = rows.join(numbered, ["conv_id", "person"], "left").select("row_no", "conv_id", "position", "id", "ts", role.alias("role"))
+    return told.join(messages.select("row_no", "content"), "row_no").drop("row_no")
 
 
 #: Polynomial hash of a list: fixed base, modulus 2^127 - 1. An end of a list is hashed from its prefixes in one step.
@@ -149,15 +224,15 @@ def _within(once: DataFrame) -> DataFrame:
     return met.filter("slice(hashes, at + 1, n) = own").select("frag_id").distinct()
 
 
-def assemble(frags: DataFrame, least: int = 1, rounds: int = 40) -> DataFrame:
+def assemble(frags: DataFrame, least: int = 1) -> DataFrame:
     """Merge fragments (frag_id string, hashes array<long>) along unambiguous overlaps.
 
     An overlap is a suffix of one fragment, of ``least`` messages or more, equal to a prefix of another; of a fragment's
     overlaps only the longest count. Equal fragments are one, and one within a longer fragment is absorbed by it: it gives
     no row. An edge is unambiguous
-    where its source has one successor and its target one predecessor; chains of such edges become one path, found by
-    doubling pointers (a number of rounds logarithmic in the length of the path, each checkpointed). Cycles are cut at
-    their smallest fragment. Returns path_id, place, frag_id, overlap (messages shared with the fragment before).
+    where its source has one successor and its target one predecessor; chains of such edges become one path
+    (``merge_paths``). Circles are cut at their smallest fragment. Returns path_id (the fragment it starts with), place,
+    frag_id, overlap (messages shared with the fragment before).
     """
     once = frags.filter("size(hashes) > 0").groupBy("hashes").agg(F.min("frag_id").alias("frag_id"))
     once = cut(once.select("frag_id", "hashes"))
@@ -171,13 +246,9 @@ def assemble(frags: DataFrame, least: int = 1, rounds: int = 40) -> DataFrame:
     met = tails.join(heads, ["k", "h"]).filter("nt = 1 and nh = 1 and src <> dst")
     out = met.groupBy("src").agg(F.max(F.struct("k", "dst")).alias("e")).select("src", "e.dst", "e.k")
     edges = out.groupBy("dst").agg(F.max(F.struct("k", "src")).alias("e")).select("e.src", "dst", "e.k")
-    state = once.select("frag_id").join(edges.select(F.col("dst").alias("frag_id"), F.col("src").alias("up"), F.col("k").alias("overlap")), "frag_id", "left")
-    state = cut(state.select("frag_id", F.coalesce("overlap", F.lit(0)).alias("overlap"), F.coalesce("up", "frag_id").alias("head"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("place"), F.least("frag_id", F.coalesce("up", "frag_id")).alias("least_id")))
-    for _ in range(rounds):
-        up = state.select(F.col("frag_id").alias("head"), F.col("head").alias("head2"), F.col("place").alias("place2"), F.col("least_id").alias("least2"))
-        nxt = cut(state.join(up, "head").select("frag_id", "overlap", F.col("head2").alias("head"), (F.col("place") + F.when(F.col("head") == F.col("head2"), 0).otherwise(F.col("place2"))).alias("place"), F.least("least_id", "least2").alias("least_id")))
-        moved = nxt.join(state.select("frag_id", F.col("head").alias("was")), "frag_id").filter("head <> was").limit(1).count()
-        state = nxt
-        if not moved:
-            break
-    return state.select(F.col("head").alias("path_id"), "place", "frag_id", "overlap")
+    edges = cut(edges)
+    merged = merge_paths(edges.select("src", "dst"))
+    shared = edges.select(F.col("dst").alias("frag_id"), F.col("k").alias("overlap"))
+    placed = once.select("frag_id").join(merged, "frag_id", "left").join(shared, "frag_id", "left")
+    first = F.col("head").isNull()
+    return placed.select(F.coalesce("head", "frag_id").alias("path_id"), F.when(first, 0).otherwise(F.col("place")).cast("long").alias("place"), "frag_id", F.when(first, 0).otherwise(F.col("overlap")).alias("overlap"))

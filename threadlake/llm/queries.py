@@ -16,7 +16,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_conversations(spark: SparkSession, root: str) -> DataFrame:
-    return conversations.conversations(table(spark, root, "messages")).select("conv_id", "position", "id", "ts", "role")
+    return conversations.conversations(table(spark, root, "messages"))
 
 
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:

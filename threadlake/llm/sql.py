@@ -20,13 +20,20 @@ reasons as (select conv_id, 'broken' as reason from broken union all select conv
 P3 = f"with {KEPT}, {SPEAKING}, {REASONS} select conv_id, reason from reasons"
 
 P3_CONVERSATIONS = f"""
-with {KEPT}, {SPEAKING}, {REASONS},
-rows as (select conv_id, id, coalesce(ts, 0) as ts, coalesce(is_system, false) as is_system, speaks, person, {MRI} as mri from speaking
-  where (speaks or coalesce(is_system, false)) and conv_id not in (select conv_id from reasons)),
-firsts as (select conv_id, person, min((ts, id)) as f from rows where speaks and person is not null group by all),
+with recursive {KEPT}, {SPEAKING}, {REASONS},
+good as (select *, coalesce(ts, 0) as t, {MRI} as mri from speaking where conv_id not in (select conv_id from reasons)),
+frag as (select conv_id, id, coalesce(lag(id) over (partition by conv_id, root_id order by t, id), root_id) as prefix from good where root_id is not null and root_id <> id),
+succ as (select conv_id, prefix, count(*) as n from frag group by all),
+edge as (select conv_id, id, prefix from frag join succ using (conv_id, prefix) where n = 1),
+path as (
+  select conv_id, id, id as head, 0 as place from good g where not exists (select 1 from edge e where e.conv_id = g.conv_id and e.id = g.id)
+  union all select e.conv_id, e.id, p.head, p.place + 1 from path p join edge e on e.conv_id = p.conv_id and e.prefix = p.id),
+placed as (select g.*, h.t as head_ts, p.head, p.place from good g join path p using (conv_id, id) join good h on h.conv_id = p.conv_id and h.id = p.head),
+rows as (select * from placed where speaks or coalesce(is_system, false)),
+firsts as (select conv_id, person, min((t, id)) as f from rows where speaks and person is not null group by all),
 numbered as (select conv_id, person, row_number() over (partition by conv_id order by f) as k from firsts)
-select r.conv_id, row_number() over (partition by r.conv_id order by r.ts, r.id) - 1 as position, r.id, r.ts,
-  case when r.is_system then 'system' when n.k is not null then 'speaker_' || n.k when r.mri like '28:%' then 'bot' else 'unknown' end as role
+select r.conv_id, row_number() over (partition by r.conv_id order by r.head_ts, r.head, r.place) - 1 as position, r.id, r.t as ts, r.content,
+  case when coalesce(r.is_system, false) then 'system' when n.k is not null then 'speaker_' || n.k when r.mri like '28:%' then 'bot' else 'unknown' end as role
 from rows r left join numbered n on n.conv_id = r.conv_id and n.person = r.person
 """
 
