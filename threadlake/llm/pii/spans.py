@@ -6,6 +6,7 @@ Every generator proposes more than is true; the model decides. A text without ca
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 from threadlake.llm.pii.view import CLOSE, OPEN
@@ -32,11 +33,21 @@ _DOMAIN = re.compile(rf"[a-z0-9][a-z0-9-]*(?:{_DOT}[a-z0-9][a-z0-9-]*)*{_DOT}([a
 _TLDS = frozenset("com org net edu gov mil int info biz name io co ai app dev eu de at ch fr es it pt nl be lu uk ie us ca mx br ar cl pl cz sk hu ro bg gr dk se no fi is ee lv lt ru ua tr il in cn jp kr au nz za example test invalid local localhost".split())
 
 
+def _local(text: str, end: int) -> re.Match | None:
+    """The local part that ends at a place, read backwards; the stretch looked at grows until it holds all of it."""
+    size = 64
+    while True:
+        found = _LOCAL_BACK.match(text[max(0, end - size) : end][::-1])
+        if size >= end or not found or found.end() + 12 < size:
+            return found
+        size *= 4
+
+
 def emails(text: str) -> list[Segment]:
     found = []
     for m in _AT.finditer(text):
         domain = _DOMAIN.match(text, m.end())
-        local = domain and _LOCAL_BACK.match(text[max(0, m.start() - 80) : m.start()][::-1])
+        local = domain and _local(text, m.start())
         if not local:
             continue
         sign, host = m.group(), domain.group()
@@ -69,6 +80,7 @@ _PHONES = {
     "area": r"\(?0\d{1,4}\)?[/-] ?\d{3,9}(?:[ -]?\d{1,4})?",
     "pairs": r"0\d(?:[ .-]\d\d){4}",
     "national": r"0[1-9]\d{1,3} \d{3,4} ?\d{3,5}",
+    "local": r"\d{3}[.-]\d{4}",
     "tel": r"(?<=tel:)\+?[\d().-]{6,20}\d",
 }
 _PHONE = re.compile("|".join(f"(?P<{k}>{_BEFORE if k != 'tel' else ''}{v}{_EXT}{_AFTER})" for k, v in _PHONES.items()), re.I)
@@ -99,7 +111,8 @@ def numbers(text: str) -> list[Segment]:
     for m in _PHONE.finditer(text):
         digits = sum(c.isdigit() for c in m.group())
         if 7 <= digits <= 20:
-            found.append(Segment(m.start(), m.end(), "phone", (f"phone:{m.lastgroup}", *_around(text, m.start(), m.end(), "phone"))))
+            ext = ["phone:ext"] if re.search("[a-z]", m.group(), re.I) else []
+            found.append(Segment(m.start(), m.end(), "phone", (f"phone:{m.lastgroup}", *ext, *_around(text, m.start(), m.end(), "phone"))))
     for k, pattern in _ID.items():
         for m in pattern.finditer(text):
             if sum(c.isdigit() for c in m.group()) >= 5:
@@ -125,16 +138,20 @@ def _around(text: str, start: int, end: int, kind: str) -> list[str]:
 
 _CAP = r"[A-ZÀ-ÖØ-ÞŁŽŠČŚŻĐ][\w'’-]*"
 _CITY = rf"{_CAP}(?: (?:am|an der|bei|sur|de|del|la|le|les|upon|{_CAP}))?"
-_EN = "street|st|road|rd|avenue|ave|lane|ln|drive|way|court|place|square|sq|boulevard|blvd|terrace|crescent|close|row|walk|hill|grove|gardens|highway|hwy|parkway|pkwy"
+_EN = "street|st|road|rd|avenue|ave|lane|ln|drive|way|court|place|square|sq|boulevard|blvd|terrace|crescent|close|row|walk|hill|grove|gardens|highway|hwy|parkway|pkwy|mews|quay|rise|vale|gate|broadway|walkway|green|end"
 _TAILC = rf"(?:(?i:,? (?:apt|apartment|flat|unit|suite|ste)\.? ?\w{{1,5}}\b))?(?:(?:,\s?|\s?\n\s?| in | - | – )(?:\d{{4,5}} )?{_CITY}(?:,? \d{{4,5}}(?!\d))?| \d{{4,5}} {_CITY})?"
 _NUMBER = re.compile(r"(?<![\w.,:#])(?<!\w[-/])\d{1,5}|(?<=\.)\d{1,4}(?!\w*\d)")
 _TAIL = re.compile(_TAILC)
+_BLANK = re.compile(r"\s")
 #: A street behind its number, or before it, by language; each with the pattern at the number's side.
 _EN_RIGHT = re.compile(rf"\d{{1,5}}(?:-\d{{1,5}})?[a-zA-Z]?,? (?:{_CAP}\.? ){{1,3}}(?i:{_EN})\b\.?")
 _EN_LEFT = re.compile(r"(?i:flat|apt|unit|suite|apartment) ?\w{1,4},? \Z")
 _FR_RIGHT = re.compile(rf"\d{{1,4}}(?: ?(?:bis|ter|quater))?,? (?i:rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|cours|route|square)(?: (?:du|de la|de l'|des|de|d'|la|le))? ?(?:{_CAP} ?){{1,3}}(?<! )")
 _DE_STEMS = ("straße", "strasse", "str.", "weg", "platz", "allee", "gasse", "ring", "damm", "ufer", "chaussee", "markt", "graben", "stieg")
-_DE_LEFT = re.compile(rf"(?:{_CAP}[ -])?[A-ZÄÖÜ][\wäöüß-]*(?i:{'|'.join(map(re.escape, _DE_STEMS))}) ?\Z")
+_DE_STEM = "|".join(map(re.escape, _DE_STEMS))
+_DE_LEFT = re.compile(rf"(?:(?:{_CAP}[ -])?[A-ZÄÖÜ][\wäöüß-]*(?i:{_DE_STEM})|(?:(?:Am|An der|An den|Im|In der|Zum|Zur|Auf der|Auf dem|Unter den|Hinter der|Vor dem) )?(?:{_CAP}[ -]){{1,3}}(?i:{_DE_STEM})) ?\Z")
+#: The same behind a word that only opens a sentence is no street.
+_DE_OPENING = re.compile(r"(?:Der|Die|Das|Den|Dem|Ein|Eine|Einen|Einem|Kein|Keine|Keinen|Mein|Dein|Ihr|Unser|Dieser|Diese|Jeder|Jede|Welcher|Ob|Wenn|Seite|Auf|Bis|Von|Nach)[ -]", re.I)
 _DE_RIGHT = re.compile(r"\d{1,4} ?[a-z]?\b(?: ?[-/] ?\d{1,4}\b)?")
 _ES_LEFT = re.compile(rf"(?i:\b(?:calle|avenida|avda\.?|av\.|plaza|pza\.?|paseo|carretera|camino|ronda)|\bc/)(?: (?:de la|de los|del|de))? ?(?:{_CAP},? ){{1,3}}(?:n[º°.] ?)?\Z")
 _ES_RIGHT = re.compile(r"\d{1,4}\b(?:,? ?\d{1,2}[ºª°] ?\w{1,5}\b)?")
@@ -146,9 +163,18 @@ _ES_STEMS = ("calle", "c/", "aven", "avda", "av.", "plaza", "pza", "paseo", "car
 def addresses(text: str) -> list[Segment]:
     """Each number that may be a house or box number is looked at with the words on either side."""
     found = []
+    blanks: list[int] = []
+
+    def _words_before(p: int) -> int:
+        """Where the eight words before a place begin, however long they are."""
+        if not blanks:
+            blanks.extend(b.start() for b in _BLANK.finditer(text))
+        at = bisect_left(blanks, p) - 9
+        return blanks[at] + 1 if at >= 0 else 0
+
     for m in _NUMBER.finditer(text):
         p = m.start()
-        left = text[max(0, p - 60) : p]
+        left = text[_words_before(p) if text[p - 1 : p].isspace() or text[p - 1 : p] in ".º°/" else max(0, p - 60) : p]
         low = left.lower()
         bare = low.rstrip()
         if hit := _EN_RIGHT.match(text, p):
@@ -157,7 +183,8 @@ def addresses(text: str) -> list[Segment]:
         if hit := _FR_RIGHT.match(text, p):
             found.append(_address(text, "fr", p, hit.end()))
         if bare.endswith(_DE_STEMS) and (hit := _DE_LEFT.search(left)) and (right := _DE_RIGHT.match(text, p)):
-            found.append(_address(text, "de", p - len(left) + hit.start(), right.end()))
+            opening = _DE_OPENING.match(hit.group())
+            found.append(_address(text, "de", p - len(left) + hit.start(), right.end(), ("address:opening",) if opening else ()))
         if any(stem in low for stem in _ES_STEMS) and (hit := _ES_LEFT.search(left)) and (right := _ES_RIGHT.match(text, p)):
             found.append(_address(text, "es", p - len(left) + hit.start(), right.end()))
         if bare.endswith(_BOX_ENDS) and (hit := _BOX_LEFT.search(left)):
@@ -165,11 +192,11 @@ def addresses(text: str) -> list[Segment]:
     return found
 
 
-def _address(text: str, kind: str, start: int, end: int) -> Segment:
+def _address(text: str, kind: str, start: int, end: int, more: tuple[str, ...] = ()) -> Segment:
     tail = _TAIL.match(text, end)
     end = tail.end() if tail else end
     whole = text[start:end]
-    features = [f"address:{kind}"]
+    features = [f"address:{kind}", *more]
     if re.search(r"\d{4,5}", whole):
         features.append("address:postcode")
     if re.search(r",|\n| in | - ", whole):
@@ -203,46 +230,148 @@ def _plain(word: str) -> str:
     return word.capitalize() if word.isupper() and len(word) > 2 else word
 
 
+#: Words with a capital that stand for things and places, before or after a name's words.
+_THINGS = frozenset(
+    "street road avenue lane drive way square place park garden gardens hill hills falls creek river lake bay beach mountain mount valley ridge forest wood woods island bridge tower house hall castle court gate station airport harbour harbor port city town village county district building room floor desk office center centre campus school college university institute academy library museum hospital clinic church cathedral theatre theater hotel bank company group team project release version phase sprint board committee council department ministry agency foundation society association union party league club award prize cup day week month year time zeit hat street straße platz weg allee gasse brücke turm haus schule universität institut klinik kirche verein bank gruppe projekt ausgabe nacht stunde woche nachmittag vormittag mittag monatsende zug minuten rue avenue boulevard place parc jardin pont tour école université institut hôpital église musée projet version calle plaza avenida parque jardín puente torre escuela universidad instituto hospital iglesia museo proyecto versión mews quay close crescent terrace teams chrome studio server states kingdom republic cloud drive docs sheets calendar code services systems software windows reader engine hub desktop app web api media news network online store solutions technologies labs games edition manager explorer player suite pro mail".split()
+)
+_PLACE_FIRST = frozenset("san santa santo são saint sankt st ste new old north south east west upper lower great little mount lake fort port cape los las el la le les nueva nuevo neu neue alt alte groß große bad villa costa puerto río rio monte".split())
+#: Words that stand before or after people, rather than things.
+_CUES_LEFT = frozenset("ask asked asking met meet meeting call called tell told with by from to for thank thanks cc invite invited contact email see saw know and or via per bitte an von mit bei durch für frag fragt traf und de par avec pour chez à et con por para a y según".split())
+_CUES_RIGHT = frozenset("is was has had will said says takes took wrote writes joined joins leaves left fixed asked asks wants knows lives works called and or who whom should can could macht hat ist war wird sagt schreibt übernimmt und est a était dit prend et es ha era dice lleva y".split())
+_ARTICLE = re.compile(r"(?:^|[^\w])(?:the|a|an|der|die|das|den|dem|des|ein|eine|einen|einem|le|la|les|un|une|el|los|las|una)\s+\Z", re.I)
+_LEFT_WORD = re.compile(r"([^\W\d_]+)[ ]+\Z")
+_RIGHT_WORD = re.compile(r" ([^\W\d_]+)")
+_RIGHT_CAP = re.compile(rf" ([{_UPPER}][^\W\d_]+)")
+#: The longest link between two words of a name is shorter than this.
+_LINK_SIZE = 40
+_MAX_WORDS = 4
+
+
+def _kind(word: str, lexicon: Lexicon) -> str:
+    """What a word with a capital looks like: a given name, the ending of a family name, a common word, a thing or place, a word in capitals, or unknown."""
+    low = word.lower()
+    if lexicon.is_given(word):
+        return "G"
+    if lexicon.family(word):
+        return "F"
+    if low in _COMMON or word in _TITLES:
+        return "C"
+    if low in _THINGS or low in _PLACE_FIRST:
+        return "P"
+    if _PLACES.search(word):
+        return "L"
+    return "X" if word.isupper() else "U"
+
+
+#: Words of a language that writes all its nouns with capitals.
+_NOUNS_BIG = re.compile(r"\b(?:der|die|das|und|ist|nicht|mit|ein|eine|einen|für|auf|von|zu|im|am|wird|sein|seine|nie|den|dem|bei|wir|ich|sich|oder)\b", re.I)
+_SIGNED = re.compile(r"\b(?:signed|name|by|from|contact|owner|host|author|presenter|attendee|caller|regards|wishes|grüße|gruß|cordialement|saludos|dear|liebe|lieber|cher|chère|querida|querido)[:,]?\s+\Z", re.I)
+
+
+def _context(text: str, start: int, end: int) -> list[str] | None:
+    """Features of what stands around a span of unknown words; None where nothing tells a person from a thing."""
+    features = []
+    left, right = text[max(0, start - 24) : start], text[end : end + 24]
+    if (m := _LEFT_WORD.search(left)) and m.group(1).lower() in _CUES_LEFT:
+        features.append("name:cue_left")
+    if (m := _RIGHT_WORD.match(right)) and m.group(1).lower() in _CUES_RIGHT:
+        features.append("name:cue_right")
+    if left.rstrip()[-1:].isdigit():
+        features.append("name:number_before")
+    if _ARTICLE.search(left):
+        features.append("name:article")
+    if m := _RIGHT_CAP.match(right):
+        features.append("name:thing_next" if m.group(1).lower() in _THINGS else "name:capital_next")
+    elif re.match(r" [^\W\d_]+ [a-z]+|[ -]?\d", right) and "name:cue_right" not in features:
+        features.append("name:plain_next")
+    bare = left.rstrip(" #*>•–-[")
+    if not bare or bare[-1] in "\n\r(:.!?":
+        features.append("name:opens")
+    if not right.strip() or right[0] in "\n).,;:!?" :
+        features.append("name:closes")
+    if _SIGNED.search(left):
+        features.append("name:signed")
+    if not text[:start].strip() and not text[end:].strip(" \n.,!"):
+        features.append("name:all")
+    told = {"name:cue_left", "name:cue_right", "name:signed", "name:all"} & set(features)
+    shouted = text[start:end].isupper() or re.match(r"\s?v?\d|\]", right)
+    return features if told and not shouted or "name:opens" not in features and not shouted and not _NOUNS_BIG.search(text[max(0, start - 80) : end + 80]) else None
+
+
 def names(text: str, lexicon: Lexicon) -> list[Segment]:
+    """Spans of up to four words with a capital, with the title, initials and particles that belong to them.
+
+    Every span of linked words is a candidate where one of its words is known, a title or mention mark stands before it,
+    or none of its words is a common one or names a thing; the model weighs all spans against each other.
+    """
     tokens = list(_WORD.finditer(text))
+    if not tokens:
+        return []
     found = []
+    kinds = [_kind(t.group(), lexicon) for t in tokens]
     for i, t in enumerate(tokens):
-        word, left = t.group(), text[max(0, t.start() - 28) : t.start()]
+        word, left = t.group(), text[max(0, t.start() - 64) : t.start()]
         family = lexicon.family(word)
-        before = left[-8:].split(" ")[-2:-1] if left.endswith(" ") else []
+        before = left[-12:].split(" ")[-2:-1] if left.endswith(" ") else []
         marked = bool(before) and (before[0][-1:] == "." or before[0].rstrip(".") in _TITLES or before[0] in _PARTICLES)
         title, initial = (_TITLE.search(left), _INITIAL.search(left)) if marked else (None, None)
-        if title and word.lower() not in _COMMON:
+        open_ = text[t.start() - 1 : t.start()] == OPEN
+        if title and kinds[i] != "C":
             found.append(Segment(t.start() - len(title.group()), t.end(), "name", ("name:title", *family)))
-        elif initial and word.lower() not in _COMMON and (family or not lexicon.is_given(word) and not _CAP_BEFORE.search(left)) and (not i or tokens[i - 1].end() < t.start() - len(initial.group()) - 1 or not lexicon.is_given(tokens[i - 1].group())):
+        elif initial and kinds[i] != "C" and (family or kinds[i] != "G" and not _CAP_BEFORE.search(left)) and (not i or tokens[i - 1].end() < t.start() - len(initial.group()) - 1 or kinds[i - 1] != "G"):
             found.append(Segment(t.start() - len(initial.group()), t.end(), "name", ("name:initial", *family)))
-        if i + 1 == len(tokens) or not (family or lexicon.is_given(word) or text[t.start() - 1 : t.start()] == OPEN or lexicon.family(tokens[i + 1].group())):
-            continue
-        nxt = tokens[i + 1]
-        gap = text[t.end() : nxt.start()]
-        if len(gap) > 16 or not _LINKED.fullmatch(gap):
-            continue
-        second = nxt.group()
-        comma = gap == ", "
-        given, last, last_word = (second, family, word) if comma else (word, lexicon.family(second), second)
-        if not lexicon.is_given(given) and not last and text[t.start() - 1 : t.start()] != OPEN:
-            continue
-        features = ["name:comma" if comma else "name:pair", *last]
-        features.append("name:given" if lexicon.is_given(given) else "name:other_given")
-        if lexicon.is_given(last_word):
-            features.append("name:both_given")
-        if not comma and word.lower() in _COMMON and not lexicon.is_given(word):
-            features.append("name:common_first")
-        if last_word.lower() in _COMMON:
-            features.append("name:common_last")
-        if _PLACES.search(last_word) and not last:
-            features.append("name:place")
-        if text[t.start() - 1 : t.start()] == OPEN and text[nxt.end() : nxt.end() + 1] == CLOSE:
-            features.append("name:mention")
-        if text[nxt.end() : nxt.end() + 1] in "@" or re.match(r"[+._-]?\w*@", text[nxt.end() : nxt.end() + 20]) and text[nxt.end() : nxt.end() + 1].strip():
-            features.append("name:email_part")
-        start = t.start() - (len(title.group()) if title else 0)
-        found.append(Segment(start, nxt.end(), "name", tuple(features)))
+        comma, last = False, t
+        for j in range(i + 1, min(i + _MAX_WORDS, len(tokens))):
+            nxt = tokens[j]
+            gap = text[last.end() : nxt.start()]
+            if len(gap) > _LINK_SIZE or not _LINKED.fullmatch(gap) or comma:
+                break
+            comma = gap == ", "
+            if comma and j > i + 1:
+                break
+            last = nxt
+            shape = "".join(kinds[i : j + 1])
+            if not (set(shape) & {"G", "F"} or open_ or title and "C" not in shape or not set(shape) & {"C", "P", "L"}):
+                continue
+            second = nxt.group()
+            given, family_word, family_kind = (second, word, kinds[i]) if comma else (word, second, kinds[j])
+            known_family = lexicon.family(family_word)
+            known = lexicon.is_given(given) or bool(known_family)
+            if not known and not open_ and not title and set(shape) & {"C", "P", "L"}:
+                continue
+            features = ["name:comma" if comma else "name:pair", *known_family]
+            features.append("name:given" if lexicon.is_given(given) else "name:other_given")
+            if j > i + 1:
+                features += ["name:longer", f"name:inner={kinds[i + 1]}"]
+                if text[last.end() : last.end() + 1] == CLOSE and open_:
+                    features.append("name:whole_mention")
+            if not known:
+                around = _context(text, t.start(), nxt.end())
+                if around is None and not title and not open_ and not comma:
+                    continue
+                features += [f"name:shape={shape[:2]}", *(around or [])]
+                if title:
+                    features.append("name:titled")
+            if comma and not known and not (kinds[i] == "X" and kinds[j] == "U"):
+                continue  # a list of words, not a name turned round
+            if family_kind == "G":
+                features.append("name:both_given")
+            if not comma and kinds[i] == "C":
+                features.append("name:common_first")
+            if family_kind == "C" or family_word.lower() in _COMMON:
+                features.append("name:common_last")
+            if family_kind in "PL" and not known_family:
+                features.append("name:place" if family_kind == "L" else "name:thing")
+            if kinds[i] == "P" and not comma:
+                features.append("name:place_first")
+            if known and (m := _RIGHT_CAP.match(text, nxt.end())) and m.group(1).lower() in _THINGS and not known_family:
+                features.append("name:thing_after")
+            if open_ and text[nxt.end() : nxt.end() + 1] == CLOSE:
+                features.append("name:mention")
+            if text[nxt.end() : nxt.end() + 1] in "@" or re.match(r"[+._-]?\w*@", text[nxt.end() : nxt.end() + 20]) and text[nxt.end() : nxt.end() + 1].strip():
+                features.append("name:email_part")
+            start = t.start() - (len(title.group()) if title else 0)
+            found.append(Segment(start, nxt.end(), "name", tuple(features)))
     return found
 
 

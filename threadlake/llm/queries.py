@@ -75,4 +75,10 @@ def p1_attendees_redacted(spark: SparkSession, root: str) -> DataFrame:
     return pii.redact(table(spark, root, "calendar_events").select("row_no", "attendees"), [("attendees", pii.ALL)])
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p1_attendees_redacted": p1_attendees_redacted} | QUERIES
+def p1_left(spark: SparkSession, root: str) -> DataFrame:
+    """What is still found after redaction, in messages and attendees: nothing."""
+    said = pii.find(p1_redacted(spark, root), [("content", pii.ALL), ("sender_name", pii.DISPLAY)])
+    return said.unionByName(pii.find(p1_attendees_redacted(spark, root), [("attendees", pii.ALL)]))
+
+
+QUERIES = {"p1_found": p1_found, "p1_left": p1_left, "p1_redacted": p1_redacted, "p1_attendees_redacted": p1_attendees_redacted} | QUERIES
