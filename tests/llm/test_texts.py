@@ -172,3 +172,20 @@ def test_copies_with_other_values_are_found(spark):
     hits = sum(n in classes for n in truth)
     print(f"re-parameterised: recall {hits / len(truth):.3f}, precision {hits / len(classes):.3f}, rows a document {len(got) / len(classes):.2f}")
     assert hits >= 0.9 * len(truth) and hits >= 0.9 * len(classes) and len(got) <= 6 * len(classes)  # a passage is several sentences, each of a class
+
+
+def test_long_lines_open_fences_and_other_wordings(spark):
+    long = "Please enable JavaScript to view this conversation, " + "and then read on " * 40 + "until it ends."
+    bad = [
+        long, "```\ncode = 1\n\nPlease enable JavaScript to view this conversation.\nDear {{first_name}},", "We're sorry, the page you requested could not be found.", "The page you are looking for does not exist.",
+        "Sorry, this page isn't available.", "Lorem ipsum dolor sit", "Type something. Type something.", "Ceci est un texte factice destiné à remplir la zone. Votre texte ici.", "Este es un texto de relleno para ocupar el espacio. Escriba aquí.",
+        "Pagina non trovata", "De pagina bestaat niet", "Страница не найдена", "ページが見つかりません", "Per favore, abilita JavaScript per continuare.", "Schakel JavaScript in om deze pagina te bekijken.", "请启用JavaScript",
+    ]
+    good = ["```\nprint('{{first_name}}')\n```\nThat is the template.", "```\nexport A=\"${HOME}\"\nDear {{first_name}}", "The page you are looking for is in the wiki, next to the plan.", "I can type something into the box and it stays.", "We moved the page, so the old link does not exist in the guide any more; use the new one."]
+    df = spark.createDataFrame([(i, t, f"h{i}") for i, t in enumerate(bad + good)], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in residue.excluded(df).collect()) == list(range(len(bad)))
+
+
+def test_a_dead_host_is_excluded(spark):
+    df = spark.createDataFrame([(i, "404 Not Found", "dead") for i in range(40)] + [(100 + i, f"404 Not Found\nnginx/1.{i}.2", "dead2") for i in range(40)], "doc_id long, text string, source string")
+    assert residue.excluded(df).count() == 80

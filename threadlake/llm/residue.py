@@ -36,7 +36,8 @@ from threadlake.session import cut
 #: A line is boilerplate in at least this share of a host's different texts.
 FURNITURE = 0.5
 
-_FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
+#: Fenced code; a fence that is never closed ends at the next blank line, so that what follows is read.
+_FENCE = re.compile(r"```(?:(?!```).)*```|```.*?(?=\n\s*\n|\Z)", re.S)
 _INLINE = re.compile(r"`[^`\n]*`")
 _LEAD = re.compile(r"^(?:\s|[>*•–-]\s|\d{1,3}[.)]\s|\[\d\d:\d\d\]\s*<[^<>\n]{1,40}>|\d\d:\d\d\s+[^\s:]{1,40}(?: [^\s:]{1,40})?:\s|<(?:p|div|br|li|td|tr|body|html|head|hr|noscript|h\d)\b[^>]*>)+", re.I)
 _BLOCKS = re.compile(r"</?(?:p|div|br|li|ul|ol|td|tr|table|body|html|head|title|hr|noscript|h[1-6]|main|section|footer|header|nav)\b[^>]*>", re.I)
@@ -67,18 +68,19 @@ LATIN_SURE = LATIN - set("do in ex ad id est non et sit ea eu ut qui sed a".spli
 KEYS = set("xxx xx xxxx asdf asdfasdf asdfgh qwer qwert qwerty qwertz yxcv jkl jklö foo bar baz blah bla blub blubb test tests text texte texto dummy sample placeholder filler abc abcd aaa bbb zzz hjkl tbd todo".split())
 _SLIDE = re.compile(
     r"(?:click (?:here )?to (?:add|edit)\b.*|enter (?:your )?text(?: here)?|add (?:your )?(?:text|title|details|subtitle|notes|content|description)(?: here)?|(?:your|insert|type|write) (?:your )?(?:text|title|content|name|subtitle) (?:goes )?here\b.*|text (?:goes )?here|subtitle|description|heading \d+|column \d+|bullet \d+|item \d+|title \d+|placeholder(?: text)?|"
-    r"(?:this is )?(?:a )?(?:sample|dummy|placeholder) text\b.*|(?:hier|bitte) (?:text|titel) (?:einfügen|eingeben)\b.*|(?:titel|text) hinzufügen\b.*|blindtext|mustertext|untertitel|überschrift \d+|spalte \d+|cliquez pour (?:ajouter|modifier)\b.*|(?:saisir|saisissez|insérer|ajouter) (?:du |votre |le |un )?(?:texte|titre)\b.*|texte? d'exemple|sous-titre|haga clic para\b.*|(?:escriba|inserte|añada|agregue) (?:aquí |su |el |un )?(?:texto|título)\b.*|texto de (?:ejemplo|relleno)|subtítulo|placeholder paragraph|(?:dies|das|hier) ist (?:ein |nur )*(?:blindtext|platzhalter|mustertext)\b.*|hier (?:könnte|steht|kommt) (?:ihr|dein|der|später)\b.*text\b.*|ceci est un (?:faux )?texte\b.*|este es un texto de\b.*)[.…!]*",
+    r"(?:this is )?(?:a )?(?:sample|dummy|placeholder) text\b.*|(?:hier|bitte) (?:text|titel) (?:einfügen|eingeben)\b.*|(?:titel|text) hinzufügen\b.*|blindtext|mustertext|untertitel|überschrift \d+|spalte \d+|cliquez pour (?:ajouter|modifier)\b.*|(?:saisir|saisissez|insérer|ajouter) (?:du |votre |le |un )?(?:texte|titre)\b.*|texte? d'exemple|sous-titre|haga clic para\b.*|(?:escriba|inserte|añada|agregue) (?:aquí |su |el |un )?(?:texto|título)\b.*|texto de (?:ejemplo|relleno)|subtítulo|placeholder paragraph|type (?:something|anything|here)(?: here)?|(?:your|some) (?:content|text|title|name) (?:goes )?here|write (?:something|here)|votre (?:texte|titre|nom) ici|(?:écrivez|tapez|saisissez) (?:ici|quelque chose)|(?:escriba|escribe|teclee) (?:aquí|algo)|(?:su|tu) (?:texto|título|nombre) aquí|(?:ihr|dein) (?:text|titel|name)(?: hier)?|(?:schreiben sie|schreibe) (?:hier|etwas)|(?:il tuo|inserisci(?: il)?) testo(?: qui)?|(?:seu|o seu) texto aqui|(?:uw|jouw) tekst hier|(?:dies|das|hier) ist (?:ein |nur )*(?:blindtext|platzhalter|mustertext)\b.*|hier (?:könnte|steht|kommt) (?:ihr|dein|der|später)\b.*text\b.*|ceci est un (?:faux )?texte\b.*|este es un texto de\b.*)[.…!]*",
     re.I,
 )
 _SCRIPT_WORD = r"(?:java ?script|js|scripts?|scripting)"
 _SCRIPT = re.compile(
     rf"\b(?:please |bitte |veuillez |por favor,? )?(?:enable|activate|turn on|switch on|allow|permit|unblock) (?:\w+ ){{0,2}}{_SCRIPT_WORD}\b|\b{_SCRIPT_WORD} (?:is|are|has been|must be|needs to be|seems to be|appears to be) (?:\w+ ){{0,2}}(?:disabled|blocked|off|required|needed|enabled|turned|switched|unavailable|deactivated)\b"
     rf"|\b(?:requires?|needs?|works only with|works? properly without|does not work (?:\w+ )?without|doesn't work (?:\w+ )?without) (?:\w+ ){{0,2}}{_SCRIPT_WORD}\b|\bdoes not support (?:\w+ )?{_SCRIPT_WORD}\b|\byou need to enable\b.*{_SCRIPT_WORD}"
-    rf"|\b(?:benötigt|braucht|erfordert|aktivieren sie) (?:\w+ ){{0,2}}{_SCRIPT_WORD}\b|\b{_SCRIPT_WORD} (?:ist|wurde|muss) (?:\w+ ){{0,2}}(?:deaktiviert|blockiert|aktiviert|ausgeschaltet|eingeschaltet)\b|\b(?:activer|activez|autoriser|autorisez) (?:\w+ ){{0,2}}{_SCRIPT_WORD}\b|\b(?:active|activar|habilite|habilitar|permita) (?:\w+ ){{0,2}}{_SCRIPT_WORD}\b|\b{_SCRIPT_WORD} (?:está|es|est) (?:\w+ ){{0,2}}(?:desactivado|necesario|deshabilitado|désactivé|requis|bloqueado|bloqué)\b|\bwithout {_SCRIPT_WORD}\b(?: enabled)?",
+    rf"|\b(?:benötigt|braucht|erfordert|aktivieren sie) (?:\w+ ){{0,2}}{_SCRIPT_WORD}\b|\b{_SCRIPT_WORD} (?:ist|wurde|muss) (?:\w+ ){{0,2}}(?:deaktiviert|blockiert|aktiviert|ausgeschaltet|eingeschaltet)\b|\b(?:activer|activez|autoriser|autorisez) (?:\w+ ){{0,2}}{_SCRIPT_WORD}\b|\b(?:active|activar|habilite|habilitar|permita) (?:\w+ ){{0,2}}{_SCRIPT_WORD}\b|\b{_SCRIPT_WORD} (?:está|es|est) (?:\w+ ){{0,2}}(?:desactivado|necesario|deshabilitado|désactivé|requis|bloqueado|bloqué)\b|\bwithout {_SCRIPT_WORD}\b(?: enabled)?"
+    rf"|\b(?:abilita|abilitare|attiva|attivare|ative|ativar|habilite|schakel|zet|aktivera|aktiver|włącz|włączyć|включите|включить|etkinleştirin|zapněte) (?:\w+ ){{0,2}}{_SCRIPT_WORD}\b|\b{_SCRIPT_WORD} (?:è|é|está|is|är|er|jest) (?:\w+ ){{0,2}}(?:disabilitato|disattivato|richiesto|necessario|desativado|necessário|uitgeschakeld|vereist|inaktiverat|wyłączony)\b|{_SCRIPT_WORD} ?(?:を有効|が無効)|(?:启用|啟用|开启) ?{_SCRIPT_WORD}",
     re.I,
 )
 #: Openings that make a notice: an order or a statement to the reader, not a report on one.
-_ADDRESS = re.compile(rf"^(?:please|bitte|veuillez|por favor|you need|you must|to (?:use|view|see|continue)|we(?: a|')re sorry|sorry|if nothing (?:appears|happens|loads)|this (?:page|site|app|application|content|view|website)|diese (?:seite|anwendung|website|app)|cette (?:page|application)|ce site|esta (?:página|aplicación)|este (?:sitio|contenido)|your browser|ihr browser|votre navigateur|su navegador|loading|laden|chargement|cargando|{_SCRIPT_WORD}\b|active|activez|enable|turn on|allow|aktivieren|pour |para |für |um )", re.I)
+_ADDRESS = re.compile(rf"^(?:please|bitte|veuillez|por favor|you need|you must|to (?:use|view|see|continue)|we(?: a|')re sorry|sorry|if nothing (?:appears|happens|loads)|this (?:page|site|app|application|content|view|website)|diese (?:seite|anwendung|website|app)|cette (?:page|application)|ce site|esta (?:página|aplicación)|este (?:sitio|contenido)|your browser|ihr browser|votre navigateur|su navegador|loading|laden|chargement|cargando|{_SCRIPT_WORD}\b|active|activez|enable|turn on|allow|aktivieren|pour |para |für |um |abilita|attiva|ative|schakel|zet|aktivera|aktiver|włącz|включите|per |voor |aby |чтобы |このサイト|このページ|请|請|lütfen|per favore|prosimy|пожалуйста|il tuo browser|o seu navegador|uw browser|questa (?:pagina|applicazione)|questo sito|esta (?:aplicação)|deze (?:pagina|site))", re.I)
 
 #: What error pages say, each as a whole line or sentence.
 _STATUS = r"(?:bad request|unauthorized|forbidden|not found|method not allowed|request time-?out|conflict|gone|too many requests|internal server error|server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out)"
@@ -86,6 +88,8 @@ _ERROR = re.compile(
     rf"(?:http )?(?:status |error |fehler |erreur )?[45]\d\d\b[ :–—-]*{_STATUS}.*|http (?:status|error) [45]\d\d.*|{_STATUS}|(?:error|fehler|erreur) ?[45]\d\d\b.{{0,40}}|(?:error|fehler|erreur|fallo) (?:code |nr\.? ?|no\.? ?)?:? ?\d+(?:[: ].{{0,60}})?|(?:error )?code ?:? ?\d{{3,5}}|request id ?:? ?[0-9a-f-]{{6,}}|reference #[0-9a-f]+|\w+/\d+\.\d+(?:\.\d+)?|type: exception report|message: (?:null|none|undefined)|\[object object\]|undefined|null|nan"
     r"|traceback \(most recent call last\):?|\s*file \"[^\"]+\", line \d+.*|(?:[a-z_]+\.)*[a-z]*(?:error|exception): .{0,200}|(?:uncaught |fatal )(?:\w*error|exception)\b.*|\s*at [\w.$<>]+ ?\([^()]*:\d+(?::\d+)?\)|cannot (?:get|post) /.*"
     r"|(?:seite|datei) (?:wurde )?nicht gefunden|interner (?:serverfehler|fehler)|zugriff verweigert|die angeforderte (?:nachricht|seite|datei|ressource) .{0,60}(?:nicht|gelöscht).{0,40}|(?:oups ?!? ?)?cette page (?:est introuvable|n'existe (?:pas|plus))|page (?:introuvable|non trouvée)|erreur interne(?: du serveur)?|accès (?:refusé|interdit)|error interno del servidor|página no encontrada|(?:la )?página (?:que busca )?no (?:existe|se ha encontrado|encontrada)|acceso denegado|inténtelo de nuevo más tarde\b.{0,40}"
+    r"|(?:(?:we'?re |we are |i'?m )?(?:so |very )?(?:sorry|oops|uh-?oh|whoops|hmm+)[!,.: ]*(?:but )?)?(?:the|this|that) (?:requested )?(?:page|file|resource|document|message|item|content|link|url|site) ?(?:that )?(?:you(?:'re| are| were|'ve| have)? (?:requested|looking for|trying to (?:reach|view|open)|asked for))? ?(?:could not be found|couldn't be found|cannot be found|can't be found|was not found|wasn't found|does not exist|doesn't exist|no longer exists|is not available|isn't available|is unavailable|is no longer available|has been (?:moved|removed|deleted)(?: or (?:moved|removed|deleted|renamed))?)(?: anymore| any more| right now| at the moment)?"
+    r"|pagina (?:non trovata|niet gevonden)|la pagina (?:richiesta|che cerchi|cercata) non (?:esiste|è stata trovata|è disponibile)|(?:a )?página (?:que (?:procura|você procura) )?(?:não (?:foi )?encontrada|não existe)|acesso negado|accesso negato|toegang geweigerd|errore interno(?: del server)?|erro interno(?: do servidor)?|(?:de )?pagina (?:die u zoekt )?(?:bestaat niet|is niet gevonden|kan niet worden gevonden)|sidan (?:hittades inte|kunde inte hittas)|siden (?:ble ikke funnet|blev ikke fundet)|sivua ei löytynyt|nie znaleziono strony|strona nie (?:istnieje|została znaleziona)|stránka nenalezena|страница не найдена|доступ запрещ[её]н|внутренняя ошибка сервера|sayfa bulunamadı|ページが見つかりません(?:でした)?。?|(?:找不到|未找到)(?:该)?(?:网页|页面)|页面不存在|페이지를 찾을 수 없습니다"
     r"|(?:oops[!,. ]*)?(?:something|etwas) (?:went wrong|ist schiefgelaufen)|(?:oops[!,. ]*)?(?:page|file|resource|message|document) (?:was )?not found|access (?:is )?denied|permission denied|you (?:do not|don't) have (?:permission|access)\b.{0,60}|(?:your|the) session (?:has )?expired\b.{0,60}|please sign in again\b.{0,40}|ihre sitzung ist abgelaufen\b.{0,60}|votre session a expiré\b.{0,60}|su sesión ha (?:expirado|caducado)\b.{0,60}|this (?:message|page|item|content|file|link) is no longer (?:available|here)|(?:the )?(?:upstream|origin) (?:host|server) (?:did not|didn't) (?:answer|respond).{0,40}|(?:temporarily )?down for maintenance\b.{0,40}|(?:we are |we're )?(?:currently )?(?:under|undergoing) maintenance\b.{0,60}|wegen wartung\b.{0,60}|checking your (?:connection|browser) before you continue|rate (?:is )?limit(?:ed| exceeded)|too many requests\b.{0,60}|connection (?:timed out|refused|reset)\b.{0,40}|(?:we |the server )?(?:could not|couldn't|cannot|can't|unable to|failed to) (?:load|open|find|process|complete|display|show) (?:this|the|your|that)\b.{0,40}",
     re.I,
 )
@@ -95,7 +99,8 @@ _ERROR_JSON = re.compile(r'^\{\s*"(?:error|errors|fault|exception)"\s*:\s*[\[{"]
 _HTML_PAGE = re.compile(r"<(?:html|head|title|h1|body|noscript)\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 #: Stems, one of which every line with evidence holds; lines without any are left at once.
-_STEMS = """{ [ < % $ # @ *| __ xx. tbd tba tbc todo script js err fehler fallo exception undefined null nan traceback status request conflict gone forbidden
+_STEMS = """sorry requested available exists moved removed deleted something votre escrib ihr dein schreib tapez écri saisi testo texto tekst abilita attiva ativ pagina página sidan siden sivua stron stránka страниц доступ ошибка sayfa ページ 网页 页面 페이지 accesso acesso toegang errore erro write your
+{ [ < % $ # @ *| __ xx. tbd tba tbc todo script js err fehler fallo exception undefined null nan traceback status request conflict gone forbidden
 unauthorized gateway unavailable timeout time-out denied verweigert refus interdit denegado expired abgelaufen expiré expirado caducado no_longer not_found gefunden
 introuvable trouvée exist encontrad wrong schief maintenance wartung checking permission access upstream origin rate connection could cannot can't unable failed
 refer code inténtelo again implemented allowed at_ lorem ipsu dolor amet elit labore veniam nostrud aliqu aute velit cillum pariatur sint culpa mollit
@@ -136,6 +141,8 @@ def _filler(line: str) -> bool:
     words = re.findall(r"[^\W\d_]+", line.casefold())
     if len(words) >= 5 and sum(w in LATIN for w in words) >= 0.8 * len(words) and sum(w in LATIN_SURE for w in words) >= 0.4 * len(words):
         return True
+    if len(words) >= 3 and words[:2] == ["lorem", "ipsum"] and all(w in LATIN for w in words):
+        return True
     return len(words) >= 4 and sum(w in KEYS or len(set(w)) == 1 for w in words) >= 0.9 * len(words)
 
 
@@ -159,7 +166,7 @@ def evidence(line: str, raw: str) -> str | None:
     page = bool(_HTML_PAGE.search(raw))
     if any(errors := [bool(_ERROR.fullmatch(t)) for t in bare]) and (page or all(e or _BESIDE.fullmatch(t) for e, t in zip(errors, bare, strict=True))):
         return "error"
-    if len(line) < 300 and any(_SCRIPT.search(s) and (page or _ADDRESS.match(s)) for s in sentences):
+    if any(_SCRIPT.search(s) and (page or _ADDRESS.match(s)) for s in sentences):
         return "script"
     return "placeholder" if _placeholder(line) else None
 
