@@ -104,7 +104,7 @@ def tokenize(spark, root):
 
 
 def fts_postings(spark, root):
-    return s.postings(s.indexed(spark, root)).drop("length")
+    return s.index(spark, root).select("term", "conv_id", "id", "tf")
 
 
 def phrases_ngrams(spark, root):
@@ -241,7 +241,10 @@ QUERIES = {
     "fts_bm25_porter": lambda spark, root: s.bm25(spark, root, ["measured", "snapshots"], stemmed=True),
     "fts_search": lambda spark, root: s.search(spark, root, ["channel", "export"]),
     "phrases_ngrams": phrases_ngrams,
+    "fts_bm25_scoped": lambda spark, root: s.bm25(spark, root, ["channel", "export"], kind="channel", since=1_760_000_000_000, until=1_770_000_000_000),
     "topics_rank": lambda spark, root: s.topics(spark, root, days=30),
+    "topics_options": lambda spark, root: s.topics(spark, root, since=1_765_000_000_000, until=1_770_000_000_000, kind="channel", exclude=["snapshot"], stopwords=["index"]),
+    "topics_scope": lambda spark, root: s.topic_scope(spark, root, days=30),
     "top_terms": lambda spark, root: s.top_terms_per_kind(spark, root),
     "strip_html": strip_html,
     "html_to_text": html_texts,

@@ -55,6 +55,18 @@ FILES = rf"""files as (select * from (select *, row_number() over (partition by
 fp as (select cache_id, file_no, case when v <> '' then array_to_string(list_slice(list_concat(list_transform(string_split(v, '.'), lambda p: case when ltrim(p, '0') = '' then '0' else ltrim(p, '0') end), ['0', '0']), 1, 3), '.') end as version,
   substr(sha256(array_to_string(list_sort(list_transform(coalesce(stores, []), lambda s: {DB} || '|' || s.store || '|' || array_to_string(list_sort(list_distinct(s.fields)), ','))), ';')), 1, 16) as hash from files)"""
 
+
+
+def _topics(scope: str, since: str, kept: str) -> str:
+    return f"""with {M}, {PEOPLE}, {PROF}, {IX}, nm as (select distinct unnest(regexp_extract_all(lower(name), '[\\p{{L}}\\p{{M}}]{{3,}}')) as w from (select name from people union all select name from prof)),
+r as (select *, row_number() over () as doc from ix where sender not like '28:%' and ts > 0 and {scope}), b as (select {since} as since), z as (select count(*) filter (ts >= since) as win, count(*) filter (ts < since) as base from r, b),
+d as (select doc, conv_id, id, ts, sender, ts >= since as new, {TOKENS.format('text')} as tokens from r, b), br as (select *, list_transform(tokens, lambda x: list_contains({STOP}, x) or length(x) < 3 or regexp_full_match(x, '[0-9a-f]{{5,}}')) as bad from d),
+g as (select doc, conv_id, id, ts, sender, new, list_aggregate(list_slice(tokens, i, i + g - 1), 'string_agg', ' ') as phrase from br, (values (1), (2), (3)) n(g), unnest(generate_series(1, len(tokens) - g + 1)) u(i) where not list_contains(list_slice(bad, i, i + g - 1), true)),
+s as (select phrase, count(*) filter (new) as count, count(distinct doc) filter (new) as df, count(distinct doc) filter (not new) as base_df, count(distinct sender) filter (new) as senders, min((ts, conv_id, id)) filter (new) as f from g group by phrase)
+select phrase, count, senders, round((df / greatest(1, win)) / ((base_df + 0.5) / (base + 1)) * log2(1 + count), 6) as score, f[2] as first_conv_id, f[3] as first_id from s, z where count >= 3 and senders >= 2 and {kept}
+  and not exists (select 1 from nm where list_contains(string_split(s.phrase, ' '), nm.w))"""
+
+
 SQL = {
     "conv_list": f"{LIST} select * from list where msg_count > 0",
     "conv_list_kind": f"{LIST} select * from list where msg_count > 0 and kind = 'channel'",
@@ -138,11 +150,10 @@ o as (select *, row_number() over (partition by conv_id order by n desc, sender)
 h as (select conv_id, id, len(tokens) as dl, unnest(list_filter(tokens, lambda x: x in ('channel', 'export'))) as term from d), tf as (select term, conv_id, id, dl, count(*) as tf from h group by all), df as (select term, count(*) as df from tf group by term)
 select conv_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score from tf join df using (term), st group by conv_id, id having count(*) = 2""",
     "phrases_ngrams": f"with d as (select {TOKENS.format('text')} as tokens from documents where text is not null), g as ({GRAMS.format('', 'd')}) select phrase, count(*) as n from g group by phrase",
-    "topics_rank": f"""with {M}, {IX}, r as (select *, row_number() over () as doc from ix where sender not like '28:%' and ts > 0), b as (select max(ts) - 30::bigint * 86400000 as since from r), z as (select count(*) filter (ts >= since) as win, count(*) filter (ts < since) as base from r, b),
-d as (select doc, sender, ts >= since as new, {TOKENS.format('text')} as tokens from r, b), br as (select *, list_transform(tokens, lambda x: list_contains({STOP}, x) or length(x) < 3 or regexp_full_match(x, '[0-9a-f]{{5,}}')) as bad from d),
-g as (select doc, sender, new, list_aggregate(list_slice(tokens, i, i + g - 1), 'string_agg', ' ') as phrase from br, (values (1), (2), (3)) n(g), unnest(generate_series(1, len(tokens) - g + 1)) u(i) where not list_contains(list_slice(bad, i, i + g - 1), true)),
-s as (select phrase, count(*) filter (new) as count, count(distinct doc) filter (new) as df, count(distinct doc) filter (not new) as base_df, count(distinct sender) filter (new) as senders from g group by phrase)
-select phrase, count, senders, round((df / greatest(1, win)) / ((base_df + 0.5) / (base + 1)) * log2(1 + count), 6) as score from s, z where count >= 3 and senders >= 2""",
+    "topics_rank": _topics("true", "(select max(ts) - 30::bigint * 86400000 from r)", "true"),
+    "topics_options": _topics("kind = 'channel' and ts < 1770000000000", "1765000000000", "len(list_intersect(string_split(phrase, ' '), ['snapshot', 'index'])) = 0"),
+    "topics_scope": f"""with {M}, r as (select ts, sender like '28:%' as bot from m where not is_system and content <> '' and ts > 0), b as (select max(ts) - 30::bigint * 86400000 as since from r where not bot)
+select any_value(since) as since, count(*) filter (ts >= since and not bot) as win, count(*) filter (ts < since and not bot) as base, count(*) filter (ts >= since and bot) as bots from r, b""",
     "top_terms": f"""with {M}, {IX}, c as (select kind, term, count(*) as n from (select kind, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as term from ix) group by all)
 select * from (select kind, term, n, row_number() over (partition by kind order by n desc, term) as rank from c) where rank <= 5""",
     "strip_html": f"with {EV} select id, {STRIP.format('body_html')} as text from ev where body_html is not null",
@@ -170,3 +181,5 @@ select conv_id, root_id, id, n, n - count(*) over (partition by conv_id, root_id
     "p6_pending_ranges": f"with p as ({P6}), i as (select cache_id, seq, seq - row_number() over (partition by cache_id order by seq) as g from p) select cache_id, min(seq) as lo, max(seq) as hi from i group by cache_id, g",
     "incremental_equals_full": "select cache_id, entry_key from store_entries where false",
 }
+
+SQL["fts_bm25_scoped"] = f"select b.* from ({SQL['fts_bm25']}) b join (with {M} select * from m where kind = 'channel' and ts >= 1760000000000 and ts < 1770000000000) s using (conv_id, id)".replace("b.* from", "b.conv_id, b.id, b.score from")

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from threadlake.functions.mri import is_bot
 from threadlake.functions.text import ngrams, strip_tags, topic_tokens, words
 from threadlake.plans import silver
+from threadlake.plans.derived import derived
 
 #: Okapi BM25.
 K1, B = 1.2, 0.75
@@ -44,36 +45,65 @@ def stems(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def postings(docs: DataFrame, stemmed: bool = False) -> DataFrame:
     """term, conv_id, id, tf, and the document's length. To be kept, write it partitioned or bucketed by term."""
     tokens = words(F.col("text"))
-    rows = docs.select("conv_id", "id", (stems(tokens) if stemmed else tokens).alias("tokens"))
-    return rows.select("conv_id", "id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", "conv_id", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    rest = [c for c in ("kind", "ts", "sender") if c in docs.columns]
+    rows = docs.select("conv_id", "id", *rest, tokens.alias("tokens"))
+    found = rows.select("conv_id", "id", *rest, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    if stemmed:  # words are stemmed once each, not once an occurrence
+        each = found.groupBy("term").count().select("term", stems(F.array("term")).getItem(0).alias("stem"))
+        found = found.join(each, "term").drop("term").withColumnRenamed("stem", "term")
+    return found.groupBy("term", "conv_id", "id").agg(F.count(F.lit(1)).alias("tf"), *[F.first(c).alias(c) for c in ("length", *rest)])
 
 
-def bm25(spark: SparkSession, root: str, query: Sequence[str], kind: str | None = None, stemmed: bool = False, limit: int | None = None) -> DataFrame:
-    """conv_id, id, score of messages that hold all the query's terms; the corpus' statistics aren't scoped by ``kind``."""
-    docs = indexed(spark, root)
+#: Parts that the index is written in, by term.
+BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def index(spark: SparkSession, root: str, stemmed: bool = False) -> DataFrame:
+    """The postings of all indexed messages, built at the first search and kept, in parts by term: a query reads the parts of its terms."""
+    name = "postings_stemmed" if stemmed else "postings"
+    return derived(spark, root, name, ["messages"], lambda: postings(indexed(spark, root), stemmed).withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("conv_id", "id"), F.lit(8))), partition="bucket")
+
+
+def statistics(spark: SparkSession, root: str) -> DataFrame:
+    """n, avgdl of the index: one row, kept beside it."""
+    return derived(spark, root, "index_size", ["messages"], lambda: indexed(spark, root).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(words(F.col("text")))).alias("avgdl")))
+
+
+def bm25(spark: SparkSession, root: str, query: Sequence[str], stemmed: bool = False, limit: int | None = None, **scope) -> DataFrame:
+    """conv_id, id, score of messages that hold all the query's terms; the corpus' statistics aren't scoped.
+
+    ``scope``: kind, conversation (an id), sender, since, until.
+    """
     terms = sorted({t.lower() for t in query})
     if stemmed:
         from threadlake.functions.porter import fold
 
         terms = sorted({stem(fold(t)) for t in terms})
-    tokens = words(F.col("text"))
-    sized = docs.select("conv_id", "id", "kind", (stems(tokens) if stemmed else tokens).alias("tokens"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
-    # Only the query's terms are exploded: the scan counts them in place.
-    wanted = F.array(*[F.lit(t) for t in terms])
-    hits = sized.filter(F.arrays_overlap("tokens", wanted)).select("conv_id", "id", "kind", F.size("tokens").alias("dl"), F.explode(F.filter("tokens", lambda t: F.array_contains(wanted, t))).alias("term"))
-    tf = hits.groupBy("term", "conv_id", "id", "kind", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    stats = statistics(spark, root).first()
+    parts = [r[0] for r in spark.range(1).select(F.explode(F.transform(F.array(*[F.lit(t) for t in terms]), _bucket))).collect()]
+    tf = index(spark, root, stemmed).filter(F.col("bucket").isin(parts) & F.col("term").isin(terms))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # as many rows as the query has terms
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
     idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    scored = tf.join(F.broadcast(df), "term").groupBy("conv_id", "id", "kind").agg(F.round(F.sum(gain), 6).alias("score"), F.count(F.lit(1)).alias("terms")).filter(F.col("terms") == len(terms))
-    if kind:
-        scored = scored.filter(F.col("kind") == kind)
+    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / avgdl))
+    scored = _scoped(tf, **scope).join(F.broadcast(df), "term").groupBy("conv_id", "id").agg(F.round(F.sum(gain), 6).alias("score"), F.count(F.lit(1)).alias("terms")).filter(F.col("terms") == len(terms))
     found = scored.select("conv_id", "id", "score")
     return found.orderBy(F.desc("score"), "conv_id", "id").limit(limit) if limit else found
 
 
+def _scoped(rows: DataFrame, kind: str | None = None, conversation: str | None = None, sender: str | None = None, since: int | None = None, until: int | None = None) -> DataFrame:
+    for column, wanted in (("kind", kind), ("conv_id", conversation), ("sender", sender)):
+        if wanted is not None:
+            rows = rows.filter(F.col(column) == wanted)
+    if since is not None:
+        rows = rows.filter(F.col("ts") >= since)
+    return rows.filter(F.col("ts") < until) if until is not None else rows
+
+
 def snippet(text: str, terms: Sequence[str], width: int = 10) -> str:
     """The ``width`` tokens with most hits, hits in brackets, cuts marked with an ellipsis."""
     tokens = text.split()
@@ -99,30 +129,68 @@ STOPWORDS = (
 ).split()
 
 
-def phrases(tokens, stopwords: Sequence[str] = ()):
+def phrases(tokens: Column, stopwords: Sequence[str] = ()) -> Column:
     """The 1- to 3-grams of a column of topic tokens that stop words don't interrupt, with repeats."""
     breaks = F.array(*[F.lit(w) for w in [*STOPWORDS, *stopwords]])
     return ngrams(tokens, is_break=lambda t: F.array_contains(breaks, t) | (F.length(t) < 3) | t.rlike("^[0-9a-f]{5,}$"))
 
 
-def topics(spark: SparkSession, root: str, days: int = 7, least: int = 3, senders: int = 2, stopwords: Sequence[str] = (), limit: int | None = None) -> DataFrame:
-    """phrase, count, senders, score of phrases that stand out in the last ``days`` against all time before.
+def message_phrases(spark: SparkSession, root: str) -> DataFrame:
+    """phrase, conv_id, id, sender, ts, kind, n: the phrases of every message that no bot sent, built once and kept."""
+
+    def build() -> DataFrame:
+        rows = indexed(spark, root).filter(~is_bot(F.col("sender")) & (F.col("ts") > 0))
+        # Tokens are made once per row: the generator keeps them from being folded into each n-gram.
+        tokens = rows.select("conv_id", "id", "sender", "ts", "kind", F.explode(F.array(topic_tokens(F.col("text")))).alias("tokens"))
+        found = tokens.select("conv_id", "id", "sender", "ts", "kind", F.explode(phrases(F.col("tokens"))).alias("phrase"))
+        return found.groupBy("phrase", "conv_id", "id").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("sender", "ts", "kind")])
+
+    return derived(spark, root, "message_phrases", ["messages"], build)
+
+
+def name_words(spark: SparkSession, root: str) -> DataFrame:
+    """word: the words of people's names, which break phrases."""
+
+    def build() -> DataFrame:
+        names = silver.people(spark, root).select("name").unionByName(silver.profiles(spark, root).select("name"))
+        return names.select(F.explode(F.regexp_extract_all(F.lower("name"), F.lit(r"[\p{L}\p{M}]{3,}"), 0)).alias("word")).distinct()
+
+    return derived(spark, root, "name_words", ["messages", "profiles"], build)
+
+
+def topic_scope(spark: SparkSession, root: str, days: int = 7, since: int | None = None, until: int | None = None, **scope) -> DataFrame:
+    """since, win, base, bots: the window's start, the messages in it, those before it, and those of bots in it, which don't count. One row."""
+    rows = _scoped(silver.messages(spark, root, "conv_id", "ts", "sender", "kind", "is_system", "content").filter("not is_system and content <> '' and ts > 0"), until=until, **scope)
+    bot = is_bot(F.col("sender"))
+    if since is None:
+        newest = rows.filter(~bot).agg(F.max("ts").alias("t")).first()["t"] or 0
+        since = newest - days * 86_400_000
+    new = F.col("ts") >= since
+    return rows.agg(F.lit(since).cast("long").alias("since"), F.count_if(new & ~bot).alias("win"), F.count_if(~new & ~bot).alias("base"), F.count_if(new & bot).alias("bots"))
+
+
+def topics(spark: SparkSession, root: str, days: int = 7, least: int = 3, senders: int = 2, stopwords: Sequence[str] = (), exclude: Sequence[str] = (), names_break: bool = True, limit: int | None = None, since: int | None = None, until: int | None = None, **scope) -> DataFrame:
+    """phrase, count, senders, score and first (conv_id and id of the first message) of phrases that stand out in the window against all time before.
 
-    Bots are left out of both sides. score = lift * log2(1 + count), lift from document frequencies.
+    The window is from ``since`` (else the last ``days``) to ``until``; ``scope``: kind, conversation, sender. Bots are
+    left out of both sides. Words of people's names and ``stopwords`` break phrases; phrases with a word of ``exclude``
+    are dropped. score = lift * log2(1 + count), lift from document frequencies.
     """
-    rows = indexed(spark, root).filter(~is_bot(F.col("sender")) & (F.col("ts") > 0))
-    newest = rows.agg(F.max("ts").alias("t")).first()["t"] or 0
-    since = newest - days * 86_400_000
-    sizes = rows.agg(F.count_if(F.col("ts") >= since).alias("win"), F.count_if(F.col("ts") < since).alias("base")).first()
-    # Tokens are made once per row: the generator keeps them from being folded into each n-gram.
-    tokens = rows.select("conv_id", "id", "sender", (F.col("ts") >= since).alias("new"), F.explode(F.array(topic_tokens(F.col("text")))).alias("tokens"))
-    found = tokens.select("conv_id", "id", "sender", "new", F.explode(phrases(F.col("tokens"), stopwords)).alias("phrase"))
-    per_message = found.groupBy("phrase", "conv_id", "id", "sender", "new").agg(F.count(F.lit(1)).alias("n"))
-    per_sender = per_message.groupBy("phrase", "sender").agg(F.sum(F.when(F.col("new"), F.col("n")).otherwise(0)).alias("count"), F.count_if("new").alias("df"), F.count_if(~F.col("new")).alias("base_df"))
-    stats = per_sender.groupBy("phrase").agg(F.sum("count").alias("count"), F.sum("df").alias("df"), F.sum("base_df").alias("base_df"), F.count_if(F.col("df") > 0).alias("senders"))
+    sizes = topic_scope(spark, root, days, since, until, **scope).first()
+    found = _scoped(message_phrases(spark, root), until=until, **scope).withColumn("new", F.col("ts") >= sizes["since"])
+    per_sender = found.groupBy("phrase", "sender").agg(F.sum(F.when(F.col("new"), F.col("n")).otherwise(0)).alias("count"), F.count_if("new").alias("df"), F.count_if(~F.col("new")).alias("base_df"), F.min(F.when(F.col("new"), F.struct("ts", "conv_id", "id"))).alias("first"))
+    stats = per_sender.groupBy("phrase").agg(F.sum("count").alias("count"), F.sum("df").alias("df"), F.sum("base_df").alias("base_df"), F.count_if(F.col("df") > 0).alias("senders"), F.min("first").alias("first"))
+    kept = stats.filter((F.col("count") >= least) & (F.col("senders") >= senders))
+    # What breaks a phrase is looked for in the few phrases that are left.
+    parts = F.split("phrase", " ")
+    if barred := [*stopwords, *(x.lower() for x in exclude)]:
+        kept = kept.filter(~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in barred])))
+    if names_break:
+        named = kept.select("phrase", F.explode(parts).alias("word")).join(name_words(spark, root), "word", "left_semi").select("phrase").distinct()
+        kept = kept.join(named, "phrase", "left_anti")
     lift = (F.col("df") / F.greatest(F.lit(1), F.lit(sizes["win"]))) / ((F.col("base_df") + 0.5) / (F.lit(sizes["base"]) + 1))
-    kept = stats.filter((F.col("count") >= least) & (F.col("senders") >= senders)).select("phrase", "count", "senders", F.round(lift * F.log2(1 + F.col("count")), 6).alias("score"))
-    return kept.orderBy(F.desc("score"), "phrase").limit(limit) if limit else kept
+    ranked = kept.select("phrase", "count", "senders", F.round(lift * F.log2(1 + F.col("count")), 6).alias("score"), F.col("first.conv_id").alias("first_conv_id"), F.col("first.id").alias("first_id"))
+    return ranked.orderBy(F.desc("score"), "phrase").limit(limit) if limit else ranked
 
 
 def top_terms_per_kind(spark: SparkSession, root: str, k: int = 5) -> DataFrame:

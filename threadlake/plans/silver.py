@@ -9,24 +9,28 @@ from pyspark.sql import functions as F
 from threadlake.functions.mri import clean_mri
 from threadlake.functions.text import conversation_kind, handle
 from threadlake.operators.fold import kept_messages, latest
-from threadlake.session import cut
+from threadlake.plans.derived import derived
 from threadlake.tables import table
 
 
-def messages(spark: SparkSession, root: str, *columns: str) -> DataFrame:
-    """conv_id, id, version, ts, sender, sender_name, kind, flags, content, reactions, root_id, row_no (or some of them)."""
-    raw = table(spark, root, "messages")
+SHAPED = ("conv_id", "id", "row_no", "version", "ts", "sender", "sender_name", "kind", "is_mine", "is_system", "has_attach", "mentions_me", "content", "reactions", "root_id")
+
+
+def _shape_messages(spark: SparkSession, root: str) -> DataFrame:
+    kept = kept_messages(table(spark, root, "messages"))
     shaped = {
         "conv_id": F.col("conv_id"), "id": F.col("id"), "row_no": F.col("row_no"), "version": F.coalesce("version", F.lit(0)), "ts": F.coalesce("ts", F.lit(0)),
         "sender": F.coalesce(clean_mri(F.col("sender_mri")), F.lit("?")), "sender_name": F.coalesce("sender_name", F.lit("")), "kind": conversation_kind(F.col("conv_id")),
         "is_mine": F.coalesce("is_mine", F.lit(False)), "is_system": F.coalesce("is_system", F.lit(False)), "has_attach": F.coalesce("has_attach", F.lit(False)), "mentions_me": F.coalesce("mentions_me", F.lit(False)),
         "content": F.coalesce("content", F.lit("")), "reactions": F.col("reactions"), "root_id": F.coalesce("root_id", "id"),
     }
-    wanted = columns or tuple(shaped)
-    sources = {"sender": "sender_mri", "kind": "conv_id"}
-    needed = dict.fromkeys(["conv_id", "id", "version", "row_no", *(sources.get(c, c) for c in wanted), *(["id"] if "root_id" in wanted else [])])
-    kept = kept_messages(raw.select(*needed))
-    return kept.select(*[shaped[c].alias(c) for c in wanted])
+    return kept.select(*[shaped[c].alias(c) for c in SHAPED])
+
+
+def messages(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """One row per message: ``SHAPED``, or some of them. Folded and shaped once, then read with its columns pruned and filters pushed down."""
+    rows = derived(spark, root, "messages", ["messages"], lambda: _shape_messages(spark, root))
+    return rows.select(*columns) if columns else rows
 
 
 def profiles(spark: SparkSession, root: str) -> DataFrame:
@@ -44,8 +48,8 @@ def calls(spark: SparkSession, root: str) -> DataFrame:
 
 
 def folded(spark: SparkSession, root: str) -> DataFrame:
-    """The columns the derived tables need, folded once and kept in the shared folder, for queries that read them several times."""
-    return cut(messages(spark, root, "conv_id", "id", "ts", "sender", "sender_name", "is_system", "is_mine"))
+    """The columns the derived tables need."""
+    return messages(spark, root, "conv_id", "id", "ts", "sender", "sender_name", "is_system", "is_mine")
 
 
 def people(spark: SparkSession, root: str, rows: DataFrame | None = None) -> DataFrame:

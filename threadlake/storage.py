@@ -29,6 +29,26 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
 
 
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Name, size and time of each file at or under a path, sorted. Nothing where there is none."""
+    fs, place = _at(spark, path)
+    if not fs.exists(place):
+        return []
+    found, each = [], fs.listFiles(place, True)
+    while each.hasNext():
+        s = each.next()
+        found.append(f"{s.getPath().getName()}|{s.getLen()}|{s.getModificationTime()}")
+    return sorted(found)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Rename, or drop ``old`` where another was faster."""
+    fs, place = _at(spark, new)
+    _, source = _at(spark, old)
+    if fs.exists(place) or not fs.rename(source, place):
+        fs.delete(source, True)
+
+
 def read(spark: SparkSession, path: str) -> str:
     fs, place = _at(spark, path)
     stream = fs.open(place)
