@@ -56,6 +56,8 @@ _PLACEHOLDERS = re.compile(
     rf"|(?<!\w)X{{2,}}\.X{{2,}}\.X{{2,}}(?!\w)|(?<![\w%])%(?:s|d|\d\$s|\([a-z_]+\)s)(?![\w])|(?<![\w{{$])\{{\d{{1,2}}\}}(?![\w}}])|(?<![\w{{$])\{{{_FIELD}\}}(?![\w}}])",
     re.I,
 )
+#: What every placeholder holds.
+_MARKS = re.compile(r"[{\[<%$#@*]|__|\(T|X\.X", re.I)
 _STRICT_CASE = re.compile(r"^(?:#|\$[A-Z])")
 _BRACKET = re.compile(r"\[[A-Z][^\W\d_]+(?: [A-Z]?[^\W\d_]+){0,3}\]")
 #: A field in angle brackets: of two words or more, or one of the usual names of fields (``<guid>`` in prose is none).
@@ -99,7 +101,7 @@ _ERROR_JSON = re.compile(r'^\{\s*"(?:error|errors|fault|exception)"\s*:\s*[\[{"]
 _HTML_PAGE = re.compile(r"<(?:html|head|title|h1|body|noscript)\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 #: Stems, one of which every line with evidence holds; lines without any are left at once.
-_STEMS = """sorry requested available exists moved removed deleted something votre escrib ihr dein schreib tapez écri saisi testo texto tekst abilita attiva ativ pagina página sidan siden sivua stron stránka страниц доступ ошибка sayfa ページ 网页 页面 페이지 accesso acesso toegang errore erro write your
+_STEMS = """has_been_ t_available not_available type_something type_anything type_here write_something write_here escribe_ teclee_ tapez_ saisi testo_qui pagina_ página_ sidan_ siden_ sivua_ strona_ nie_znaleziono stránka_ страниц доступ ошибка sayfa_ ページ 网页 页面 페이지 accesso_ acesso_ toegang_ errore_ erro_
 { [ < % $ # @ *| __ xx. tbd tba tbc todo script js err fehler fallo exception undefined null nan traceback status request conflict gone forbidden
 unauthorized gateway unavailable timeout time-out denied verweigert refus interdit denegado expired abgelaufen expiré expirado caducado no_longer not_found gefunden
 introuvable trouvée exist encontrad wrong schief maintenance wartung checking permission access upstream origin rate connection could cannot can't unable failed
@@ -166,9 +168,10 @@ def evidence(line: str, raw: str) -> str | None:
     page = bool(_HTML_PAGE.search(raw))
     if any(errors := [bool(_ERROR.fullmatch(t)) for t in bare]) and (page or all(e or _BESIDE.fullmatch(t) for e, t in zip(errors, bare, strict=True))):
         return "error"
-    if any(_SCRIPT.search(s) and (page or _ADDRESS.match(s)) for s in sentences):
+    low = line.lower()
+    if ("script" in low or "js" in low) and any(_SCRIPT.search(s) and (page or _ADDRESS.match(s)) for s in sentences):
         return "script"
-    return "placeholder" if _placeholder(line) else None
+    return "placeholder" if _MARKS.search(line) and _placeholder(line) else None
 
 
 def _keep_tags(lead: re.Match) -> str:
