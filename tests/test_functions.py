@@ -41,4 +41,12 @@ def test_times_and_glyphs(spark):
         render.parse_time("soon", now)
     df = spark.createDataFrame([(0,), (None,), (1735689600000,), (1704067200000,)], "t long")
     assert [r[0] for r in df.select(render.shown_time(F.col("t"), 1736000000000, "Europe/Berlin")).collect()] == ["--", "--", "01-01 01:00", "2024-01-01 01:00"]
-    assert [render.glyph(k) for k in ("like", "1f44d_thumbsup-tone2", "1f468-200d-1f4bb_dev;x", "party", None)] == ["👍", "👍", "👨‍💻", "party", None]
+    keys = ["like", "1f44d_thumbsup-tone2", "1f468_200d_1f4bb", "1f468_man;x", "party", None, "", "d83d_x", "110000_x", "LIKE", "plusone;0-x", "abc_x"]
+    shown = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string").select("i", render.glyph(F.col("k")).alias("g")).orderBy("i").collect()
+    assert [r.g for r in shown] == ["👍", "👍", "👨‍💻", "👨", "🎉", None, "", "d83d_x", "110000_x", "👍", "👍", "abc_x"]
+
+
+def test_entities(spark):
+    from threadlake.functions.text import plain_text
+
+    assert plain_text("d&iacute;a t&ecirc;te &AMP; &Eacute; &unknown; x") == "día tête & É x".replace("É", "é")

@@ -10,9 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Named entities that are decoded; an unknown one becomes a blank.
+#: Named entities that are decoded, in any case of letters; an unknown one becomes a blank.
 ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "ntilde": "ñ",
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß", "eacute": "é", "egrave": "è", "ecirc": "ê", "agrave": "à", "acirc": "â", "aacute": "á", "iacute": "í", "oacute": "ó", "uacute": "ú", "ucirc": "û", "icirc": "î", "ocirc": "ô", "ccedil": "ç", "ntilde": "ñ",
     "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bull": "•", "middot": "·", "euro": "€", "pound": "£", "copy": "©", "reg": "®", "trade": "™",
 }
 _TOKEN = re.compile(r"(<div\b[^>]*>|</p\s*>|<br\s*/?>)|(<[^>]*>)|&(?:#(\d{1,7})|#[xX]([0-9a-fA-F]{1,6})|([A-Za-z][A-Za-z0-9]*));", re.I)
@@ -24,7 +24,7 @@ def _piece(m: re.Match) -> str:
     if m.group(2):
         return ""
     if m.group(5):
-        return ENTITIES.get(m.group(5), " ")
+        return ENTITIES.get(m.group(5)) or ENTITIES.get(m.group(5).lower(), " ")
     code = int(m.group(3)) if m.group(3) else int(m.group(4), 16)
     return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else " "
 
@@ -55,7 +55,7 @@ def clip(text: Column, n: int) -> Column:
 
 
 def elide_urls(text: Column) -> Column:
-    return F.regexp_replace(text, r"https?://([^\s/<>\"]+)(/[^\s<>\"]*)?", "[link: $1]")
+    return F.regexp_replace(text, r"(?i)https?://([^\s/<>\"]+)(/[^\s<>\"]*)?", "[link: $1]")
 
 
 def words(text: Column) -> Column:

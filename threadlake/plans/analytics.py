@@ -91,6 +91,58 @@ def burst_60s(spark: SparkSession, root: str, gap: int = 60_000) -> DataFrame:
     return broken.filter("breaks = 0").groupBy("sender").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
 
 
+def first_message(spark: SparkSession, root: str, gap: int = 60_000) -> DataFrame:
+    """The first message of all to the owner with what its sender wrote right after it: conv_id, id, ts, sender, text (joined by line breaks), n.
+
+    The run ends where another person writes or more than ``gap`` passes; it is cut out of the conversation by the first such row, so only its own rows are sorted.
+    """
+    first = to_me(spark, root).agg(F.min(F.struct("ts", "id", "conv_id", "sender")).alias("f")).first()["f"]
+    if first is None:
+        return said(spark, root, "content").select("conv_id", "id", "ts", "sender", F.col("content").alias("text"), F.lit(0).cast("long").alias("n")).limit(0)
+    here = said(spark, root, "content").filter((F.col("conv_id") == first["conv_id"]) & ((F.col("ts") > first["ts"]) | ((F.col("ts") == first["ts"]) & (F.col("id") >= first["id"]))))
+    other = here.filter(F.col("sender") != first["sender"]).agg(F.min(F.struct("ts", "id")).alias("f")).first()["f"]
+    own = here.filter(F.col("sender") == first["sender"])
+    if other is not None:
+        own = own.filter((F.col("ts") < other["ts"]) | ((F.col("ts") == other["ts"]) & (F.col("id") < other["id"])))
+    w = W.orderBy("ts", "id")  # one sender's rows before anyone else writes
+    run = own.withColumn("breaks", F.sum(F.when(F.col("ts") - F.lag("ts").over(w) > gap, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0))).filter("breaks = 0")
+    lines = F.array_sort(F.collect_list(F.struct("ts", "id", "content")))
+    return run.agg(F.array_join(F.transform(F.filter(lines, lambda x: F.trim(x["content"]) != ""), lambda x: x["content"]), "\n").alias("text"), F.count(F.lit(1)).alias("n")).select(F.lit(first["conv_id"]).alias("conv_id"), F.lit(first["id"]).alias("id"), F.lit(first["ts"]).cast("long").alias("ts"), F.lit(first["sender"]).alias("sender"), "text", "n")
+
+
+def anchors(spark: SparkSession, root: str) -> DataFrame:
+    """first_ts: the owner's first message with content in a conversation of people, sent or (but in channels) received; last_ts of all."""
+    rows = said(spark, root, "kind", "content")
+    real = F.col("kind").isin("1:1", "group", "meeting", "channel") & (F.trim("content") != "") & (F.col("is_mine") | (F.col("kind") != "channel"))
+    return rows.agg(F.min(F.when(real, F.col("ts"))).alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def scale(spark: SparkSession, root: str) -> DataFrame:
+    """scale, top: how messages per day are best drawn: linear below one order of magnitude between a low count (a tenth is lower) and the highest, square root below two, else symlog."""
+    counts = per_day(spark, root).filter("n > 0")  # a row per day
+    placed = counts.withColumn("rn", F.row_number().over(W.orderBy("n"))).withColumn("size", F.count(F.lit(1)).over(W.partitionBy(F.lit(1))))
+    low = placed.agg(F.max("n").alias("top"), F.max("size").alias("size"), F.max(F.when(F.col("rn") == F.floor(F.col("size") * 0.1) + 1, F.col("n"))).alias("low"))
+    orders = F.log10(F.col("top") / F.greatest(F.lit(1), F.col("low")))
+    return low.select(F.when((F.coalesce("size", F.lit(0)) < 2) | (orders < 1), "linear").when(orders < 2, "sqrt").otherwise("symlog").alias("scale"), "top")
+
+
+def ticks(top: float, most: int = 4) -> list[float]:
+    """0 and the ``most`` highest of 1, 2.5 and 5 times powers of ten up to ``top``."""
+    found, power = [], 1
+    while power <= top:
+        found += [m * power for m in (1, 2.5, 5) if m * power <= top]
+        power *= 10
+    return [0, *found[-most:]]
+
+
+def half_year(spark: SparkSession, root: str, start: int | None = None, days: int = 182) -> DataFrame:
+    """Messages per day of a window of half a year, by default the last one."""
+    span = anchors(spark, root).first()
+    start = max(span["first_ts"] or 0, (span["last_ts"] or 0) - days * 86_400_000) if start is None else start
+    rows = said(spark, root).filter((F.col("ts") >= start) & (F.col("ts") <= start + days * 86_400_000))
+    return rows.groupBy(F.to_date(at("ts")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def kind_mix(spark: SparkSession, root: str) -> DataFrame:
     return silver.conversations(spark, root).filter("msg_count > 0").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("msg_count").alias("messages"))
 
@@ -160,8 +212,8 @@ def hysteresis_rank(spark: SparkSession, root: str) -> DataFrame:
 
 
 def slot(ts: Column) -> Column:
-    """0: 0 to 6 o'clock, 1 to 64: quarter-hours from 6 to 22, 69: 22 to 24."""
-    return F.when(F.hour(ts) < 6, 0).when(F.hour(ts) >= 22, 69).otherwise((F.hour(ts) - 6) * 4 + F.floor(F.minute(ts) / 15) + 1).cast("long")
+    """0: 0 to 6 o'clock, 1 to 68: quarter-hours from 6 to 23, 69: 23 to 24."""
+    return F.when(F.hour(ts) < 6, 0).when(F.hour(ts) >= 23, 69).otherwise((F.hour(ts) - 6) * 4 + F.floor(F.minute(ts) / 15) + 1).cast("long")
 
 
 def week_of(day: Column) -> Column:
@@ -194,12 +246,12 @@ def rolling_4w(spark: SparkSession, root: str) -> DataFrame:
 
 
 def smoothed(spark: SparkSession, root: str, sigma: float = 2.0, reach: int = 6) -> DataFrame:
-    """Messages per weekday and slot 1 to 64, smoothed by a Gaussian that is renormalised at the edges."""
-    cells = rhythm(spark, root).filter("slot between 1 and 64").groupBy("weekday", "slot").agg(F.sum("n").alias("n"))
-    near = F.explode(F.sequence(F.greatest(F.lit(1), F.col("slot") - reach), F.least(F.lit(64), F.col("slot") + reach)))
+    """Messages per weekday and slot 1 to 68, smoothed by a Gaussian that is renormalised at the edges."""
+    cells = rhythm(spark, root).filter("slot between 1 and 68").groupBy("weekday", "slot").agg(F.sum("n").alias("n"))
+    near = F.explode(F.sequence(F.greatest(F.lit(1), F.col("slot") - reach), F.least(F.lit(68), F.col("slot") + reach)))
     weight = F.exp(-F.pow(F.col("to") - F.col("slot"), F.lit(2)) / (2 * sigma * sigma))
     sums = cells.select("weekday", "slot", "n", near.alias("to")).groupBy("weekday", "to").agg(F.sum(weight * F.col("n")).alias("s"))
-    norm = spark.range(1, 65).withColumnRenamed("id", "slot").select("slot", near.alias("to")).groupBy("to").agg(F.sum(weight).alias("w"))
+    norm = spark.range(1, 69).withColumnRenamed("id", "slot").select("slot", near.alias("to")).groupBy("to").agg(F.sum(weight).alias("w"))
     return sums.join(norm, "to").select("weekday", F.col("to").alias("slot"), F.round(F.col("s") / F.col("w"), 6).alias("value"))
 
 
@@ -214,8 +266,13 @@ def p95_positive(spark: SparkSession, root: str) -> DataFrame:
 def call_percentiles(spark: SparkSession, root: str) -> DataFrame:
     """Nearest-rank percentiles and population deviation of call durations by direction."""
     rows = silver.calls(spark, root).filter("duration_ms > 0").withColumn("direction", F.coalesce("direction", F.lit("")))
-    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by duration_ms)").cast("long")
-    return rows.groupBy("direction").agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.round(F.stddev_pop("duration_ms"), 3).alias("deviation"), F.count(F.lit(1)).alias("n"))
+    # A count per value with a running sum: no group's values are held in one buffer.
+    per = rows.groupBy("direction", "duration_ms").agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("direction").orderBy("duration_ms")
+    placed = per.withColumn("upto", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("size", F.sum("n").over(W.partitionBy("direction")))
+    reached = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("size") * q), F.col("duration_ms"))).alias(f"p{int(q * 100)}")
+    points = placed.groupBy("direction").agg(*[reached(q) for q in (0.5, 0.9, 0.99)])
+    return points.join(rows.groupBy("direction").agg(F.round(F.stddev_pop("duration_ms"), 3).alias("deviation"), F.count(F.lit(1)).alias("n")), "direction").select("direction", "p50", "p90", "p99", "deviation", "n")
 
 
 def occupancy(spark: SparkSession, root: str, ticks: int = 200) -> DataFrame:

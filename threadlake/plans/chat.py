@@ -205,9 +205,7 @@ def bursts(spark: SparkSession, root: str, gap: int = 900_000) -> DataFrame:
     carried = days.select("conv_id", "day", F.lag("last").over(by).alias("carried"))
     w = W.partitionBy("conv_id", "day").orderBy("ts", "id")
     before = F.coalesce(F.lag(F.struct("ts", "id", "sender")).over(w), F.col("carried"))
-    opened = rows.join(carried, ["conv_id", "day"]).withColumn("before", before).filter("before is null or before.sender <> sender").unionByName(
-        rows.join(carried, ["conv_id", "day"]).withColumn("before", before).filter(F.col("before").isNotNull() & (F.col("before.sender") == F.col("sender")) & (F.col("ts") - F.col("before.ts") > gap))
-    )
+    opened = rows.join(carried, ["conv_id", "day"]).withColumn("before", before).filter(F.col("before").isNull() | (F.col("before.sender") != F.col("sender")) | (F.col("ts") - F.col("before.ts") > gap))
     from threadlake.operators.ordering import ordinals
 
     return ordinals(opened.select("conv_id", "id", "sender", "ts"), ["conv_id"], "ts", ["id"], name="burst").select("conv_id", "id", "sender", "ts", "burst")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadlake.functions.text import clip, elide_urls, html_to_text, initials, ngrams, strip_tags, topic_tokens, words
 from threadlake.operators import changefeed, drift, ledger, snapshot
 from threadlake.plans import analytics as a
+from threadlake.plans import answers as an
 from threadlake.plans import chat as c
 from threadlake.plans import search as s
 from threadlake.plans import render, silver
@@ -52,11 +53,15 @@ def conv_resolve(spark, root):
 
 
 def handles(spark, root):
-    """Handles of all people and conversations; those that collide are lengthened to ten digits."""
+    """Handles of all conversations, then all people, each in the order of their ids: the shortest digits, six at least, that no id before it has taken.
+
+    Ids that share six digits are few (their number over 16 million), so they are settled together.
+    """
     ids = silver.conversations(spark, root).select(F.lit("c:").alias("p"), F.col("id")).unionByName(silver.people(spark, root).select(F.lit("p:").alias("p"), F.col("mri").alias("id")))
-    short = ids.withColumn("h", F.substring(F.sha1("id"), 1, 6))
-    shared = short.groupBy("p", "h").agg((F.count(F.lit(1)) > 1).alias("shared"))
-    return short.join(shared, ["p", "h"]).select("id", F.concat("p", F.when(F.col("shared"), F.substring(F.sha1("id"), 1, 10)).otherwise(F.col("h"))).alias("handle"))
+    groups = ids.withColumn("h", F.sha1("id")).groupBy("p", F.substring("h", 1, 6).alias("six")).agg(F.array_sort(F.collect_list(F.struct("id", "h"))).alias("members"))
+    free = lambda taken, x: F.element_at(F.filter(F.transform(F.sequence(F.lit(6), F.lit(40)), lambda n: F.substr(x["h"], F.lit(1), n)), lambda h: ~F.exists(taken, lambda t: t["handle"] == h)), 1)
+    given = F.aggregate("members", F.array().cast("array<struct<id:string,handle:string>>"), lambda taken, x: F.concat(taken, F.array(F.struct(x["id"].alias("id"), free(taken, x).alias("handle")))))
+    return groups.select("p", F.inline(given)).select("id", F.concat("p", "handle").alias("handle"))
 
 
 def store_counts(spark, root):
@@ -114,7 +119,7 @@ def phrases_ngrams(spark, root):
 
 
 def url_elide(spark, root):
-    return table(spark, root, "documents").filter("text like '%http%'").select("doc_id", elide_urls(F.col("text")).alias("text"))
+    return table(spark, root, "documents").select("doc_id", elide_urls(F.col("text")).alias("text"))
 
 
 def clip_texts(spark, root):
@@ -168,6 +173,55 @@ def rescued(spark, root):
     return drift.promoted_counts(table(spark, root, "raw_records"), first=0.5).drop("replayed")
 
 
+def glyphs(spark, root):
+    """The keys of all reactions with their characters: key, glyph."""
+    keys = silver.messages(spark, root, "reactions").select(F.inline("reactions")).filter("k is not null").select(F.col("k").alias("key")).distinct()
+    return keys.select("key", render.glyph(F.col("key")).alias("glyph"))
+
+
+def _top_handles(spark, root):
+    conv = silver.conversations(spark, root).orderBy(F.desc("msg_count"), "id").first()
+    who = silver.people(spark, root).orderBy(F.desc("msg_count"), "mri").first()
+    return (conv["handle"] if conv else "c:"), (who["handle"] if who else "p:")
+
+
+def search_scoped(spark, root):
+    """In the largest conversation, without its busiest writer of all and the word snapshot, over a quarter of a year."""
+    conv, who = _top_handles(spark, root)
+    return an.search(spark, root, "the", conversation=conv, exclude=[who, "snapshot"], since=1_760_000_000_000, until=1_768_000_000_000).rows
+
+
+def search_sender(spark, root):
+    return an.search(spark, root, sender=_top_handles(spark, root)[1], mentions_me=True).rows
+
+
+def search_misses(spark, root):
+    """What selectors miss: selector, reason."""
+    asked = [("c:zzzzzz", an.search(spark, root, conversation="c:zzzzzz")), ("p:zzzzzz", an.search(spark, root, sender="p:zzzzzz")), ("-c:zzzzzz", an.search(spark, root, exclude=["c:zzzzzz"])), ("-p:zzzzzz", an.search(spark, root, exclude=["p:zzzzzz"])), ("m:zzzzzz", an.thread_window(spark, root, "zzzzzz", "zzzzzz"))]
+    return spark.createDataFrame([(s_, a.miss) for s_, a in asked], "selector string, reason string")
+
+
+def page_cursor(spark, root):
+    """The second page of the largest conversation, by the cursor of the first."""
+    conv = c.largest_conversation(spark, root)
+    return an.page(spark, root, conv, cursor=an.page(spark, root, conv).older).rows
+
+
+def thread_window(spark, root):
+    """The window around a reply in the middle of the longest thread."""
+    top = c.threads(spark, root).orderBy(F.desc("n"), "conv_id", "root_id").first()
+    if not top:
+        return silver.messages(spark, root, "id", "ts", "sender").limit(0).select(F.lit(0).cast("long").alias("place"), "id", "ts", "sender")
+    rows = c.thread(spark, root, top["conv_id"], top["root_id"]).filter(F.col("id") != top["root_id"])
+    mid = rows.orderBy("ts", "id").offset(top["n"] // 2).first()
+    return an.thread_window(spark, root, top["conv_id"], top["root_id"], hit=mid["id"] if mid else None, inline=4, size=4).rows
+
+
+def people_total(spark, root):
+    found = an.people(spark, root, query="ro", limit=3)
+    return found.rows.select("mri", F.lit(found.total).cast("long").alias("total"))
+
+
 QUERIES = {
     # selectors and filters
     "conv_list": lambda spark, root: c.conv_list(spark, root),
@@ -260,10 +314,28 @@ QUERIES = {
     "layout_changes": lambda spark, root: snapshot.layout_changes(table(spark, root, "schema_files")),
     "describe_schema": describe_schema,
     # rendering
-    "reaction_rows": lambda spark, root: render.reaction_rows(silver.messages(spark, root, "conv_id", "id", "reactions")),
+    "reaction_rows": lambda spark, root: render.reaction_rows(silver.messages(spark, root, "conv_id", "id", "reactions"), me=silver.self_mri(spark, root), people=silver.people(spark, root)),
+    "glyphs": glyphs,
     "thread_blocks": lambda spark, root: render.thread_blocks(silver.messages(spark, root, "conv_id", "id", "root_id", "ts", "is_system")).select("conv_id", "root_id", "id", "n", "earlier"),
     "call_durations": lambda spark, root: silver.calls(spark, root).select("id", render.shown_duration(F.col("duration_ms")).alias("shown")),
     "body_chunks": lambda spark, root: table(spark, root, "documents").select("doc_id", render.body_chunk(F.col("text"), 200, 300).alias("chunk")),
+    # answers
+    "search_scoped": search_scoped,
+    "search_sender": search_sender,
+    "search_misses": search_misses,
+    "coverage_scoped": lambda spark, root: an.coverage(spark, root, conversation=_top_handles(spark, root)[0]).rows,
+    "page_cursor": page_cursor,
+    "thread_window": thread_window,
+    "people_total": people_total,
+    "max_event_start": an.max_event_start,
+    "events_ahead": lambda spark, root: an.events(spark, root, now=1_765_000_000_000).rows,
+    "event_bodies": lambda spark, root: an.event_bodies(silver.events(spark, root)),
+    "calls_filtered": lambda spark, root: an.calls(spark, root, direction="incoming", since=1_750_000_000_000, min_ms=1000),
+    "known_conversations": an.known_conversations,
+    "first_message": lambda spark, root: a.first_message(spark, root),
+    "span_anchors": lambda spark, root: a.anchors(spark, root),
+    "scale_pick": lambda spark, root: a.scale(spark, root),
+    "half_year": lambda spark, root: a.half_year(spark, root),
     # pipeline
     "incremental_equals_full": incremental_equals_full,
     "p6_pending_ranges": pending_ranges,

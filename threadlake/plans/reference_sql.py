@@ -29,7 +29,7 @@ FLAT = r"trim(regexp_replace({0}, '\s+', ' ', 'g'), ' ')"
 SNIP = CLIP.format(FLAT.format(STRIP.format("content")), 120)
 SEARCH = f"with {M} select conv_id, id, ts, sender, {SNIP} as snippet from m where not is_system and "
 IX = f"ix as (select conv_id, id, ts, sender, kind, {STRIP.format('content')} as text from m where not is_system and content <> '')"
-SLOT = "case when hour(tm) < 6 then 0 when hour(tm) >= 22 then 69 else (hour(tm) - 6) * 4 + minute(tm) // 15 + 1 end::bigint"
+SLOT = "case when hour(tm) < 6 then 0 when hour(tm) >= 23 then 69 else (hour(tm) - 6) * 4 + minute(tm) // 15 + 1 end::bigint"
 PER_DAY = "per_day as (select day, count(*) as n from t group by day)"
 RHYTHM = f"rhythm as (select day - dayofweek(day)::int as week, dayofweek(day) as weekday, {SLOT} as slot, count(*) as n from t where sender not like '28:%' group by all)"
 WEEKS = "weeks as (select day - dayofweek(day)::int as week, sum(n)::bigint as n from per_day group by all), week_axis as (select a.week, coalesce(w.n, 0) as n from (select unnest(generate_series(min(week)::timestamp, max(week)::timestamp, interval 7 days))::date as week from weeks) a left join weeks w on w.week = a.week)"
@@ -99,8 +99,9 @@ select * from (select r.* from r, p where ts <= t order by ts desc, id desc limi
     "participant_top5": f"with {M}, {PEOPLE}, {ME}, {NAMES} select * from names",
     "self_vote": f"with {M} select sender, count(*) as n from m where is_mine and sender <> '?' group by sender order by n desc, sender limit 1",
     "store_counts": f"with {M}, {PEOPLE}, {PROF}, {EV}, {CALLS} select (select count(*) from m) as messages, (select min(ts) from m where ts > 0) as earliest_ts, (select count(*) from people) as people, (select count(*) from prof) as profiles, (select count(*) from ev) as events, (select count(*) from ca) as calls",
-    "handles": f"""with {M}, {PEOPLE}, {CONV}, ids as (select 'c:' as p, id, substr(sha1(id), 1, 6) as h from conv union all select 'p:', mri, substr(sha1(mri), 1, 6) from people)
-select id, p || case when count(*) over (partition by p, h) > 1 then substr(sha1(id), 1, 10) else h end as handle from ids""",
+    "handles": f"""with {M}, {PEOPLE}, {CONV}, ids as (select 'c:' as p, id, sha1(id) as h from conv union all select 'p:', mri, sha1(mri) from people),
+a as (select *, row_number() over (partition by p, substr(h, 1, 6) order by id) as r6 from ids), b as (select *, case when r6 > 1 then row_number() over (partition by p, substr(h, 1, 7), r6 > 1 order by id) end as r7 from a)
+select id, p || substr(h, 1, case when r6 = 1 then 6 when r7 = 1 then 7 else 8 end) as handle from b""",
     "conv_mix": f"with {M}, {CONV} select kind, count(*) as n, sum(msg_count)::bigint as messages from conv where msg_count > 0 group by kind",
     "reactions_total": f"with {M}, {T}, r as (select is_mine, coalesce(list_sum(list_transform(reactions, lambda g: coalesce(len(g.u), 0))), 0) as n from t) select sum(n)::bigint as total, sum(case when is_mine then n else 0 end)::bigint as mine from r",
     "reaction_counts": f"with {M}, r as (select conv_id, id, unnest(reactions) as g from m) select conv_id, id, g.k as key, sum(len(g.u))::bigint as n, min(list_min(list_transform(g.u, lambda x: x.ts))) as first_ts from r where g.k is not null and len(g.u) > 0 group by all",
@@ -138,7 +139,7 @@ select week, i as step, round(n + coalesce(nx - n, 0) * i / 4.0::double, 6)::dou
 b as (select start_ts // 900000 * 900000 as a, coalesce(end_ts, start_ts) as e from i), x as (select unnest(generate_series(a, greatest(a, least(e - 1, a + 199 * 900000)), 900000)) as ms from b), y as (select make_timestamp(ms * 1000) as tm from x)
 select dayofweek(tm) as weekday, {SLOT} as slot, count(*) as n from y group by all""",
     "week_axis": f"with {M}, {T}, {PER_DAY}, {WEEKS} select * from week_axis",
-    "gaussian_smoothing": f"""with {M}, {T}, {RHYTHM}, c as (select weekday, slot, sum(n)::double as n from rhythm where slot between 1 and 64 group by all), k as (select a.s as slot, b.s as dst, exp(-power(b.s - a.s, 2) / 8) as w from generate_series(1, 64) a(s), generate_series(1, 64) b(s) where abs(a.s - b.s) <= 6),
+    "gaussian_smoothing": f"""with {M}, {T}, {RHYTHM}, c as (select weekday, slot, sum(n)::double as n from rhythm where slot between 1 and 68 group by all), k as (select a.s as slot, b.s as dst, exp(-power(b.s - a.s, 2) / 8) as w from generate_series(1, 68) a(s), generate_series(1, 68) b(s) where abs(a.s - b.s) <= 6),
 norm as (select dst, sum(w) as w from k group by dst) select c.weekday, k.dst as slot, round(sum(k.w * c.n) / any_value(norm.w), 6) as value from c join k on k.slot = c.slot join norm on norm.dst = k.dst group by c.weekday, k.dst""",
     "top_partners": f"""with {M}, {T}, p as (select conv_id, sender, count(*) as n, bool_or(is_mine) as mine from t where kind = '1:1' group by all), v as (select conv_id, sum(n) as volume from p group by conv_id),
 o as (select *, row_number() over (partition by conv_id order by n desc, sender) as rn from p where not mine and sender not like '28:%') select sender, sum(volume)::bigint as volume from o join v using (conv_id) where rn = 1 group by sender order by volume desc, sender limit 10""",
@@ -157,7 +158,7 @@ select any_value(since) as since, count(*) filter (ts >= since and not bot) as w
     "top_terms": f"""with {M}, {IX}, c as (select kind, term, count(*) as n from (select kind, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as term from ix) group by all)
 select * from (select kind, term, n, row_number() over (partition by kind order by n desc, term) as rank from c) where rank <= 5""",
     "strip_html": f"with {EV} select id, {STRIP.format('body_html')} as text from ev where body_html is not null",
-    "url_elide": r"""select doc_id, regexp_replace(text, 'https?://([^\s/<>"]+)(/[^\s<>"]*)?', '[link: \1]', 'g') as text from documents where text like '%http%'""",
+    "url_elide": r"""select doc_id, regexp_replace(text, 'https?://([^\s/<>"]+)(/[^\s<>"]*)?', '[link: \1]', 'gi') as text from documents""",
     "clip": f"select doc_id, {CLIP.format(FLAT.format('text'), 80)} as text from documents",
     "person_names": rf"""with {PROF}, a as (select mri, name, trim(regexp_replace(name, '\([^)]*\)', '', 'g')) as clean, coalesce(given_name, '') as g, coalesce(surname, '') as s from prof),
 b as (select mri, name, case when s = '' and contains(clean, ',') then trim(list_extract(string_split(clean, ','), -1)) else g end as given, case when s = '' and contains(clean, ',') then trim(split_part(clean, ',', 1)) else s end as family from a)
@@ -171,9 +172,11 @@ select id, array_to_string(list_slice(names, 1, 3), '; ') as names, greatest(len
     "fingerprints": f"with {FILES} select cache_id, file_no, version, hash from fp",
     "layout_changes": f"""with {FILES}, r as (select *, lag(version) over w as old_version, lag(hash) over w as old_hash from fp window w as (partition by cache_id order by file_no))
 select cache_id, file_no, old_version, version as new_version, old_hash <> hash as layout_changed from r where old_hash is not null and (old_hash <> hash or old_version is distinct from version)""",
-    "reaction_rows": f"""with {M}, r as (select conv_id, id, unnest(reactions) as g from m), k as (select conv_id, id, g.k as key, len(g.u)::int as n, list_min(list_transform(g.u, lambda x: x.ts)) as first_ts,
-  array_to_string(list_transform(list_reverse(list_sort(list_transform(g.u, lambda x: {{'ts': coalesce(x.ts, 0), 'mri': x.mri}}))), lambda x: x.mri), ', ') as users from r where g.k is not null and len(g.u) > 0),
-q as (select *, row_number() over (partition by conv_id, id order by n desc, first_ts, key) as rank from k) select conv_id, id, rank, key, n, case when rank <= 3 then users when rank <= 5 then n::varchar else 'folded' end as shown from q""",
+    "reaction_rows": f"""with {M}, {PEOPLE}, {ME}, r as (select conv_id, id, unnest(reactions) as g from m), f as (select conv_id, id, g.k as key, unnest(g.u) as u from r where g.k is not null and len(g.u) > 0),
+k as (select conv_id, id, key, count(*) as n, min(u.ts) filter (u.ts > 0) as first_ts from f group by all), q as (select *, row_number() over (partition by conv_id, id order by n desc, first_ts nulls last, key) as rank from k),
+w as (select *, coalesce(u.mri = (select sender from me), false) as own, row_number() over (partition by conv_id, id, key order by coalesce(u.mri = (select sender from me), false) desc, coalesce(u.ts, 0) desc, u.mri) as r from f),
+t as (select conv_id, id, key, string_agg(case when own then 'you' else coalesce(nullif(p.name, ''), '(unknown)') end, ', ' order by r) as who from w left join people p on p.mri = w.u.mri where r <= 3 group by all)
+select conv_id, id, rank, key, n, case when rank <= 3 then who || case when n > 3 then ' +' || (n - 3) else '' end when rank <= 5 then n::varchar else 'folded' end as shown from q join t using (conv_id, id, key)""",
     "thread_blocks": f"""with {M}, r as (select *, count(*) over (partition by conv_id, root_id) as n, row_number() over (partition by conv_id, root_id order by ts desc, id desc) as e from m where not is_system)
 select conv_id, root_id, id, n, n - count(*) over (partition by conv_id, root_id) as earlier from r where n <= 5 or id = root_id or e <= 3""",
     "call_durations": f"with {CALLS}, s as (select id, duration_ms as d, duration_ms // 1000 as s from ca) select id, case when d is null or d <= 0 then '' when s < 60 then s || 's' when s < 3600 then s // 60 || 'm' else s // 3600 || 'h' || lpad((s % 3600 // 60)::varchar, 2, '0') || 'm' end as shown from s",
@@ -183,3 +186,28 @@ select conv_id, root_id, id, n, n - count(*) over (partition by conv_id, root_id
 }
 
 SQL["fts_bm25_scoped"] = f"select b.* from ({SQL['fts_bm25']}) b join (with {M} select * from m where kind = 'channel' and ts >= 1760000000000 and ts < 1770000000000) s using (conv_id, id)".replace("b.* from", "b.conv_id, b.id, b.score from")
+
+_TOP = "bigc as (select id from conv order by msg_count desc, id limit 1), bigp as (select mri from people order by msg_count desc, mri limit 1)"
+_LONGEST = f"th as ({ROOTS}), tt as (select conv_id, root_id, n from th order by n desc, conv_id, root_id limit 1), tr as (select m.id, m.ts, m.sender, row_number() over (order by m.ts, m.id) - 1 as place from m join tt using (conv_id, root_id) where not is_system and m.id <> m.root_id)"
+SQL |= {
+    "search_scoped": f"with {M}, {PEOPLE}, {CONV}, {_TOP} select conv_id, id, ts, sender, {SNIP} as snippet from m where not is_system and conv_id = (select id from bigc) and sender <> (select mri from bigp) and contains(lower(content), 'the') and not contains(lower(content), 'snapshot') and ts >= 1760000000000 and ts < 1768000000000",
+    "search_sender": f"with {M}, {PEOPLE}, {CONV}, {_TOP} select conv_id, id, ts, sender, {SNIP} as snippet from m where not is_system and sender = (select mri from bigp) and mentions_me",
+    "search_misses": "select * from (values ('c:zzzzzz', 'no-such-conversation'), ('p:zzzzzz', 'no-such-sender'), ('-c:zzzzzz', 'no-such-excluded-conversation'), ('-p:zzzzzz', 'no-such-excluded-person'), ('m:zzzzzz', 'no-such-message')) t(selector, reason)",
+    "coverage_scoped": f"with {M}, {PEOPLE}, {CONV}, {_TOP} select min(ts) as first_ts, max(ts) as last_ts, count(*) as n from m where not is_system and ts > 0 and conv_id = (select id from bigc)",
+    "page_cursor": f"with {M}, {BIG}, p as (select *, row_number() over (order by ts desc, id desc) as rn from m where conv_id = (select conv_id from big) and not is_system) select conv_id, id, ts, sender, content from p where rn between 51 and 100",
+    "thread_window": f"with {M}, {_LONGEST}, hit as (select place from tr, tt where place = n // 2), st as (select greatest(0, place - 2) as s from hit) select place, id, ts, sender from tr, st where place >= s and place < s + 4 union all select -1, m.id, m.ts, m.sender from m join tt using (conv_id, root_id) where m.id = m.root_id and not is_system",
+    "people_total": f"{PEOPLE_FIND} select mri, count(*) over () as total from found where contains(lower(display), 'ro') order by msg_count desc, mri limit 3",
+    "max_event_start": f"with {EV} select coalesce(max(start_ts), 0) as max_start from ev",
+    "events_ahead": f"{EVENT_LIST} and start_ts >= 1765000000000 and start_ts < 1765000000000 + 7 * 86400000",
+    "calls_filtered": f"""with {CALLS} select id, call_type, direction, state, start_ts, duration_ms, array_to_string(list_slice(list_sort(list_filter(list_transform(coalesce(participants, []), lambda p: p.name), lambda n: coalesce(n, '') <> '')), 1, 4), ', ') as title
+from ca where not coalesce(is_deleted, false) and lower(direction) = 'incoming' and start_ts >= 1750000000000 and duration_ms >= 1000""",
+    "known_conversations": f"""with {M}, {CONV}, {EV}, {CALLS}, meta as (select id, max(t) as t from (select cid as id, start_ts as t from ev where cid is not null union all select group_thread_id, start_ts from ca where group_thread_id is not null) group by id)
+select coalesce(c.id, k.id) as id, coalesce(msg_count, 0) as msg_count, greatest(coalesce(last_ts, 0), coalesce(k.t, 0)) as last_ts, c.id is not null as stored from conv c full join meta k on k.id = c.id""",
+    "first_message": f"""with {M}, {T}, {TO_ME}, f as (select min((ts, id, conv_id, sender)) as f from to_me), h as (select t.*, f.f as k from t, f where t.conv_id = f.f[3] and (t.ts, t.id) >= (f.f[1], f.f[2])),
+o as (select min((ts, id)) as o from h where sender <> k[4]), own as (select h.*, case when ts - lag(ts) over (order by ts, id) > 60000 then 1 else 0 end as b from h, o where sender = k[4] and (o.o is null or (ts, id) < o.o)),
+r as (select *, sum(b) over (order by ts, id rows unbounded preceding) as breaks from own) select any_value(k[3]) as conv_id, any_value(k[2]) as id, any_value(k[1]) as ts, any_value(k[4]) as sender, coalesce(string_agg(content, chr(10) order by ts, id) filter (trim(content) <> ''), '') as text, count(*) as n from r where breaks = 0""",
+    "span_anchors": f"with {M}, {T} select min(ts) filter (kind in ('1:1', 'group', 'meeting', 'channel') and trim(content) <> '' and (is_mine or kind <> 'channel')) as first_ts, max(ts) as last_ts from t",
+    "scale_pick": f"""with {M}, {T}, {PER_DAY}, p as (select n, row_number() over (order by n) as rn, count(*) over () as size from per_day), l as (select max(n) as top, max(size) as size, max(n) filter (rn = floor(size * 0.1) + 1) as low from p)
+select case when size < 2 or log10(top / greatest(1, low)) < 1 then 'linear' when log10(top / greatest(1, low)) < 2 then 'sqrt' else 'symlog' end as scale, top from l""",
+    "half_year": f"with {M}, {T}, sp as (select min(ts) filter (kind in ('1:1', 'group', 'meeting', 'channel') and trim(content) <> '' and (is_mine or kind <> 'channel')) as a, max(ts) as b from t), st as (select greatest(coalesce(a, 0), b - 182::bigint * 86400000) as s from sp) select day, count(*) as n from t, st where ts >= s and ts <= s + 182::bigint * 86400000 group by day",
+}

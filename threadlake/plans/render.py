@@ -46,34 +46,53 @@ def shown_duration(ms: Column) -> Column:
     return F.when(ms.isNull() | (ms <= 0), "").when(s < 60, F.concat(s, F.lit("s"))).when(s < 3600, F.concat(F.floor(s / 60), F.lit("m"))).otherwise(F.concat(F.floor(s / 3600), F.lit("h"), F.lpad(F.floor(s % 3600 / 60).cast("string"), 2, "0"), F.lit("m")))
 
 
-#: Reaction keys that are no code points.
-GLYPHS = {"like": "👍", "heart": "❤️", "laugh": "😂", "surprised": "😮", "sad": "😢", "angry": "😡"}
-
-
-def glyph(key: str | None) -> str | None:
-    """The character of a reaction key: skin tone and what follows a semicolon are left off; hex code points are decoded."""
-    if key is None:
-        return None
-    name = re.sub(r"-tone[1-5]$", "", key.split(";")[0])
-    if name in GLYPHS:
-        return GLYPHS[name]
-    if m := re.match(r"((?:[0-9a-f]{4,6})(?:-[0-9a-f]{4,6})*)_", name):
-        points = [int(p, 16) for p in m[1].split("-")]
-        if all(0 < p < 0x110000 and not 0xD800 <= p < 0xE000 for p in points):
-            return "".join(map(chr, points))
-    return name
-
-
-def reaction_rows(messages: DataFrame, named: int = 3, counted: int = 2) -> DataFrame:
+#: Reaction keys that are names.
+GLYPHS = {
+    "like": "👍", "plusone": "👍", "heart": "❤️", "love": "😍", "laugh": "😂", "smile": "😊", "happyface": "😊", "sad": "😢", "cry": "😢", "angry": "😠", "surprised": "😮", "wow": "😲", "yes": "✅", "check": "✅", "no": "❌", "clap": "👏", "clappinghands": "👏",
+    "fire": "🔥", "praying": "🙏", "tada": "🎉", "party": "🎉", "rocket": "🚀", "launch": "🚀", "eyes": "👀", "thinking": "🤔", "think": "🤔", "sweatgrinning": "😅", "handsinair": "🙌", "champagne": "🍾", "screamingfear": "😱", "poop": "💩", "fistbump": "👊", "crossedfingers": "🤞",
+    "cake": "🍰", "cakeslice": "🍰", "grinningfacewithsmilingeyes": "😄", "smilingfacewithtear": "🥲", "sun": "☀️", "stareyes": "🤩", "hearteyes": "😍", "upsidedownface": "🙃", "diamond": "💎", "rock": "🤘", "cool": "😎", "veryconfused": "😕", "seenoevil": "🙈", "ok": "👌", "salute": "🫡",
+    "personrunningfacingright": "🏃", "personrunningfacingright2": "🏃", "womanshrug": "🤷‍♀️", "manshrug": "🤷‍♂️", "shrug": "🤷", "goldmedal": "🥇", "expressionless": "😑", "palmtree": "🌴", "relieved": "😌", "man_pouting": "🙎‍♂️", "angel": "😇", "confused": "😕", "muscle": "💪", "climber": "🧗",
+    "gift": "🎁", "nerdy": "🤓", "trophy": "🏆", "pizzaslice": "🍕", "maracas": "🪇", "cash": "💵", "unicornhead": "🦄", "sparklingheart": "💖", "lipssealed": "🤐", "lotus_position": "🧘", "music": "🎵", "penguin": "🐧", "womanhealthworker": "👩‍⚕️", "shivering": "🥶", "cookies": "🍪", "speechbubble": "💬",
+    "wink": "😉", "sweat": "😓",
+}
+
+
+def glyph(key: Column) -> Column:
+    """The character of a reaction key: a skin tone and what follows a semicolon are left off; hexadecimal code points (the first part, or all) are decoded, names looked up, others shown as they are."""
+    bare = F.regexp_extract(F.regexp_replace(key, r"-tone[1-6]$", ""), r"^([^;]*)", 1)
+    name = F.when(bare == "", key).otherwise(bare)
+    code = lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32")
+    point = r"(?:0?[0-9a-cA-CefEF][0-9a-fA-F]{3}|0?d[0-7][0-9a-fA-F]{2}|0?D[0-7][0-9a-fA-F]{2}|0?[1-9a-fA-F][0-9a-fA-F]{4}|10[0-9a-fA-F]{4})"
+    parts = F.split(name, "_")
+    whole = name.rlike(f"^{point}(?:_{point})+$")
+    table = F.create_map(*[F.lit(x) for pair in GLYPHS.items() for x in pair])
+    named = F.coalesce(F.try_element_at(table, name), F.try_element_at(table, F.lower(name)), name)
+    return F.when(whole, F.array_join(F.transform(F.when(whole, parts).otherwise(F.array().cast("array<string>")), code), "")).when(name.rlike(f"^{point}(?:_|$)"), code(F.when(name.rlike(f"^{point}(?:_|$)"), parts[0]).otherwise("41"))).otherwise(named)
+
+
+def reaction_rows(messages: DataFrame, me: str | None = None, people: DataFrame | None = None, named: int = 3, users: int = 3, counted: int = 2) -> DataFrame:
     """conv_id, id, rank, key, n, shown: groups by number, then first time, then key.
 
-    The first ``named`` show their users (latest first), the next ``counted`` only their number, the rest is 'folded'.
+    The first ``named`` show up to ``users`` people (the owner first, then the latest; how many more), the next
+    ``counted`` only their number, the rest is 'folded'. People are shown by name where ``people`` (mri, name) has one.
     """
     groups = messages.select("conv_id", "id", F.inline("reactions")).filter("k is not null and size(u) > 0")
-    latest = F.transform(F.reverse(F.array_sort(F.transform("u", lambda x: F.struct(F.coalesce(x["ts"], F.lit(0)).alias("ts"), x["mri"].alias("mri"))))), lambda x: x["mri"])
-    w = W.partitionBy("conv_id", "id").orderBy(F.desc("n"), "first_ts", "key")
-    rows = groups.select("conv_id", "id", F.col("k").alias("key"), F.size("u").alias("n"), F.array_min(F.transform("u", lambda x: x["ts"])).alias("first_ts"), latest.alias("users")).withColumn("rank", F.row_number().over(w))
-    shown = F.when(F.col("rank") <= named, F.array_join("users", ", ")).when(F.col("rank") <= named + counted, F.col("n").cast("string")).otherwise("folded")
+    flat = groups.select("conv_id", "id", F.col("k").alias("key"), F.inline("u")).withColumn("ts", F.coalesce("ts", F.lit(0)))
+    counts = flat.groupBy("conv_id", "id", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("ts") > 0, F.col("ts"))).alias("first_ts"))
+    ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("conv_id", "id").orderBy(F.desc("n"), F.asc_nulls_last("first_ts"), "key")))
+    own = F.coalesce(F.col("mri") == F.lit(me), F.lit(False)) if me else F.lit(False)
+    order = W.partitionBy("conv_id", "id", "key").orderBy(F.desc("own"), F.desc("ts"), "mri")
+    top = flat.withColumn("own", own).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= users)
+    label = F.when(F.col("own"), "you")
+    if people is not None:
+        top = top.join(people.select("mri", F.nullif("name", F.lit("")).alias("name")), "mri", "left")
+        label = label.otherwise(F.coalesce("name", F.lit("(unknown)")))
+    else:
+        label = label.otherwise(F.coalesce("mri", F.lit("(unknown)")))
+    shown_users = top.groupBy("conv_id", "id", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", label.alias("label")))), lambda x: x["label"]), ", ").alias("who"))
+    rows = ranked.join(shown_users, ["conv_id", "id", "key"])
+    more = F.when(F.col("n") > users, F.concat(F.lit(" +"), (F.col("n") - users).cast("string"))).otherwise("")
+    shown = F.when(F.col("rank") <= named, F.concat("who", more)).when(F.col("rank") <= named + counted, F.col("n").cast("string")).otherwise("folded")
     return rows.select("conv_id", "id", "rank", "key", "n", shown.alias("shown"))
 
 
@@ -83,12 +102,20 @@ def body_chunk(text: Column, offset: int, size: int = 4000) -> Column:
 
 
 def thread_blocks(messages: DataFrame, whole: int = 5, tail: int = 3) -> DataFrame:
-    """Per thread the root and, if it has more than ``whole`` messages, its last ``tail`` replies: adds n and earlier (replies left out)."""
+    """Per thread the root and, if it has more than ``whole`` messages, its last ``tail`` replies: adds n and earlier (replies left out).
+
+    A thread's last rows are found by rank (limited before the shuffle), its size by a count that combines map-side.
+    """
     rows = messages.filter("not is_system")
-    by = W.partitionBy("conv_id", "root_id")
-    marked = rows.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("from_end", F.row_number().over(by.orderBy(F.desc("ts"), F.desc("id"))))
-    shown = marked.filter((F.col("n") <= whole) | (F.col("id") == F.col("root_id")) | (F.col("from_end") <= tail))
-    return shown.withColumn("earlier", F.col("n") - F.count(F.lit(1)).over(by)).drop("from_end")
+    thread = ["conv_id", "root_id"]
+    sizes = rows.groupBy(*thread).agg(F.count(F.lit(1)).alias("n"))
+    last = rows.withColumn("_r", F.row_number().over(W.partitionBy(*thread).orderBy(F.desc("ts"), F.desc("id")))).filter(F.col("_r") <= max(whole, tail))
+    roots = rows.filter("id = root_id")
+    kept = last.join(sizes, thread).filter((F.col("n") <= whole) | ((F.col("_r") <= tail) & (F.col("id") != F.col("root_id")))).drop("_r")
+    heads = roots.join(sizes, thread).filter(F.col("n") > whole)
+    shown = kept.unionByName(heads)
+    counts = shown.groupBy(*thread).agg(F.count(F.lit(1)).alias("_shown"))
+    return shown.join(counts, thread).withColumn("earlier", F.col("n") - F.col("_shown")).drop("_shown")
 
 
 def legend(hits: DataFrame, conversations: DataFrame, most: int = 5) -> DataFrame:
