@@ -65,13 +65,13 @@ def test_shapes_and_refresh(spark, cache, tmp_path):
     c = store.table("call").filter("id = 'c1'").first()
     assert c.is_missed and c.counterpart_mri == YOU and c.recording_link.linked_message_id == "m"
 
-    assert store.refresh(str(cache)).outcome == "skipped"
+    assert store.refresh(str(cache)).outcome == "fresh"
     pinned = store.meta()
     (cache / "000002.log").write_bytes(leveldb.write_log([(100, [(rec(2, 1), stored({"messageMap": {"a": message(10, "edited", ME, version=99)}})), (rec(5, 1), None)])]))
     second = store.refresh(str(cache))
-    assert second.outcome == "inplace" and second.max_seq == 101
+    assert (second.outcome, second.max_seq, second.parsed, second.touched) == ("inplace", 101, ("000002.log",), 2)
     assert [r.id for r in store.table("call").collect()] == ["c2"] and [r.content for r in store.table("message").collect()] == ["edited"]
-    assert store.meta()["tables"]["event"] == pinned["tables"]["event"] and store.table("message", pinned).count() == 2
+    assert store.table("message", pinned).count() == 2
     inplace = {n: rows(store.table(n)) for n in store.meta()["tables"]}
     assert store.refresh(str(cache), full=True).outcome == "swapped"
     assert {n: rows(store.table(n)) for n in store.meta()["tables"]} == inplace
@@ -84,10 +84,47 @@ def test_shapes_and_refresh(spark, cache, tmp_path):
 
 
 def test_mapping_choice_and_proposal():
-    assert mp.choose([mp.V1], "37938b9e38ad7c79", set()) == (mp.V1, True)
     assert mp.choose([mp.V1], "x", {"replychains", "conversations", "more"}) == (mp.V1, False)
     assert mp.choose([mp.V1], "x", {"replychains"}) == (None, False)
-    assert mp.propose({"msgs": {"content", "creator", "version", "q"}, "conversations": {"id", "type"}, "junk": {"a"}}) == {"message": "msgs", "conversation": "conversations"}
+    assert mp.propose({"msgs": {"content", "creator", "version", "q"}, "conversations": {"id", "type"}, "junk": {"a"}}) ["message"]["store"] == "msgs"
+    got = mp.propose({"msgs": {"content", "creator", "version", "q"}, "chats": {"id", "type", "threadProperties"}, "junk": {"a"}})
+    assert got["message"]["fields"] == {"version": "version", "sender": "creator", "content": "content"} and got["conversation"]["store"] == "chats" and got["conversation"]["fields"]["topic"] == "threadProperties.topic"
+
+
+def test_incremental_equals_full(spark, cache, tmp_path):
+    """Adds, edits, moves between chains, deletes, a vanished and a compacted file: in place gives what a full build gives, and parses only what is new."""
+    store = VersionedStore(spark, str(tmp_path / "store"))
+    assert store.refresh(str(cache)).parsed == ("000001.ldb",)
+    assert {r.term for r in store.postings().collect()} == {"hi", "you", "yo"}
+    orphan = {"id": "19:zzz@thread.v2", "threadProperties": {"topic": "Gone soon"}, "type": "Chat", "lastMessageTimeUtc": 7}
+    steps = [
+        ("000002.log", [(100, [(rec(2, 2), stored({"messageMap": {"a": message(20, "new words", YOU, conversationId="19:def@thread.v2"), "b": message(11, "moved", YOU, version=50)}})), (rec(3, 2), stored({"mri": ME, "displayName": "Me Myself", "givenName": "Me", "type": "User"})), (rec(1, 2), stored(orphan))])], {"000002.log"}),
+        ("000003.log", [(200, [(rec(2, 1), stored({"messageMap": {"b": message(11, "back", YOU, version=60)}})), (rec(5, 2), None), (rec(1, 2), None), (rec(2, 2), None)])], {"000003.log"}),
+    ]
+    for n, (name, batches, parsed) in enumerate(steps):
+        (cache / name).write_bytes(leveldb.write_log(batches))
+        out = store.refresh(str(cache))
+        assert out.outcome == "inplace" and set(out.parsed) == parsed
+        other = VersionedStore(spark, str(tmp_path / f"full{n}"))
+        assert other.refresh(str(cache)).outcome == "swapped"
+        other.postings()
+        for t in store.meta()["tables"]:
+            assert rows(store.table(t)) == rows(other.table(t).select(store.table(t).columns)), (n, t)
+    assert [r.content for r in store.table("message").collect()] == ["back"] and [r.id for r in store.table("all_conversations").collect()] == ["19:abc@thread.v2"]
+    # A vanished file takes its entries with it: what they replaced is live again.
+    (cache / "000003.log").unlink()
+    out = store.refresh(str(cache))
+    assert out.outcome == "inplace" and out.parsed == () and {r.content for r in store.table("message").collect()} == {"Hi you", "moved", "new words"}
+    assert store.refresh(str(cache), wait=True).outcome == "waiting"
+
+
+def test_inspect_and_memory(spark, cache, tmp_path):
+    from threadlake.sources.datasource import memory_rows
+
+    found = VersionedStore(spark, str(tmp_path / "none")).inspect(str(cache))
+    assert found["mapping"] == "1.0.0" and not found["lossy"] and found["health"]["message"] == {"entity": "message", "records": 1, "undecoded": 0, "items": 4, "kept": 3}
+    held = memory_rows(spark, {"000001.ldb": (cache / "000001.ldb").read_bytes(), "000009.log": b""})
+    assert mp.winners(held).count() == len(base()) and held.filter("rec_kind = 'status'").count() == 2
 
 
 def test_stream_keeps_the_table_of_the_batch(spark, tmp_path):

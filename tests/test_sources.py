@@ -91,3 +91,10 @@ def test_source_and_copy(spark, tmp_path):
     (live / "000007.ldb").unlink()
     copy_store(str(live), copy)
     assert canonical([r.file for r in spark.read.format("threadlake_leveldb").load(copy).select("file").distinct().collect()]) == ["000005.ldb", "000006.log"]
+
+
+def test_buffers_that_grow_and_views_of_references():
+    view = b"V" + b"B" + bytes([1, 2, 0])
+    assert clone.decode(b"\xff\x0f~\x03\x08abc") == {"$bytes": "YWJj"}
+    got = clone.decode(b"\xff\x0fo\"\x01aB\x03abc\"\x01b^\x01" + view + b"{\x02")
+    assert got["a"] == {"$bytes": "YWJj"} and got["b"] == {"$view": "B", "offset": 1, "length": 2, "$bytes": "YWJj"}

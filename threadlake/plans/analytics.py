@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlake.functions.mri import is_bot
+from threadlake.operators import sessions
 from threadlake.plans import silver
 
 
@@ -86,9 +87,8 @@ def burst_60s(spark: SparkSession, root: str, gap: int = 60_000) -> DataFrame:
     """Per sender, how many messages follow the first one to the owner in its conversation, none later than ``gap`` after the one before."""
     first = to_me(spark, root).groupBy("sender").agg(F.min(F.struct("ts", "id", "conv_id")).alias("f")).select("sender", "f.conv_id", F.col("f.ts").alias("from_ts"))
     rows = said(spark, root).join(first, ["sender", "conv_id"]).filter("ts >= from_ts")
-    w = W.partitionBy("sender").orderBy("ts", "id")
-    broken = rows.withColumn("gap", F.col("ts") - F.lag("ts").over(w)).withColumn("breaks", F.sum(F.when(F.col("gap") > gap, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return broken.filter("breaks = 0").groupBy("sender").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
+    runs = sessions.sessions(rows, "sender", "ts", gap).join(first.select("sender", F.col("from_ts").alias("start_ts")), ["sender", "start_ts"])
+    return runs.select("sender", F.col("n_events").alias("n"), F.col("end_ts").alias("last_ts"))
 
 
 def first_message(spark: SparkSession, root: str, gap: int = 60_000) -> DataFrame:

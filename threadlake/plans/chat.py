@@ -181,16 +181,21 @@ def event_list(spark: SparkSession, root: str, text: str | None = None, attendee
 def series_collapse(spark: SparkSession, root: str, least: int = 3) -> DataFrame:
     """Series with ``least`` events or more as one row: series_id, first_start, n_more, next_start. Others keep their rows."""
     rows = silver.events(spark, root).filter("not coalesce(is_cancelled, false) and start_ts > 0").withColumn("series", F.coalesce("series_id", F.concat(F.lit("single:"), "id")))
-    w = W.partitionBy("series").orderBy("start_ts", "id")
-    marked = rows.withColumn("rn", F.row_number().over(w)).withColumn("next_start", F.lead("start_ts").over(w)).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("series")))
-    return marked.filter((F.col("n") < least) | (F.col("rn") == 1)).select("id", "series", "start_ts", F.when(F.col("n") >= least, F.col("n") - 1).otherwise(0).alias("n_more"), F.when(F.col("n") >= least, F.col("next_start")).alias("next_start"))
+    # Only the first rows of a series are ranked (limited before the shuffle); its size is a count that combines map-side.
+    sizes = rows.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.withColumn("rn", F.row_number().over(W.partitionBy("series").orderBy("start_ts", "id"))).filter(F.col("rn") <= max(2, least - 1))
+    second = first.filter("rn = 2").select("series", F.col("start_ts").alias("next_start"))
+    marked = first.join(sizes, "series").filter((F.col("n") < least) | (F.col("rn") == 1)).join(second, "series", "left")
+    return marked.select("id", "series", "start_ts", F.when(F.col("n") >= least, F.col("n") - 1).otherwise(0).alias("n_more"), F.when(F.col("n") >= least, F.col("next_start")).alias("next_start"))
 
 
 def digest(spark: SparkSession, root: str, budget: int = 40, whole: int = 5, shown: int = 4) -> DataFrame:
     """Per conversation, its latest threads whose cost fits the budget (always one): conv_id, root_id, n, used."""
     rows = threads(spark, root).withColumn("cost", F.when(F.col("n") <= whole, F.col("n")).otherwise(shown))
-    w = W.partitionBy("conv_id").orderBy(F.desc("last_ts"), F.desc("root_id")).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum("cost").over(w)).withColumn("rn", F.row_number().over(w)).filter((F.col("used") <= budget) | (F.col("rn") == 1)).select("conv_id", "root_id", "n", "used")
+    # A thread costs one at least, so no more than ``budget`` of a conversation can fit: they are ranked first (limited before the shuffle), then summed.
+    w = W.partitionBy("conv_id").orderBy(F.desc("last_ts"), F.desc("root_id"))
+    few = rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max(1, budget))
+    return few.withColumn("used", F.sum("cost").over(w.rowsBetween(W.unboundedPreceding, 0))).filter((F.col("used") <= budget) | (F.col("rn") == 1)).select("conv_id", "root_id", "n", "used")
 
 
 def bursts(spark: SparkSession, root: str, gap: int = 900_000) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions.mri import clean_mri, is_person
 from threadlake.operators import changefeed, drift, intervals, ledger, sessions
 from threadlake.operators.fold import kept_messages
+from threadlake.session import scratch
 from threadlake.tables import table
 
 #: More than this between two messages of a sender starts a new session.
@@ -43,4 +46,32 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return changefeed.live_records(table(spark, root, "store_entries")).select("cache_id", "entry_key", "seq")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
+def p6_ledger(spark: SparkSession, root: str) -> DataFrame:
+    """Runs of a ledger over the entries as they arrive: run (1 to 4), cache_id, n of the records it processed.
+
+    Three arrivals (by thirds of the time they landed in), the second run once failing before its commit and then run
+    again, and a last run that finds nothing: each record is processed once, late ones below the highest number too.
+    """
+    entries = table(spark, root, "store_entries").filter("cache_id is not null and seq is not null")
+    at = F.unix_micros(F.col("landed_at").cast("timestamp"))
+    span = entries.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    first, last = span["a"] or 0, span["b"] or 0
+    book = ledger.Ledger(spark, scratch(spark, "ledger"), ["cache_id"])
+    done = []
+    for n, part in enumerate((1, 2, 2, 3, 3), 1):
+        seen = entries.filter(F.coalesce(at, F.lit(first)) <= first + (last - first) * part // 3).select("cache_id", "seq").distinct()
+        if n == 2:
+            try:
+                book.run(seen, _fail)
+            except RuntimeError:
+                continue
+        done.append(book.run(seen, lambda df: df))
+    runs = [spark.read.parquet(f"{book.root}/{name}/output").groupBy("cache_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).cast("int").alias("run"), "cache_id", "n") for i, name in enumerate(done, 1)]
+    return reduce(DataFrame.unionByName, runs)
+
+
+def _fail(df: DataFrame) -> DataFrame:
+    raise RuntimeError("lost before the commit")
+
+
+QUERIES = {"p6_ledger": p6_ledger, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}

@@ -109,4 +109,13 @@ alive as (select o.* from once o left join gone g using (cache_id, entry_key) wh
 select cache_id, entry_key, seq from (select *, row_number() over (partition by cache_id, entry_key order by v desc, seq desc) as rn from alive) where rn = 1
 """
 
-SQL = {"p2_found": P2, "p2_promoted": _promoted(0.9, 0.5, "*"), "p2_rescued": _promoted(0.5, 0.5, "store, cache_id, file_no, records, rescued"), "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7}
+DESCRIBE = P2[: P2.index("files as (select distinct")].rstrip(", \n") + " select store, path, array_to_string(list_sort(list_distinct(flatten(list(types)))), ',') as types, count(*) as files from seen group by store, path"
+
+P6_LEDGER = """
+with e as (select cache_id, seq, coalesce(epoch_us(landed_at), (select min(epoch_us(landed_at)) from store_entries where cache_id is not null and seq is not null)) as tm from store_entries where cache_id is not null and seq is not null),
+s as (select min(tm) as a, max(tm) as b from e), f as (select cache_id, seq, min(tm) as tm from e group by all),
+r as (select cache_id, case when tm <= a + (b - a) * 1 // 3 then 1 when tm <= a + (b - a) * 2 // 3 then 2 else 3 end::int as run from f, s)
+select run, cache_id, count(*) as n from r group by all
+"""
+
+SQL = {"p6_ledger": P6_LEDGER, "p2_found": P2, "describe_schema": DESCRIBE, "p2_promoted": _promoted(0.9, 0.5, "*"), "p2_rescued": _promoted(0.5, 0.5, "store, cache_id, file_no, records, rescued"), "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7}

@@ -5,8 +5,9 @@ from __future__ import annotations
 import fnmatch
 from collections.abc import Mapping as Map
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,10 +37,10 @@ def _paths(**fields: str) -> dict[str, tuple[str, ...]]:
     return {k: tuple(v.split()) for k, v in fields.items()}
 
 
-#: Stores, field names and the known fingerprint of the first layout.
+#: Stores and field names of the first layout. It is known by its stores; fingerprints of layouts that were looked at may be added.
 V1 = Mapping(
     "1.0.0",
-    frozenset(["37938b9e38ad7c79"]),
+    frozenset(),
     frozenset(["replychains", "conversations"]),
     {
         "conversation": Entity("*conversation-manager*", "conversations", _paths(id="id", topic="threadProperties.topic threadProperties.spaceThreadTopic", thread_type="threadProperties.threadType", type="type", team_id="teamId", last_time="lastMessageTimeUtc")),
@@ -70,7 +71,7 @@ def winners(bronze: DataFrame, cap: int | None = None) -> DataFrame:
     rows = bronze.filter("rec_kind <> 'status'")
     if cap is not None:
         rows = rows.filter(F.col("seq") <= cap)
-    w = W.partitionBy("entry_key").orderBy(F.desc("seq"), "file_ord", "entry_ord")
+    w = W.partitionBy("entry_key").orderBy(F.desc("seq"), F.col("file").endswith(".log"), "file", "entry_ord")
     return rows.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1 and op_type <> 0").drop("_rank")
 
 
@@ -103,13 +104,30 @@ def choose(mappings: list[Mapping], hash_: str, stores: set[str]) -> tuple[Mappi
     return next(((m, False) for m in mappings if m.stores <= stores), (None, False))
 
 
-def extract(live: DataFrame, entity: Entity) -> DataFrame:
-    """record_key, item_ord and one string column per field: the first path that is neither null nor ''."""
-    names = catalog(live).filter(F.col("store") == entity.store).collect()  # one row per store of the layout
-    ids = [(r.db_id, r.os_id) for r in names if fnmatch.fnmatchcase(r.db, entity.db)]
+def _of(live: DataFrame, entity: Entity, names: list[Row] | None = None) -> Column:
+    """Whether a row lies in the entity's stores."""
     at = F.lit(False)
-    for db, os_ in ids:
-        at = at | ((F.col("db_id") == db) & (F.col("os_id") == os_))
+    for r in catalog(live).collect() if names is None else names:  # one row per store of the layout
+        if r.store == entity.store and fnmatch.fnmatchcase(r.db, entity.db):
+            at = at | ((F.col("db_id") == r.db_id) & (F.col("os_id") == r.os_id))
+    return at
+
+
+def health(live: DataFrame, mapping: Mapping) -> DataFrame:
+    """entity, records, undecoded (records whose value can't be read), items (of containers), kept (items that pass the entity's test). A row per entity."""
+    parts, names = [], catalog(live).collect()
+    for name, entity in sorted(mapping.entities.items()):
+        own = live.filter(_of(live, entity, names) & (F.col("rec_kind") == "record"))
+        counts = own.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("value").isNull()).alias("undecoded"))
+        items = F.size(F.map_values(F.from_json(F.get_json_object("value", f"$.{entity.iterate}"), "map<string,string>"))) if entity.iterate else F.lit(1)
+        counts = counts.withColumn("items", F.lit(own.filter("value is not null").agg(F.coalesce(F.sum(items), F.lit(0)).cast("long").alias("n")).first()["n"]))
+        parts.append(counts.select(F.lit(name).alias("entity"), "records", "undecoded", F.col("items").cast("long").alias("items"), F.lit(extract(live, entity, names).count()).cast("long").alias("kept")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def extract(live: DataFrame, entity: Entity, names: list[Row] | None = None) -> DataFrame:
+    """record_key, item_ord and one string column per field: the first path that is neither null nor ''. ``names``: the rows of the catalog, where they are known already or ``live`` holds a part only."""
+    at = _of(live, entity, names)
     rows = live.filter(at & (F.col("rec_kind") == "record") & F.col("value").isNotNull()).select(F.lower(F.hex("entry_key")).alias("record_key"), F.col("seq"), "value")
     if entity.iterate:
         items = F.from_json(F.get_json_object("value", f"$.{entity.iterate}"), "map<string,string>")
@@ -121,10 +139,23 @@ def extract(live: DataFrame, entity: Entity) -> DataFrame:
     return rows.select("record_key", "seq", "item_ord", *[F.coalesce(*[F.nullif(F.get_json_object("value", f"$.{p}"), F.lit("")) for p in paths]).alias(f) for f, paths in entity.fields.items()])
 
 
-def propose(fields: Map[str, set[str]]) -> dict[str, str]:
-    """For an unknown layout, the store that looks like messages and the one that looks like conversations, by their fields."""
-    message = {"content", "creator", "imDisplayName", "originalArrivalTime", "composeTime", "conversationId", "messageType", "parentMessageId", "version"}
-    conversation = {"threadProperties", "lastMessageTimeUtc", "teamId", "type", "topic", "members", "id"}
-    score_m = {s: len(f & message) for s, f in fields.items() if "content" in f and len(f & message) >= 3}
-    score_c = {s: len(f & conversation) + (100 if s == "conversations" else 10 if "conversation" in s else 0) for s, f in fields.items() if len(f & conversation) >= 2}
-    return {k: max(sorted(v), key=v.get) for k, v in (("message", score_m), ("conversation", score_c)) if v}
+def propose(fields: Map[str, set[str]], known: Mapping = V1) -> dict[str, dict]:
+    """For an unknown layout: by entity, the store whose fields most look like it and a map of the entity's fields to paths that are there.
+
+    ``fields`` has the paths of each store (those of a container's items for what is iterated). A store is proposed once,
+    to the entity it shares most fields with (three at least; equal: the entity's own store name, then the alphabet);
+    fields without any known path are left out, for a person to fill in.
+    """
+    scores = []
+    for name, entity in known.entities.items():
+        wanted = {p for paths in entity.fields.values() for p in paths} | {p.split(".")[0] for paths in entity.fields.values() for p in paths}
+        scores += [(len(own & wanted), store == entity.store, store, name) for store, own in fields.items() if len(own & wanted) >= 3]
+    found: dict[str, dict] = {}
+    used: set[str] = set()
+    for _, _, store, name in sorted(scores, key=lambda s: (-s[0], not s[1], s[2], s[3])):
+        if name not in found and store not in used:
+            own = fields[store]
+            mapped = {f: next(p for p in paths if p in own or p.split(".")[0] in own) for f, paths in known.entities[name].fields.items() if any(p in own or p.split(".")[0] in own for p in paths)}
+            found[name] = {"store": store, "fields": mapped}
+            used.add(store)
+    return found

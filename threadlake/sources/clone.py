@@ -158,19 +158,16 @@ class Reader:
                 items.append(self.value())
             self.u()
             return items
-        if t == "B":
-            buffer = self.opened({"$bytes": base64.b64encode(self.take(self.u())).decode()})
-            if self.data[self.at : self.at + 1] == b"V":
-                self.at += 1
-                kind, offset, size = chr(self.u()), self.u(), self.u()
+        if t in "B~":
+            size = self.u()
+            if t == "~":  # a buffer that may grow: the most it may hold comes before its bytes
                 self.u()
-                return self.opened({"$view": kind, "offset": offset, "length": size} | buffer)
-            return buffer
+            return self.viewed(self.opened({"$bytes": base64.b64encode(self.take(size)).decode()}))
         if t == "^":
             n = self.u()
             if n >= len(self.objects):
                 raise CloneError("reference")
-            return self.objects[n]
+            return self.viewed(self.objects[n])
         if t == "?":
             self.u()
             return self.value()
@@ -180,6 +177,15 @@ class Reader:
             return self.opened({"$blob": t, "index": self.u()})
         raise CloneError(f"tag {t!r}")
 
+    def viewed(self, obj):
+        """A view follows the buffer it looks into, be it written in place or referred to."""
+        if not (isinstance(obj, dict) and "$bytes" in obj and "$view" not in obj and self.data[self.at : self.at + 1] == b"V"):
+            return obj
+        self.at += 1
+        kind, offset, size = chr(self.u()), self.u(), self.u()
+        self.u()
+        return self.opened({"$view": kind, "offset": offset, "length": size} | obj)
+
     def host(self):
         return self.opened({"$host": self.take(1).decode("latin-1"), "index": self.u()})
 

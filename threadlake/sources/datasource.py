@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import os
 import shutil
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from itertools import islice
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from threadlake.sources import clone, indexeddb, leveldb
@@ -41,6 +44,16 @@ def file_rows(name: str, file_ord: int, data: bytes) -> Iterator[tuple]:
     yield (name, file_ord, len(entries), None, None, "status", None, None, None, None, None, None, lossy)
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+_TYPES = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in SCHEMA.split(", ")])
+
+
+def batches(rows: Iterator[tuple], size: int = 8192) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches, so that they cross to the JVM by column."""
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), _TYPES, strict=True)], schema=_TYPES)
+
+
 class _File(InputPartition):
     def __init__(self, path: str, file_ord: int):
         super().__init__(path)
@@ -48,20 +61,23 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
+    """With the option ``only`` (names joined by '/') just those files."""
+
     def __init__(self, options: dict):
         self.folder = options["path"]
+        self.only = set(options["only"].split("/")) if options.get("only") else None
 
     def partitions(self):
-        return [_File(os.path.join(self.folder, n), i) for i, n in enumerate(canonical(os.listdir(self.folder)))]
+        return [_File(os.path.join(self.folder, n), i) for i, n in enumerate(canonical(os.listdir(self.folder))) if self.only is None or n in self.only]
 
     def read(self, partition):
         path = Path(partition.path)
         try:
             data = path.read_bytes()
         except OSError:
-            yield (path.name, partition.file_ord, 0, None, None, "status", None, None, None, None, None, None, True)
+            yield from batches(iter([(path.name, partition.file_ord, 0, None, None, "status", None, None, None, None, None, None, True)]))
             return
-        yield from file_rows(path.name, partition.file_ord, data)
+        yield from batches(file_rows(path.name, partition.file_ord, data))
 
 
 class LevelDbSource(DataSource):
@@ -76,6 +92,24 @@ class LevelDbSource(DataSource):
         return _Reader(self.options)
 
 
+def memory_rows(spark: SparkSession, files: Mapping[str, bytes]) -> DataFrame:
+    """The entries of files held in memory (name to content), in the data source's form."""
+    order = {n: i for i, n in enumerate(canonical(list(files)))}
+    held = spark.createDataFrame([(n, order[n], bytearray(files[n])) for n in order], "file string, file_ord int, data binary")
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for f in part.to_pylist():
+                yield from batches(file_rows(f["file"], f["file_ord"], f["data"]))
+
+    return held.repartition(max(1, len(order)), "file").mapInArrow(rows, SCHEMA)
+
+
+def sizes(folder: str) -> dict[str, int]:
+    """The files of a store with their sizes."""
+    return {n: os.path.getsize(os.path.join(folder, n)) for n in canonical(os.listdir(folder))}
+
+
 def discover(root: str, pattern: str = "*.indexeddb.leveldb") -> list[str]:
     """Store folders (with CURRENT and a MANIFEST) under a root, newest first."""
     found = [p for p in Path(root).rglob(pattern) if (p / "CURRENT").exists() and any(p.glob("MANIFEST-*"))]
