@@ -201,10 +201,10 @@ def decode(data: bytes, lenient: bool = False):
     r = Reader(data)
     try:
         return r.read()
-    except (ValueError, IndexError, struct.error, RecursionError):
+    except (ValueError, IndexError, struct.error, RecursionError) as e:
         if lenient and r.root is not None:
             return r.root
-        raise
+        raise CloneError(str(e)) from e
 
 
 def unwrap(value: bytes) -> bytes | None:
