@@ -53,7 +53,7 @@ def cache(tmp_path):
 def test_shapes_and_refresh(spark, cache, tmp_path):
     store = VersionedStore(spark, str(tmp_path / "store"))
     first = store.refresh(str(cache))
-    assert (first.outcome, first.lossy) == ("swapped", False)
+    assert (first.outcome, first.lossy) == ("swapped", False) and store.meta()["matched"]
     m = {r.id: r for r in store.table("message").collect()}
     assert set(m) == {"10", "11"} and m["10"].content == "Hi you" and m["10"].is_mine and m["10"].root_id == "10"
     assert m["11"].mentions_me and m["11"].root_id == "10" and [(g.k, [u.mri for u in g.u]) for g in m["11"].reactions] == [("like", ["a", "z"])]
@@ -101,15 +101,15 @@ def test_incremental_equals_full(spark, cache, tmp_path):
         ("000002.log", [(100, [(rec(2, 2), stored({"messageMap": {"a": message(20, "new words", YOU, conversationId="19:def@thread.v2"), "b": message(11, "moved", YOU, version=50)}})), (rec(3, 2), stored({"mri": ME, "displayName": "Me Myself", "givenName": "Me", "type": "User"})), (rec(1, 2), stored(orphan))])], {"000002.log"}),
         ("000003.log", [(200, [(rec(2, 1), stored({"messageMap": {"b": message(11, "back", YOU, version=60)}})), (rec(5, 2), None), (rec(1, 2), None), (rec(2, 2), None)])], {"000003.log"}),
     ]
-    for n, (name, batches, parsed) in enumerate(steps):
+    for name, batches, parsed in steps:
         (cache / name).write_bytes(leveldb.write_log(batches))
         out = store.refresh(str(cache))
         assert out.outcome == "inplace" and set(out.parsed) == parsed
-        other = VersionedStore(spark, str(tmp_path / f"full{n}"))
-        assert other.refresh(str(cache)).outcome == "swapped"
-        other.postings()
-        for t in store.meta()["tables"]:
-            assert rows(store.table(t)) == rows(other.table(t).select(store.table(t).columns)), (n, t)
+    other = VersionedStore(spark, str(tmp_path / "full"))
+    assert other.refresh(str(cache)).outcome == "swapped"
+    other.postings()
+    for t in store.meta()["tables"]:
+        assert rows(store.table(t)) == rows(other.table(t).select(store.table(t).columns)), t
     assert [r.content for r in store.table("message").collect()] == ["back"] and [r.id for r in store.table("all_conversations").collect()] == ["19:abc@thread.v2"]
     # A vanished file takes its entries with it: what they replaced is live again.
     (cache / "000003.log").unlink()
@@ -123,6 +123,9 @@ def test_inspect_and_memory(spark, cache, tmp_path):
 
     found = VersionedStore(spark, str(tmp_path / "none")).inspect(str(cache))
     assert found["mapping"] == "1.0.0" and not found["lossy"] and found["health"]["message"] == {"entity": "message", "records": 1, "undecoded": 0, "items": 4, "kept": 3}
+    (cache / "CURRENT").write_text("MANIFEST-000001")
+    store = VersionedStore(spark, str(tmp_path / "live"))
+    assert store.follow(str(cache), str(tmp_path / "copy")).outcome == "swapped" and store.follow(str(cache), str(tmp_path / "copy")).outcome == "fresh"
     held = memory_rows(spark, {"000001.ldb": (cache / "000001.ldb").read_bytes(), "000009.log": b""})
     assert mp.winners(held).count() == len(base()) and held.filter("rec_kind = 'status'").count() == 2
 

@@ -94,11 +94,11 @@ def recording_pivot(spark, root):
 
 
 def person_names(spark, root):
-    """Profiles with display name and initials; of federated people (an address as given name) the name's parts."""
+    """Profiles with display name and initials; of federated people without a family name (their given name may be an address) the parts of the name."""
     name = F.trim(F.regexp_replace("name", r"\([^)]*\)", ""))
-    federated = F.coalesce(F.col("surname"), F.lit("")) == ""
+    federated = (F.coalesce("type", F.lit("")) == "Federated") & (F.trim(F.coalesce("surname", F.lit(""))) == "")
     comma = F.instr(name, ",") > 0
-    given = F.when(federated & comma, F.trim(F.substring_index(name, ",", -1))).otherwise(F.coalesce("given_name", F.lit("")))
+    given = F.when(federated, F.when(comma, F.trim(F.substring_index(name, ",", -1))).otherwise(name)).otherwise(F.coalesce("given_name", F.lit("")))
     surname = F.when(federated & comma, F.trim(F.substring_index(name, ",", 1))).otherwise(F.coalesce("surname", F.lit("")))
     rows = silver.profiles(spark, root).select("mri", "name", given.alias("given"), surname.alias("family"))
     both = (F.col("given") != "") & (F.col("family") != "")

@@ -160,8 +160,8 @@ select * from (select kind, term, n, row_number() over (partition by kind order
     "strip_html": f"with {EV} select id, {STRIP.format('body_html')} as text from ev where body_html is not null",
     "url_elide": r"""select doc_id, regexp_replace(text, 'https?://([^\s/<>"]+)(/[^\s<>"]*)?', '[link: \1]', 'gi') as text from documents""",
     "clip": f"select doc_id, {CLIP.format(FLAT.format('text'), 80)} as text from documents",
-    "person_names": rf"""with {PROF}, a as (select mri, name, trim(regexp_replace(name, '\([^)]*\)', '', 'g')) as clean, coalesce(given_name, '') as g, coalesce(surname, '') as s from prof),
-b as (select mri, name, case when s = '' and contains(clean, ',') then trim(list_extract(string_split(clean, ','), -1)) else g end as given, case when s = '' and contains(clean, ',') then trim(split_part(clean, ',', 1)) else s end as family from a)
+    "person_names": rf"""with {PROF}, a as (select mri, name, trim(regexp_replace(name, '\([^)]*\)', '', 'g')) as clean, coalesce(given_name, '') as g, coalesce(surname, '') as s, coalesce(type, '') = 'Federated' and trim(coalesce(surname, '')) = '' as fed from prof),
+b as (select mri, name, case when fed and contains(clean, ',') then trim(list_extract(string_split(clean, ','), -1)) when fed then clean else g end as given, case when fed and contains(clean, ',') then trim(split_part(clean, ',', 1)) else s end as family from a)
 select mri, case when given <> '' and family <> '' then given || ' ' || family else name end as display,
   case when given <> '' and family <> '' then given || ' ' || array_to_string(list_transform(list_filter(regexp_split_to_array(family, '\s+'), lambda w: w <> ''), lambda w: upper(substr(w, 1, 1))), '') else name end as label from b""",
     "json_path_coalesce": "select raw_id, coalesce(" + ", ".join(f"nullif(case when json_type(payload, '{p}') in ('OBJECT') then null else payload ->> '{p}' end, '')" for p in ("$.displayName", "$.subject", "$.threadProperties.topic", "$.imDisplayName", "$.originatorParticipant.displayName")) + ") as label from raw_records",

@@ -13,9 +13,11 @@ owner is seen otherwise, or when asked for.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from threadlake import storage
 from threadlake.functions.text import conversation_kind
 from threadlake.plans import mapping as mp
 from threadlake.plans import search, shape
-from threadlake.sources.datasource import LevelDbSource, canonical, sizes
+from threadlake.sources.datasource import LevelDbSource, canonical, copy_store, probe, sizes
 
 SHAPES = {"message": shape.messages, "conversation": shape.conversations, "profile": shape.profiles, "event": shape.events, "call": shape.calls}
 #: A full rebuild at the latest after so many refreshes in place, or so many seconds.
@@ -108,7 +110,16 @@ class VersionedStore:
 
     # Refresh
 
-    def refresh(self, folder: str, mappings: tuple[mp.Mapping, ...] = (mp.V1,), full: bool = False, wait: bool = False) -> Outcome:
+    def follow(self, source: str, copy: str, **how) -> Outcome:
+        """Refresh from a live folder: where its logs show no change since the last time nothing is read, else its copy is brought up to date and taken."""
+        seen = json.dumps(probe(source))
+        meta = self.meta()
+        if meta and meta["probe"] == seen != "null" and not how.get("full"):
+            return Outcome("fresh", meta["version"], meta["max_seq"], meta["lossy"])
+        _, torn = copy_store(source, copy)
+        return self.refresh(copy, seen=seen, torn=torn, **how)
+
+    def refresh(self, folder: str, mappings: tuple[mp.Mapping, ...] = (mp.V1,), full: bool = False, wait: bool = False, seen: str = "", torn: bool = False) -> Outcome:
         """Bring the store up to a copied cache folder. With ``wait`` nothing is done before a refresh is ``due``.
 
         A damaged read never replaces a good version; on a cold start it is taken and marked lossy. Damaged parses are
@@ -121,7 +132,7 @@ class VersionedStore:
             return Outcome("waiting", old["version"], old["max_seq"], old["lossy"])
         usable = {n: f for n, f in old["files"].items() if not f[2]} if old else {}
         bronze, manifest, parsed = self.bronze(folder, usable)
-        lossy = any(f[2] for f in manifest.values())
+        lossy = torn or any(f[2] for f in manifest.values())
         max_seq = bronze.agg(F.max("seq").alias("m")).first()["m"] or 0
         if lossy and old and not old["lossy"]:
             return Outcome("skipped", old["version"], old["max_seq"], True, tuple(parsed))
@@ -150,6 +161,7 @@ class VersionedStore:
                 fresh = mp.extract(live.join(changes, "entry_key", "left_semi"), entity, names)
                 rows = self._read(old["records"][name]).join(changes.select(key), "record_key", "left_anti").unionByName(fresh)
             records[name] = self._write(rows, f"{version}/records/{name}")
+        known = known or (self._verified(records, entities) if stale else old["matched"])
         me = shape.vote_self(self._read(records["message"])) if "message" in records else None
         part = not stale and me == old["me"]
         affected = None
@@ -172,11 +184,19 @@ class VersionedStore:
             tables["postings"] = self._write(kept.unionByName(search.postings(said)), f"{version}/postings")
         meta = {
             "version": version, "tables": tables, "records": records, "live": f"{version}/live", "files": manifest, "max_seq": max_seq, "lossy": lossy, "layout": layout, "matched": known, "mapping": chosen.version if chosen else None, "me": me,
-            "inplace": 0 if stale else old["inplace"] + 1, "full_at": began if stale else old["full_at"], "at": time.time(), "took": time.time() - began,
+            "probe": seen, "inplace": 0 if stale else old["inplace"] + 1, "full_at": began if stale else old["full_at"], "at": time.time(), "took": time.time() - began,
         }
         self.commits.commit(number, meta)
         return Outcome("swapped" if stale else "inplace", version, max_seq, lossy, tuple(parsed), touched)
 
+    def _verified(self, records: dict[str, str], entities) -> bool:
+        """Whether the mapping fits what was read: of every entity with records half or more have their first field (its id)."""
+        parts = []
+        for name, path in records.items():
+            first = next(iter(entities[name].fields))
+            parts.append(self._read(path).agg((F.count(first) * 2 >= F.count(F.lit(1))).alias("fits")))
+        return bool(parts) and bool(reduce(DataFrame.unionByName, parts).agg(F.bool_and("fits").alias("f")).first()["f"])
+
     def _conversations(self, tables: dict[str, str]) -> DataFrame:
         """Conversations with a record and those that only messages name; one with neither is gone. last_ts is the later of record and messages."""
         meta = self._read(tables["conversation"])
