@@ -93,17 +93,19 @@ def fragments(kept: DataFrame) -> DataFrame:
 
 
 def paths(frags: DataFrame) -> DataFrame:
-    """The paths of the overlap graph: conv_id, node, path (the node it starts with), place, gap (whether the message shown before the path was never delivered)."""
-    nodes = frags.groupBy("suffix").agg(F.first("conv_id").alias("conv_id"), F.first("prefix", True).alias("prefix"))
-    nodes = cut(nodes.withColumnRenamed("suffix", "node"))
-    shown = nodes.filter("prefix is not null").groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("next"))
+    """The paths of the overlap graph of fragments (a suffix each of its own): conv_id, node, path (the node it starts with), place, gap (whether the message shown before the path was never delivered)."""
+    nodes = cut(frags.withColumnRenamed("suffix", "node"))
+    alone, linked = nodes.filter("prefix is null"), nodes.filter("prefix is not null")
+    shown = linked.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("next"))
     met = cut(shown.join(nodes.select(F.col("node").alias("prefix"), F.lit(True).alias("delivered")), "prefix", "left"))
     merged = merge_paths(met.filter("delivered and n = 1").select(F.col("prefix").alias("src"), F.col("next").alias("dst")))
     missing = met.filter("delivered is null").select("prefix", F.lit(True).alias("gap"))
-    opened = nodes.filter("prefix is not null").join(missing, "prefix").select(F.col("node").alias("path"), "gap")
-    placed = nodes.select("conv_id", "node").join(merged.select(F.col("frag_id").alias("node"), "head", "place"), "node", "left")
+    opened = linked.join(missing, "prefix").select(F.col("node").alias("path"), "gap")
+    # Only fragments with something before them can lie within a path or open one with a gap.
+    placed = linked.select("conv_id", "node").join(merged.select(F.col("frag_id").alias("node"), "head", "place"), "node", "left")
     placed = placed.select("conv_id", "node", F.coalesce("head", "node").alias("path"), F.coalesce("place", F.lit(0)).cast("long").alias("place"))
-    return placed.join(opened, "path", "left").select("conv_id", "node", "path", "place", F.coalesce("gap", F.lit(False)).alias("gap"))
+    placed = placed.join(opened, "path", "left").select("conv_id", "node", "path", "place", F.coalesce("gap", F.lit(False)).alias("gap"))
+    return placed.unionByName(alone.select("conv_id", "node", F.col("node").alias("path"), F.lit(0).cast("long").alias("place"), F.lit(False).alias("gap")))
 
 
 def merge_paths(edges: DataFrame) -> DataFrame:
