@@ -255,3 +255,59 @@ def test_renames_of_equal_values(spark):
     old, new = '{"a": true, "b": true, "z": 1}', '{"c": true, "d": true, "z": 1}'
     raw = spark.createDataFrame([(i, 1, f, "s", f"k{i % 2}", p) for i, (f, p) in enumerate([(1, old), (1, old), (2, new), (2, new)])], "raw_id long, cache_id long, file_no int, store string, rec_key string, payload string")
     assert rows(drift.changes(raw)) == [(1, 2, "s", "renamed", "a", "c"), (1, 2, "s", "renamed", "b", "d")]
+
+
+def changes_by_hand(raw):
+    """The definition, record by record."""
+    files = {}
+    for raw_id, cache, file_no, store, key, payload in sorted(raw, key=lambda r: r[0]):
+        if None not in (cache, file_no, store):
+            files.setdefault((cache, store), {}).setdefault(file_no, []).append((key, dict(drift.leaves(drift.parse(payload) or {}))))
+    out = []
+    for (cache, store), by_file in files.items():
+        for old_no, new_no in zip(sorted(by_file), sorted(by_file)[1:]):
+            old, new = by_file[old_no], by_file[new_no]
+            types = lambda rows, p: {drift.json_type(r[p]) for _, r in rows if r.get(p) is not None}
+            was, now = {p for _, r in old for p in r}, {p for _, r in new for p in r}
+            a, b = {k: r for k, r in old if k is not None}, {k: r for k, r in new if k is not None}
+            both = a.keys() & b.keys()
+            pairs = []
+            for g in was - now:
+                for c in now - was:
+                    if all(a[k].get(g) == b[k].get(c) and type(a[k].get(g)) is type(b[k].get(c)) for k in both):
+                        n = sum(a[k].get(g) is not None for k in both)
+                        pairs += [(-n, g, c)] * (n >= 2)
+            gone, come = was - now, now - was
+            for _, g, c in sorted(pairs):
+                if g in gone and c in come:
+                    out.append((cache, new_no, store, "renamed", g, c))
+                    gone.remove(g), come.remove(c)
+            out += [(cache, new_no, store, "removed", p, "") for p in gone] + [(cache, new_no, store, "added", p, "") for p in come]
+            out += [(cache, new_no, store, "type_changed", p, "") for p in was & now if types(old, p) and types(new, p) and types(old, p) != types(new, p)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_changes_against_the_definition(spark, seed):
+    import json
+
+    r = random.Random(seed)
+    raw, n = [], 0
+    for cache in (1, 2):
+        for store in ("s", "t"):
+            for file_no in r.sample(range(1, 30), 8):
+                fields = r.sample(["a", "b", "c", "d.x", "d.y", "e"], 4)
+                for k in range(r.randint(1, 5)):
+                    n += 1
+                    record = {}
+                    for f in fields:
+                        if r.random() < 0.85:
+                            v = r.choice([k, k, k, str(k), True, None, [k]])
+                            if "." in f:
+                                record.setdefault("d", {})[f[2]] = v
+                            else:
+                                record[f] = v
+                    raw.append((n, cache, file_no, store, r.choice([f"k{k}", f"k{k}", None]), r.choice([json.dumps(record)] * 9 + ["no json"])))
+    raw += [(n + 1, None, 1, "s", "k", "{}"), (n + 2, 1, 50, "s", "k", None)]
+    df = spark.createDataFrame(r.sample(raw, len(raw)), RAW)
+    assert rows(drift.changes(df)) == changes_by_hand(raw)
