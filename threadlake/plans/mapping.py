@@ -33,34 +33,30 @@ class Mapping:
     entities: Map[str, Entity] = field(default_factory=dict)
 
 
-def _paths(**fields: str) -> dict[str, tuple[str, ...]]:
-    return {k: tuple(v.split()) for k, v in fields.items()}
-
-
 #: Stores and field names of the first layout. It is known by its stores; fingerprints of layouts that were looked at may be added.
 V1 = Mapping(
     "1.0.0",
     frozenset(),
     frozenset(["replychains", "conversations"]),
     {
-        "conversation": Entity("*conversation-manager*", "conversations", _paths(id="id", topic="threadProperties.topic threadProperties.spaceThreadTopic", thread_type="threadProperties.threadType", type="type", team_id="teamId", last_time="lastMessageTimeUtc")),
+        "conversation": Entity("*conversation-manager*", "conversations", {"id": ("id",), "topic": ("threadProperties.topic", "threadProperties.spaceThreadTopic"), "thread_type": ("threadProperties.threadType",), "type": ("type",), "team_id": ("teamId",), "last_time": ("lastMessageTimeUtc",)}),
         "message": Entity(
             "*replychain-manager*",
             "replychains",
-            _paths(id="id", conv_id="conversationId", parent="parentMessageId", version="version", time="originalArrivalTime composeTime clientArrivalTime", sender="creator", sender_name="imDisplayName", type="type", message_type="messageType", content="content", sent_by_me="isSentByCurrentUser", mentions="properties.mentions", files="properties.files files", cards="properties.cards cards", attachments="properties.attachments attachments", reactions="properties.emotions"),
+            {"id": ("id",), "conv_id": ("conversationId",), "parent": ("parentMessageId",), "version": ("version",), "time": ("originalArrivalTime", "composeTime", "clientArrivalTime"), "sender": ("creator",), "sender_name": ("imDisplayName",), "type": ("type",), "message_type": ("messageType",), "content": ("content",), "sent_by_me": ("isSentByCurrentUser",), "mentions": ("properties.mentions",), "files": ("properties.files", "files"), "cards": ("properties.cards", "cards"), "attachments": ("properties.attachments", "attachments"), "reactions": ("properties.emotions",)},
             iterate="messageMap",
             keep=("type", "Message"),
         ),
-        "profile": Entity("*profile*", "profiles", _paths(mri="mri", name="displayName", given_name="givenName", surname="surname", type="type", org="tenantName")),
+        "profile": Entity("*profile*", "profiles", {"mri": ("mri",), "name": ("displayName",), "given_name": ("givenName",), "surname": ("surname",), "type": ("type",), "org": ("tenantName",)}),
         "event": Entity(
             "*calendar*",
             "calendar",
-            _paths(id="objectId", series_id="seriesMasterId", subject="subject", start="startTime", end="endTime", all_day="isAllDayEvent", location="location", organizer_name="organizerName", organizer_email="organizerAddress", online="isOnlineMeeting", cid="skypeTeamsDataObject.cid", my_response="myResponseType", show_as="showAs", cancelled="isCancelled", event_type="eventType", label="sensitivityLabelId", no_forward="doNotForward", has_attach="hasAttachments", attendees="attendees", body_html="bodyContent"),
+            {"id": ("objectId",), "series_id": ("seriesMasterId",), "subject": ("subject",), "start": ("startTime",), "end": ("endTime",), "all_day": ("isAllDayEvent",), "location": ("location",), "organizer_name": ("organizerName",), "organizer_email": ("organizerAddress",), "online": ("isOnlineMeeting",), "cid": ("skypeTeamsDataObject.cid",), "my_response": ("myResponseType",), "show_as": ("showAs",), "cancelled": ("isCancelled",), "event_type": ("eventType",), "label": ("sensitivityLabelId",), "no_forward": ("doNotForward",), "has_attach": ("hasAttachments",), "attendees": ("attendees",), "body_html": ("bodyContent",)},
         ),
         "call": Entity(
             "*call-history-manager*",
             "call-history",
-            _paths(id="callId", call_type="callType", direction="callDirection", state="callState", start="startTime", duration="durationInMs", originator="originatorParticipant.id", target="targetParticipant.id", participants="participantList", group_thread_id="groupChatThreadId", recordings="recordings", transcript="transcript", voicemail="voicemailMetadata", spam_level="spamRiskLevel", user_part="isCurrentUserPartOfCall", deleted="isDeleted"),
+            {"id": ("callId",), "call_type": ("callType",), "direction": ("callDirection",), "state": ("callState",), "start": ("startTime",), "duration": ("durationInMs",), "originator": ("originatorParticipant.id",), "target": ("targetParticipant.id",), "participants": ("participantList",), "group_thread_id": ("groupChatThreadId",), "recordings": ("recordings",), "transcript": ("transcript",), "voicemail": ("voicemailMetadata",), "spam_level": ("spamRiskLevel",), "user_part": ("isCurrentUserPartOfCall",), "deleted": ("isDeleted",)},
         ),
     },
 )
