@@ -37,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a session of a single machine may leave it unset: a folder of its own is then made and set. A cluster without
     it is an error, as a folder of one machine would lose the data with it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
