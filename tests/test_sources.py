@@ -98,3 +98,21 @@ def test_buffers_that_grow_and_views_of_references():
     assert clone.decode(b"\xff\x0f~\x03\x08abc") == {"$bytes": "YWJj"}
     got = clone.decode(b"\xff\x0fo\"\x01aB\x03abc\"\x01b^\x01" + view + b"{\x02")
     assert got["a"] == {"$bytes": "YWJj"} and got["b"] == {"$view": "B", "offset": 1, "length": 2, "$bytes": "YWJj"}
+
+
+def test_checksums_of_long_data():
+    import random
+
+    def plain(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    r = random.Random(1)
+    for n in (0, 1, 1023, 1024, 1025, 1151, 3000, 9_999):
+        data = r.randbytes(n)
+        assert leveldb.crc32c(data) == plain(data)
+    assert leveldb.crc32c(bytes(5000)) == plain(bytes(5000))
