@@ -77,14 +77,17 @@ def _hash(id_: str) -> Column:
     return F.unhex(F.md5(F.concat(F.col("conv_id"), F.lit("\x1f"), F.coalesce(F.col(id_), F.lit("\x1f")))))
 
 
+def _is_reply() -> Column:
+    return F.col("root_id").isNotNull() & ~F.col("root_id").eqNullSafe(F.col("id"))
+
+
 def fragments(kept: DataFrame) -> DataFrame:
     """conv_id, suffix, prefix: the hash of the last message that each row shows, and of the one before it (null for a row that shows itself only)."""
     rows = kept.select("conv_id", "id", "root_id", "ts", F.floor(F.col("ts") / DAY).alias("day"))
-    is_reply = F.col("root_id").isNotNull() & ~F.col("root_id").eqNullSafe(F.col("id"))
-    alone = rows.filter(~is_reply).select("conv_id", _hash("id").alias("suffix"), F.lit(None).cast("binary").alias("prefix"))
+    alone = rows.filter(~_is_reply()).select("conv_id", _hash("id").alias("suffix"), F.lit(None).cast("binary").alias("prefix"))
     thread = ["conv_id", "root_id"]
     within = W.partitionBy(*thread, "day").orderBy("ts", "id")
-    linked = rows.filter(is_reply).withColumn("before", F.lag(F.struct("id")).over(within)).withColumn("last", F.lead("ts").over(within).isNull())
+    linked = rows.filter(_is_reply()).withColumn("before", F.lag(F.struct("id")).over(within)).withColumn("last", F.lead("ts").over(within).isNull())
     # The first reply of a day follows the last one of the thread's day before, or the root.
     days = linked.filter("last").select(*thread, "day", F.lag("id").over(W.partitionBy(*thread).orderBy("day")).alias("carried"))
     first = linked.filter("before is null").join(days, [*thread, "day"]).select("conv_id", "id", F.coalesce("carried", "root_id").alias("shown"))
@@ -166,14 +169,20 @@ def conversations(messages: DataFrame) -> DataFrame:
     """
     kept = kept_rows(messages)
     graph = cut(paths(fragments(kept)))
-    dropped = _reasons(kept, graph).select("conv_id").distinct()
-    hashed = kept.join(dropped, "conv_id", "left_anti").withColumn("node", _hash("id"))
-    placed = hashed.join(graph.select("node", "path", "place"), "node")
-    starts = placed.filter("place = 0").select("path", F.col("ts").alias("path_ts"), F.col("id").alias("path_id"))
-    rows = placed.filter("speaks or is_system").drop("node")
-    lengths = rows.groupBy("conv_id", "path").agg(F.count(F.lit(1)).alias("n")).join(starts, "path")
-    before = ordinals(lengths, ["conv_id"], "path_ts", ["path_id"], name="before", weight="n").select("path", "before")
-    rows = ordinals(rows, ["path"], "place", [], cell=1 << 16, name="in_path").join(before, "path").withColumn("position", F.col("before") + F.col("in_path"))
+    dropped = cut(_reasons(kept, graph).select("conv_id").distinct())
+    good = kept.join(dropped, "conv_id", "left_anti").withColumn("node", _hash("id")).withColumn("out", F.col("speaks") | F.col("is_system"))
+    # Rows within paths are those behind another; all others, most rows, are the heads of paths and need no join to know it.
+    behind = graph.filter("place > 0").select("node", "path", "place")
+    replies, alone = good.filter(_is_reply()), good.filter(~_is_reply())
+    inner = cut(replies.join(behind, "node").filter("out"))
+    heads = alone.unionByName(replies.join(behind, "node", "left_anti"))
+    lengths = inner.groupBy(F.col("path").alias("node")).agg(F.count(F.lit(1)).alias("more"))
+    heads = cut(heads.join(lengths, "node", "left").withColumn("n", F.col("out").cast("long") + F.coalesce("more", F.lit(0))).drop("more").filter("n > 0"))
+    heads = cut(ordinals(heads, ["conv_id"], "ts", ["id"], name="position", weight="n"))
+    starts = heads.filter(F.col("n") > F.col("out").cast("long")).select(F.col("node").alias("path"), (F.col("position") + F.col("out").cast("long")).alias("from"))
+    inner = ordinals(inner, ["path"], "place", [], cell=1 << 16, name="in_path").join(starts, "path").withColumn("position", F.col("from") + F.col("in_path"))
+    columns = ["row_no", "conv_id", "id", "ts", "is_system", "sender_mri", "speaks", "person", "position"]
+    rows = cut(heads.filter("out").select(*columns).unionByName(inner.select(*columns)))
     people = rows.filter("speaks and person is not null").groupBy("conv_id", "person").agg(F.min(F.struct("ts", "id")).alias("first"))
     numbered = people.withColumn("k", F.row_number().over(W.partitionBy("conv_id").orderBy("first"))).select("conv_id", "person", "k")
     role = F.when(F.col("is_system"), "system").when(F.col("k").isNotNull(), F.concat(F.lit("speaker_"), F.col("k"))).when(is_bot(F.col("sender_mri")), "bot").otherwise("unknown")
