@@ -119,13 +119,16 @@ def merge_paths(edges: DataFrame) -> DataFrame:
     this smallest node is dropped.
     """
 
+    def step(state: DataFrame) -> DataFrame:
+        up = state.select(F.col("frag_id").alias("at"), F.col("head").alias("head2"), F.col("place").alias("place2"), F.col("least_id").alias("least2"))
+        moved = state.join(up, F.col("head") == F.col("at"), "left")
+        return moved.select("frag_id", F.coalesce("head2", "head").alias("head"), (F.col("place") + F.coalesce("place2", F.lit(0))).alias("place"), F.least("least_id", "least2").alias("least_id"), F.col("at").isNotNull().alias("moves"))
+
     def doubled(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         state = cut(edges.select(F.col("dst").alias("frag_id"), F.col("src").alias("head"), F.lit(1).cast("long").alias("place"), F.col("src").alias("least_id")))
         smallest = None
         while True:
-            up = state.select(F.col("frag_id").alias("at"), F.col("head").alias("head2"), F.col("place").alias("place2"), F.col("least_id").alias("least2"))
-            moved = state.join(up, F.col("head") == F.col("at"), "left")
-            state = cut(moved.select("frag_id", F.coalesce("head2", "head").alias("head"), (F.col("place") + F.coalesce("place2", F.lit(0))).alias("place"), F.least("least_id", "least2").alias("least_id"), F.col("at").isNotNull().alias("moves")))
+            state = cut(step(step(state).drop("moves")))  # two doublings a round
             seen = state.filter("moves").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("least_id") == F.col("frag_id")).alias("circles")).first()
             if not seen["n"]:
                 return state.select("frag_id", "head", "place"), smallest
@@ -133,6 +136,7 @@ def merge_paths(edges: DataFrame) -> DataFrame:
                 smallest = state.filter("moves and least_id = frag_id").select("frag_id")
                 if not state.filter("moves").join(smallest.withColumnRenamed("frag_id", "least_id"), "least_id", "left_anti").take(1):
                     return state.select("frag_id", "head", "place"), smallest
+            state = state.drop("moves")
 
     state, smallest = doubled(edges)
     if smallest is not None:
